@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.fixed import PAY_AMOUNT, PAY_PERIODS, PAY_WITHOUT_FIGURE
+from postlens.functions.staging import pin
 from postlens.functions.text import is_blank
 
 
@@ -69,7 +70,7 @@ def with_salary(
     low, high, period = F.col("_low"), F.col("_high"), F.col(f"{prefix}period")
     kept = (low.isNotNull() | high.isNotNull()) if keep_open_ranges else (low.isNotNull() & high.isNotNull())
     return (
-        df.withColumn("_amounts", F.when(usable, pay_amounts(F.col(col))))
+        pin(df, _amounts=F.when(usable, pay_amounts(F.col(col))))
         .withColumns(
             {
                 "_low": F.when(~up_to, F.try_element_at(amounts, F.lit(1))),

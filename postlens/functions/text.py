@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from postlens.functions.staging import pin
 from postlens.functions.fixed import COMPANY_SUFFIXES, LANGUAGE_WORDS, LOCATION_MAP, WS_CHARS, WS_CLASS
 
 # Entities rewritten inside the JVM. "&amp;" goes last so that its result is not read again.
@@ -84,7 +85,7 @@ def with_stripped_html(df: DataFrame, col: str, out: str) -> DataFrame:
     The tag-free text is its own step, so that it is computed once for its three uses. Only rows with
     entities beyond the common ones reach Python; the others send a null.
     """
-    df = df.withColumn("_plain", F.coalesce(drop_tags(F.col(col)), F.lit("")))
+    df = pin(df, _plain=F.coalesce(drop_tags(F.col(col)), F.lit("")))
     plain = F.col("_plain")
     rare = _unescape_any(F.when(plain.rlike(_OTHER_ENTITY), plain))
     return df.withColumn(out, F.coalesce(rare, _jvm_unescape(plain))).drop("_plain")
@@ -112,7 +113,7 @@ def normalize_whitespace(col: Column) -> Column:
 
 def with_clean_description(df: DataFrame, col: str, out: str) -> DataFrame:
     """Add ``out``: tags, entities, Unicode and whitespace cleaned, with one Arrow pass for the rare rows."""
-    df = df.withColumn("_plain", F.coalesce(drop_tags(F.col(col)), F.lit("")))
+    df = pin(df, _plain=F.coalesce(drop_tags(F.col(col)), F.lit("")))
     plain = F.col("_plain")
     rare = _unescape_compose_any(F.when(plain.rlike(f"{_OTHER_ENTITY}|{_UNSTABLE}"), plain))
     df = df.withColumn(out, F.coalesce(rare, _jvm_compose(_jvm_unescape(plain))))
