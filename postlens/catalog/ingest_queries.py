@@ -229,13 +229,13 @@ def _(t):
 
 @query(
     "backfill_column",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 0.9, 2) ELSE o_totalprice END AS o_totalprice, "
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, "
     "(SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS affected FROM orders",
 )
 def _(t):
     where = "o_orderstatus = 'F'"
     affected = tables.backfill_count(t.orders, where)
-    filled = tables.backfill_column(t.orders, "o_totalprice", "round(o_totalprice * 0.9, 2)", where)
+    filled = tables.backfill_column(t.orders, "o_totalprice", "o_totalprice * 2", where)
     return filled.select("o_orderkey", "o_totalprice", F.lit(affected).cast("bigint").alias("affected"))
 
 
