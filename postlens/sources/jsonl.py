@@ -16,6 +16,10 @@ from postlens.functions.variants import is_object, is_present, json_text, part,
 RUN_SOURCES = ["jobstreet", "mcf"]
 RUN_FORMAT = "yyyy-MM-dd_HHmmss"
 
+# A dump is a file or, when Spark wrote it, a folder of that name.
+DUMP_GLOB = "raw/*/*/dump.jsonl*"
+DUMP_PATH = "(raw/[^/]+/[^/]+/dump\\.jsonl[^/]*)"
+
 # Fields every dump line and its payload must have.
 LINE_FIELDS = ["job_id", "source", "scrape_timestamp", "payload"]
 PAYLOAD_FIELDS = ["title", "company", "url"]
@@ -137,8 +141,8 @@ def tag_run(df: DataFrame, path: str, created: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """All dumps below ``root``/raw, parsed with source and time of their folder as fallbacks."""
-    lines = read_lines(spark, f"{root}/raw/*/*/dump.jsonl*")
-    tagged = tag_run(lines.withColumn("path", F.regexp_extract("file", "(raw/[^/]+/[^/]+/[^/]+)$", 1)), "path", "modified")
+    lines = read_lines(spark, f"{root}/{DUMP_GLOB}")
+    tagged = tag_run(lines.withColumn("path", F.regexp_extract("file", DUMP_PATH, 1)), "path", "modified")
     tagged = tagged.filter("run_status = 'ok'")
     return parse_raw_lines(tagged, F.col("run_source"), F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
