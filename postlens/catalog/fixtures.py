@@ -27,7 +27,7 @@ def dump_lines(t) -> DataFrame:
         .when(kind == 7, F.to_json(F.struct(F.col("user_id").alias("job_id"), payload.alias("payload"))))
         .otherwise(full)
     )
-    return t.events.select("event_id", "event_type", line.alias("value"))
+    return t.spread("events").select("event_id", "event_type", line.alias("value"))
 
 
 def js(col: Column) -> Column:
@@ -130,7 +130,7 @@ def payload_b() -> Column:
 def ordered(t) -> DataFrame:
     """Orders with their customer."""
     customers = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return t.orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return t.spread("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def raw_postings(t) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlens.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,6 +21,11 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def spread(self, name: str, *cols: str) -> DataFrame:
+        """The table, or some of its columns, over at least as many tasks as there are cores."""
+        table = getattr(self, name)
+        return spread(table.select(*cols) if cols else table)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

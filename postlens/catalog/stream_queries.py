@@ -124,7 +124,7 @@ def _(t):
     "stream_error_burst",
     "WITH s AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS slot_start, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) "
     "SELECT slot_start, slot_start + INTERVAL 10 MINUTE AS slot_end, errors FROM s "
-    "WHERE errors > 1 AND slot_start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "WHERE errors > 1 AND slot_start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE",
 )
 def _(t):
     bursts = jobs.error_burst_stream(_event_stream(t), "ts", F.col("event_type") == "error", more_than=1)

@@ -249,7 +249,7 @@ def _(t):
     "round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1",
 )
 def _(t):
-    found = stats.exact_quantiles(t.orders, "o_totalprice", [0.1, 0.5, 0.99], ["o_orderpriority"])
+    found = stats.exact_quantiles(t.spread("orders", "o_orderpriority", "o_totalprice"), "o_totalprice", [0.1, 0.5, 0.99], ["o_orderpriority"])
     return found.select("o_orderpriority", "n", *[F.round(q, 4).alias(a) for q, a in (("q0", "p10"), ("q1", "p50"), ("q2", "p99"))])
 
 
@@ -368,7 +368,7 @@ _dist = lambda c: (
 
 @query("distribution_report", " UNION ALL ".join(_dist(c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def _(t):
-    return stats.distribution_report(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    return stats.distribution_report(t.spread("lineitem", "l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
 _corr_cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -34,7 +34,7 @@ def sql_whitespace(expr: str) -> str:
 
 @query("strip_html", f"SELECT page_id, {SQL_UNESCAPED} AS plain FROM pages")
 def _(t):
-    return tx.with_stripped_html(t.pages, "html", "plain").select("page_id", "plain")
+    return tx.with_stripped_html(t.spread("pages", "page_id", "html"), "html", "plain").select("page_id", "plain")
 
 
 @query(
@@ -51,7 +51,7 @@ def _(t):
         .when(F.col("lang") == "de", F.replace("text", F.lit(" "), F.lit(" ")))
         .otherwise(F.replace("text", F.lit("a"), F.lit("a​\u0007")))
     )
-    docs = t.documents.select("doc_id", dirty.alias("dirty"))
+    docs = t.spread("documents").select("doc_id", dirty.alias("dirty"))
     return docs.select("doc_id", tx.clean_unicode(F.col("dirty")).alias("cleaned"))
 
 
@@ -66,13 +66,13 @@ def _(t):
         F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n\n")), F.lit(" "), F.lit("   ")),
         F.lit("\n"),
     )
-    docs = t.documents.select("doc_id", spread.alias("spread"))
+    docs = t.spread("documents").select("doc_id", spread.alias("spread"))
     return docs.select("doc_id", tx.normalize_whitespace(F.col("spread")).alias("cleaned"))
 
 
 @query("clean_description", f"SELECT page_id, {sql_whitespace(SQL_UNESCAPED)} AS description FROM pages")
 def _(t):
-    return tx.with_clean_description(t.pages, "html", "description").select("page_id", "description")
+    return tx.with_clean_description(t.spread("pages", "page_id", "html"), "html", "description").select("page_id", "description")
 
 
 # The same text in both engines: company names with the suffixes the cleaner knows.
@@ -139,7 +139,7 @@ _profile_values = ", ".join(f"({sql_str(lang)}, {sql_str(w)})" for lang, ws in f
     "LEFT JOIN b ON d.doc_id = b.doc_id AND b.rn = 1",
 )
 def _(t):
-    return t.documents.select("doc_id", "lang", tx.detect_language(F.col("text")).alias("detected"))
+    return tx.with_language(t.spread("documents", "doc_id", "lang", "text"), "text", "detected").drop("text")
 
 
 # Pay texts in all the shapes the parser tells apart, from order prices; valid in both engines.
@@ -182,7 +182,7 @@ SALARY_ORACLE_CTES = (
     "round(max_raw * factor, 4) AS max_monthly, 'SGD' AS currency FROM d",
 )
 def _(t):
-    parsed = with_salary(t.orders.select("o_orderkey", F.expr(PAY_SQL).alias("pay")), "pay")
+    parsed = with_salary(t.spread("orders").select("o_orderkey", F.expr(PAY_SQL).alias("pay")), "pay")
     return parsed.withColumns({c: F.round(c, 4) for c in ("min_monthly", "max_monthly")})
 
 
@@ -235,12 +235,8 @@ _pii_text = (
     f"{_pii_text} AS violations FROM (SELECT doc_id, {_pii_cols} FROM documents)",
 )
 def _(t):
-    hits = guard.pii_first_matches(F.col("text"))
-    return t.documents.select(
-        "doc_id",
-        *[(hit != "").alias(f"has_{kind}") for kind, hit in hits.items()],
-        F.array_join(guard.pii_violations(F.col("text")), "; ").alias("violations"),
-    )
+    found = guard.with_pii(t.spread("documents", "doc_id", "text"), "text").drop("text")
+    return found.withColumn("violations", F.array_join("violations", "; "))
 
 
 def _sql_redacted(expr: str) -> str:
@@ -251,7 +247,7 @@ def _sql_redacted(expr: str) -> str:
 
 @query("pii_redact", f"SELECT doc_id, {_sql_redacted('text')} AS redacted FROM documents")
 def _(t):
-    return t.documents.select("doc_id", guard.pii_redact(F.col("text")).alias("redacted"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", guard.pii_redact(F.col("text")).alias("redacted"))
 
 
 # User turns with phrases the guards look for worked in; valid in both engines.
@@ -280,7 +276,7 @@ _hits_cte = (
 
 
 def _probes(t):
-    user = t.conversations.filter(F.col("role") == "user")
+    user = t.spread("conversations").filter(F.col("role") == "user")
     return user.select("conv_id", "turn", F.expr(SPARK_PROBE_SQL).alias("probe"))
 
 

@@ -6,7 +6,7 @@ only stop at a newline.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.fixed import (
@@ -18,6 +18,7 @@ from postlens.functions.fixed import (
     PROMPT_INJECTION,
     SQL_INJECTION,
 )
+from postlens.functions.staging import pin
 from postlens.functions.text import is_blank
 
 MIN_QUERY_LENGTH = 3
@@ -27,23 +28,27 @@ MAX_ANSWER_LENGTH = 5000
 _NO_STRINGS = "array<string>"
 
 
-def _first(col: Column, pattern: str) -> Column:
-    return F.regexp_extract(col, f"(?U){pattern}", 0)
+# Every number pattern needs four digits in a row and every address an "@"; texts without are not searched.
+_DIGITS = "\\p{Nd}{4}"
 
 
 def pii_first_matches(col: Column) -> dict[str, Column]:
     """First hit per kind of personal data, '' where there is none."""
+    has_digits, has_at = col.rlike(_DIGITS), F.contains(col, F.lit("@"))
+
+    def first(possible: Column, pattern: str) -> Column:
+        return F.when(possible, F.regexp_extract(col, f"(?U){pattern}", 0)).otherwise("")
+
     return {
-        "nric": _first(col, NRIC_PATTERN),
-        "phone": _first(col, PHONE_PATTERN),
-        "email": _first(col, EMAIL_PATTERN),
-        "card": _first(col, CARD_PATTERN),
+        "nric": first(has_digits, NRIC_PATTERN),
+        "phone": first(has_digits, PHONE_PATTERN),
+        "email": first(has_at, EMAIL_PATTERN),
+        "card": first(has_digits, CARD_PATTERN),
     }
 
 
-def pii_violations(col: Column) -> Column:
+def pii_messages(hit: dict[str, Column]) -> Column:
     """One masked message per kind of personal data found."""
-    hit = pii_first_matches(col)
     messages = {
         "nric": F.concat(F.lit("NRIC found: "), hit["nric"], F.lit(" (redacted)")),
         "phone": F.concat(F.lit("Phone number found: "), F.substring(hit["phone"], 1, 4), F.lit("... (redacted)")),
@@ -57,10 +62,23 @@ def pii_violations(col: Column) -> Column:
     return F.array_compact(F.array(*[F.when(hit[kind] != "", message) for kind, message in messages.items()]))
 
 
+def pii_violations(col: Column) -> Column:
+    return pii_messages(pii_first_matches(col))
+
+
+def with_pii(df: DataFrame, col: str) -> DataFrame:
+    """Add has_nric, has_phone, has_email, has_card and the masked ``violations``; each pattern runs once."""
+    hits = pii_first_matches(F.col(col))
+    found = pin(df, **{f"_{kind}": hit for kind, hit in hits.items()})
+    held = {kind: F.col(f"_{kind}") for kind in hits}
+    return found.select(*df.columns, *[(hit != "").alias(f"has_{kind}") for kind, hit in held.items()], pii_messages(held).alias("violations"))
+
+
 def pii_redact(col: Column) -> Column:
+    masked = col
     for pattern, mask in PII_MASKS:
-        col = F.regexp_replace(col, f"(?U){pattern}", mask)
-    return col
+        masked = F.regexp_replace(masked, f"(?U){pattern}", mask)
+    return F.when(col.rlike(_DIGITS) | F.contains(col, F.lit("@")), masked).otherwise(col)
 
 
 def _pattern_hits(col: Column, patterns: list[str], label: str) -> Column:

@@ -151,19 +151,20 @@ def normalize_location(col: Column) -> Column:
     return F.coalesce(F.try_element_at(known, place), title_case(place))
 
 
-def language_hits(col: Column) -> dict[str, Column]:
-    """Per language, the number of words of the text that are in its profile."""
-    words = F.split(F.lower(col), "[^\\p{L}]+")
+def with_language(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add ``out``: the language with the most profile words, 'unknown' without any.
 
-    def hits(profile: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(profile)))
-
-    return {lang: hits(profile) for lang, profile in LANGUAGE_WORDS.items()}
+    Ties go to the first language code. The text is split once and only words of some profile are kept, so
+    the count per language runs over a short array.
+    """
+    known = sorted({word for profile in LANGUAGE_WORDS.values() for word in profile})
+    words = F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), "[^\\p{L}]+")
 
+    def score(lang: str) -> Column:
+        hits = F.size(F.filter(F.col("_known"), lambda w: w.isin(LANGUAGE_WORDS[lang])))
+        return F.struct((-hits).alias("n"), F.lit(lang).alias("lang"))
 
-def detect_language(col: Column) -> Column:
-    """The language with the most profile words (first in code order on ties), 'unknown' without any."""
-    hits = language_hits(F.coalesce(col, F.lit("")))
-    ranked = F.sort_array(F.array(*[F.struct((-n).alias("n"), F.lit(lang).alias("lang")) for lang, n in hits.items()]))
-    best = ranked[0]
-    return F.when(best["n"] < 0, best["lang"]).otherwise("unknown")
+    scored = pin(df, _known=F.filter(words, lambda w: w.isin(known)))
+    best = F.array_min(F.array(*[score(lang) for lang in LANGUAGE_WORDS]))
+    ranked = pin(scored, _best=best)
+    return ranked.withColumn(out, F.when(F.col("_best.n") < 0, F.col("_best.lang")).otherwise("unknown")).drop("_known", "_best")

@@ -51,7 +51,7 @@ def explode_batch_response(df: DataFrame, response: str, keep: list[str]) -> Dat
     job = F.col("_job")
     shaped = F.lit(True)
     for path in ("$.advertiser", "$.location", "$.listedAt", "$.salary"):
-        shaped = shaped & (is_empty_json(part(job, path)) | is_object(part(job, path)))
+        shaped = shaped & (is_object(job, path) | is_empty_json(part(job, path)))
     live = (
         pin(entries, _job=part(F.col("_full"), "$.job"))
         .filter(is_filled_object(job) & is_empty_json(part(job, "$.isExpired")))
@@ -59,7 +59,7 @@ def explode_batch_response(df: DataFrame, response: str, keep: list[str]) -> Dat
     )
     job_id = or_empty(text_at(job, "$.id"))
     labels = F.transform(
-        F.filter(F.try_variant_get(job, "$.classifications", "array<variant>"), is_object),
+        F.filter(F.try_variant_get(job, "$.classifications", "array<variant>"), lambda c: is_object(c)),
         lambda c: or_empty(text_at(c, "$.label")),
     )
     payload = F.struct(
@@ -90,7 +90,7 @@ def response_errors(df: DataFrame, response: str, keep: list[str]) -> DataFrame:
     )
     key = text_at(F.col("_e"), "$.path[0]")
     details = F.try_element_at(F.try_variant_get("_v", "$.data", "map<string,variant>"), F.col("_key"))
-    by_job = F.when(is_object(part(F.col("_d"), "$.job")), F.coalesce(text_at(F.col("_d"), "$.job.id"), F.lit("unknown")))
+    by_job = F.when(is_object(F.col("_d"), "$.job"), F.coalesce(text_at(F.col("_d"), "$.job.id"), F.lit("unknown")))
     return (
         errors.withColumn("_key", F.when(F.startswith(key, F.lit("jobDetails")), key))
         .withColumn("_d", details)
@@ -176,8 +176,7 @@ def _fields_a(d: Column) -> dict[str, Column]:
 def _fields_b(d: Column) -> dict[str, Column]:
     def get(path: str) -> Column:
         """'' where the key is missing, null where it is null."""
-        found = part(d, path)
-        return F.when(found.isNull(), F.lit("")).otherwise(F.try_variant_get(found, "$", "string"))
+        return F.coalesce(text_at(d, path), F.when(part(d, path).isNull(), F.lit("")))
 
     low, high = part(d, "$.salary.minimum"), part(d, "$.salary.maximum")
     kind = F.when(part(d, "$.salary.type.salaryType").isNull(), "Monthly").otherwise(
@@ -221,8 +220,8 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _bad_structure(d: Column, is_a: Column) -> Column:
-    first_not_object = [~is_empty_json(part(d, p)) & ~is_object(part(d, f"{p}[0]")) for p in B_LISTS]
-    pay_type = is_object(part(d, "$.salary")) & null_or_not_object(d, "$.salary.type")
+    first_not_object = [~is_object(d, f"{p}[0]") & ~is_empty_json(part(d, p)) for p in B_LISTS]
+    pay_type = is_object(d, "$.salary") & null_or_not_object(d, "$.salary.type")
     in_b = ~is_object(d) | _any([null_or_not_object(d, p) for p in B_OBJECTS]) | _any(first_not_object) | pay_type
     return F.when(is_a, _any([not_object(d, p) for p in A_OBJECTS])).otherwise(in_b)
 
@@ -237,7 +236,7 @@ def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
     is_a, is_b = source == "jobstreet", source == "mcf"
     v, d = F.col("_v"), F.col("_data")
     inner = part(v, "$.raw")
-    data = F.when(F.when(is_a, is_object(inner)).otherwise(inner.isNotNull()), inner).otherwise(v)
+    data = F.when(F.when(is_a, is_object(v, "$.raw")).otherwise(inner.isNotNull()), inner).otherwise(v)
     reject = (
         F.when(~(is_a | is_b) | source.isNull(), "unknown_source")
         .when(v.isNull() | ~is_object(v), "bad_payload")

@@ -205,8 +205,10 @@ def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt
     """
     params = {**GBT_DEFAULTS, **changes}
     if kind == "linear":
-        n = train.count()
-        learner = LinearRegression(regParam=RIDGE_ALPHA / n, elasticNetParam=0.0, standardization=False)
+        # The learner scales the label, so its penalty has to be scaled by the label's deviation.
+        size = train.agg(F.count("*").alias("n"), F.stddev_samp("label").alias("s")).first()
+        penalty = RIDGE_ALPHA / size["n"] * (size["s"] or 1.0)
+        learner = LinearRegression(regParam=penalty, elasticNetParam=0.0, standardization=False)
         return PayModel(kind, learner.fit(train), feature_names, {"alpha": RIDGE_ALPHA})
     if kind not in ("gbt", "gbt_deep"):
         raise ValueError(f"unknown model kind {kind}")

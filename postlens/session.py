@@ -26,20 +26,21 @@ def build_session(app_name: str = "postlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Where the setting is missing, a local session gets a temporary folder; a cluster session fails, since
-    a machine-local folder is not visible to its executors.
+    Where neither is set, a local session gets a temporary folder; a cluster session fails, since a
+    machine-local folder is not visible to its executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="postlens-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _local_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="postlens-"))
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -47,6 +48,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer splits than that, ahead of costly work per row.
+
+    With as many splits as cores, which is any large input, this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

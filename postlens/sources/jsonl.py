@@ -187,7 +187,7 @@ def dump_errors(lines: DataFrame, col: str = "value") -> DataFrame:
         F.when(is_blank(F.col(col)), "Empty line")
         .when(v.isNull(), "Invalid JSON")
         .when(F.size("_missing") > 0, F.concat(F.lit("Missing RawJob fields: "), _quoted_list(F.col("_missing"))))
-        .when(~is_object(part(v, "$.payload")), "Payload must be a dictionary")
+        .when(~is_object(v, "$.payload"), "Payload must be a dictionary")
         .when(F.size("_empty") > 0, F.concat(F.lit("Missing payload fields: "), _quoted_list(F.col("_empty"))))
     )
     return (
