@@ -96,10 +96,19 @@ def _(t):
     return jsonl.tag_run(t.events.select("event_id", path.alias("path"), created.alias("created")), "path", "created").drop("created")
 
 
-@query("list_run_files")
+@query(
+    "list_run_files",
+    "SELECT event_type AS folder, true AS has_files, true AS sizes_known, count(*) AS n_rows FROM events GROUP BY 1",
+)
 def _(t):
-    files = tables.list_run_files(t.spark, t.folder, "*.parquet")
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "size")
+    path = scratch_dir(t.spark, "listing")
+    t.events.select("event_id", "event_type").write.partitionBy("event_type").json(path)
+    folder = F.regexp_extract("path", "event_type=([a-z]+)/", 1).alias("folder")
+    listed = tables.list_run_files(t.spark, path, "*.json").groupBy(folder).agg(F.count("*").alias("files"), F.min("size").alias("smallest"))
+    written = t.spark.read.schema("event_id bigint, event_type string").json(path).groupBy(F.col("event_type").alias("folder"))
+    return listed.join(written.agg(F.count("*").alias("n_rows")), "folder").select(
+        "folder", (F.col("files") > 0).alias("has_files"), (F.col("smallest") > 0).alias("sizes_known"), "n_rows"
+    )
 
 
 @query(
@@ -400,8 +409,7 @@ def _(t):
     "round(count(*) FILTER (reject IS NULL) * 100.0::DOUBLE / count(*), 1) AS success_pct FROM q GROUP BY 1",
 )
 def _(t):
-    fields = extract.extract_fields(fx.raw_postings(t))
-    return stats.success_rate(fields.filter("reject IS NULL"), fields.filter("reject IS NOT NULL"), "source")
+    return stats.success_rate(extract.extract_fields(fx.raw_postings(t)), "source", F.col("reject").isNull())
 
 
 @query(

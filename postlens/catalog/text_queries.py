@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from postlens.catalog.registry import query
 from postlens.functions import fixed, guard, vectors
 from postlens.functions import text as tx
-from postlens.functions.salary import with_salary
+from postlens.functions.salary import pay_period, with_salary
+from postlens.operators.grading import judge_answers
 
 RE2_WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -193,8 +194,6 @@ def _(t):
     "ELSE 'monthly' END AS period, count(*) AS n FROM s GROUP BY 1",
 )
 def _(t):
-    from postlens.functions.salary import pay_period
-
     return t.orders.groupBy(pay_period(F.expr(PAY_SQL)).alias("period")).agg(F.count("*").alias("n"))
 
 
@@ -338,14 +337,13 @@ def _(t):
 def _(t):
     conv = t.conversations
     user = conv.filter(F.col("role") == "user")
-    context = user.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).cast("array<string>").alias("context"))
+    context = user.select("conv_id", F.col("turn").cast("string").alias("job_id"))
     key = F.col("conv_id") % 11
     answer = F.when(key == 0, F.lit(None)).when(key == 1, "  ").when(key == 2, F.repeat("text", F.lit(60))).otherwise(F.col("text"))
-    cited = F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(
-        F.array((F.col("turn") - 1).cast("string"), F.col("turn").cast("string"))
-    )
-    answers = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", answer.alias("answer"), cited.alias("cited"))
-    judged = answers.join(context, "conv_id", "left").withColumn(
-        "v", guard.output_verdict(F.col("answer"), F.col("cited"), F.col("context"))
-    )
-    return judged.select("conv_id", "turn", "v.passed", "v.severity", "v.reason", F.array_join("v.violations", "; ").alias("violations"))
+    replies = conv.filter(F.col("role") == "assistant")
+    answers = replies.select("conv_id", "turn", answer.alias("answer"))
+    around = F.explode(F.array(F.col("turn") - 1, F.col("turn")))
+    cited = replies.filter(F.col("conv_id") % 5 != 0).select("conv_id", "turn", around.alias("job_id"))
+    judged = judge_answers(answers, cited.withColumn("job_id", F.col("job_id").cast("string")), context, ["conv_id", "turn"], ["conv_id"])
+    judged = judged.select("conv_id", "turn", "verdict.*")
+    return judged.select("conv_id", "turn", "passed", "severity", "reason", F.array_join("violations", "; ").alias("violations"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from postlens.functions.guard import output_verdict
 from postlens.functions.staging import pin
 from postlens.functions.text import strip_ws
 from postlens.functions.variants import is_object, part
@@ -26,6 +31,28 @@ def _json_body(reply: Column) -> Column:
     return F.when(F.contains(text, F.lit("```json")), tagged).when(F.contains(text, F.lit("```")), plain).otherwise(text)
 
 
+def model_replies(df: DataFrame, prompt: str, make_model: Callable, out: str = "reply", batch: int = 16) -> DataFrame:
+    """Add the replies of a pluggable model to a prompt column; ``make_model`` runs once per Python worker."""
+    return df.withColumn(out, predict_batch_udf(make_model, return_type=StringType(), batch_size=batch)(prompt))
+
+
+def judge_answers(answers: DataFrame, cited: DataFrame, context: DataFrame, keys: list[str], context_keys: list[str]) -> DataFrame:
+    """Verdict per answer from tables: answers (keys, answer), cited (keys, job_id), context (context_keys, job_id).
+
+    Citations are checked by an anti join, so a context of any size is never gathered in one place; only an
+    answer's own citations are. Answers without any context rows skip the check.
+    """
+    with_context = context.select(*context_keys).distinct().withColumn("_has_context", F.lit(True))
+    unknown = cited.join(context, [*context_keys, "job_id"], "left_anti")
+    own = cited.groupBy(*keys).agg(F.array_sort(F.collect_list("job_id")).alias("_cited"))
+    bad = unknown.groupBy(*keys).agg(F.array_sort(F.collect_list("job_id")).alias("_unknown"))
+    joined = answers.join(own, keys, "left").join(bad, keys, "left").join(with_context, context_keys, "left")
+    none = F.array().cast("array<string>")
+    all_cited, all_bad = F.coalesce("_cited", none), F.coalesce("_unknown", none)
+    known = F.when(F.col("_has_context"), F.array_except(all_cited, all_bad))
+    return joined.withColumn("verdict", output_verdict(F.col("answer"), all_cited, known)).drop("_cited", "_unknown", "_has_context")
+
+
 def parse_grades(df: DataFrame, reply: str) -> DataFrame:
     """Add ``score`` (0 to 10), ``explanation`` and ``counted`` read from model replies.
 

@@ -13,7 +13,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.operators.search import MAX_QUERY_BYTES, Best, _batch_of, _hit_schema, distances, matrix_of, query_block, score_into
+from postlens.operators.search import (
+    GRID_BLOCK_ROWS,
+    MAX_QUERY_BYTES,
+    Best,
+    _batch_of,
+    _hit_schema,
+    distances,
+    grid_hits,
+    matrix_of,
+    query_block,
+    score_into,
+)
 from postlens.session import materialise
 
 
@@ -69,22 +80,54 @@ def ivf_build(
     return IvfIndex(model, stored, id_col, metric)
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
+def probed_lists(index: IvfIndex, queries: DataFrame, qid: str, qvec: str, nprobe: int) -> DataFrame:
+    """The ``nprobe`` lists nearest to each query, one row per query and list."""
+    centroids, metric = index.centroids, index.metric
+    query_type = queries.schema[qid].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = np.argsort(distances(matrix_of(batch.column(1)), centroids, metric), axis=1, kind="stable")[:, :nprobe]
+            taken = np.repeat(np.arange(len(order)), order.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(taken)), batch.column(1).take(pa.array(taken)), pa.array(order.ravel().astype(np.int32))],
+                names=[qid, qvec, "list_id"],
+            )
+
+    held = queries.filter(F.col(qvec).isNotNull()).select(qid, F.col(qvec).cast("array<double>").alias(qvec))
+    return held.mapInArrow(run, f"{qid} {query_type}, {qvec} array<double>, list_id int")
+
+
+def ivf_search(
+    index: IvfIndex,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    qid: str = "query_id",
+    qvec: str = "embedding",
+    max_query_bytes: int = MAX_QUERY_BYTES,
+    grid_block_rows: int = GRID_BLOCK_ROWS,
+) -> DataFrame:
     """The k nearest rows among the ``nprobe`` lists nearest to each query.
 
-    Rows stay where they are: a task scores each row only against the queries that probe its list, so a
-    list that holds a large share of all rows is still worked on by all tasks that read it.
+    With a query set of bounded size rows stay where they are: a task scores each row only against the
+    queries that probe its list, so a list with a large share of all rows is still worked on by all tasks
+    that read it. Larger query sets meet the rows list by list, in blocks.
     """
-    block = query_block(queries, qid, qvec, MAX_QUERY_BYTES)
+    id_col, metric = index.id_col, index.metric
+    schema = _hit_schema(index.rows, queries, id_col, qid)
+    nearest = Window.partitionBy(qid).orderBy("distance", id_col)
+    stored = index.rows.select(id_col, "embedding", F.col("list_id").cast("int").alias("list_id"))
+    block = query_block(queries, qid, qvec, max_query_bytes)
     if block is None:
-        raise ValueError("too many queries for one search; split the query table")
-    schema = _hit_schema(index.rows, queries, index.id_col, qid)
-    order = np.argsort(distances(block.vectors, index.centroids, index.metric), axis=1, kind="stable")[:, :nprobe]
+        asked = materialise(probed_lists(index, queries, qid, qvec, nprobe), "probes")
+        hits = grid_hits(stored, asked, schema, k, id_col, "embedding", qid, qvec, metric, grid_block_rows, "list_id")
+        return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    order = np.argsort(distances(block.vectors, index.centroids, metric), axis=1, kind="stable")[:, :nprobe]
     probing: dict[int, list[int]] = {}
     for query, lists in enumerate(order):
         for list_id in lists:
             probing.setdefault(int(list_id), []).append(query)
-    metric = index.metric
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, len(block.ids))
@@ -96,11 +139,9 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, qid: st
                 score_into(best, ids[here], rows[here], block.vectors, metric, probing.get(int(list_id), []))
         yield _batch_of(schema, best.rows(block.ids))
 
-    probed = index.rows.select(index.id_col, "embedding", "list_id")
     if len(probing) < len(index.centroids):
-        probed = probed.filter(F.col("list_id").isin(sorted(probing)))
-    hits = probed.mapInArrow(run, schema)
-    nearest = Window.partitionBy(qid).orderBy("distance", index.id_col)
+        stored = stored.filter(F.col("list_id").isin(sorted(probing)))
+    hits = stored.mapInArrow(run, schema)
     return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.staging import pin
@@ -72,17 +72,13 @@ def error_bursts(log: DataFrame, ts: str, is_error: Column, more_than: int = 2,
     )
 
 
-def silence_gaps(log: DataFrame, key: str, ts: str, longer_than: str = "25 hours") -> DataFrame:
-    """Gaps between consecutive records of a key that are longer than the given span.
+def silence_gaps(log: DataFrame, key: str, ts: str, hours: int = 25) -> DataFrame:
+    """Gaps of at least ``hours`` between consecutive records of a key.
 
-    Records closer than the span merge into one session, with partial sessions merged before the shuffle;
-    only session ends are ordered.
+    No such gap fits into one clock hour, so records are first folded to (key, hour); what is ordered per
+    key then grows with its time span and not with its number of records.
     """
-    from pyspark.sql import Window
-
-    sessions = log.groupBy(F.col(key), F.session_window(ts, longer_than).alias("s")).agg(
-        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
-    )
-    following = F.lead("first_ts").over(Window.partitionBy(key).orderBy("first_ts"))
-    gaps = sessions.select(key, F.col("last_ts").alias("silent_from"), following.alias("silent_to"))
-    return gaps.filter(F.col("silent_to").isNotNull())
+    folded = log.groupBy(key, F.date_trunc("hour", ts).alias("_hour")).agg(F.min(ts).alias("_first"), F.max(ts).alias("silent_from"))
+    following = F.lead("_first").over(Window.partitionBy(key).orderBy("_hour"))
+    gaps = folded.select(key, "silent_from", following.alias("silent_to"))
+    return gaps.filter(F.col("silent_to") >= F.col("silent_from") + F.make_dt_interval(hours=F.lit(hours)))

@@ -7,7 +7,6 @@ through a block grid instead, where each task meets one block of queries and one
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -145,35 +144,49 @@ def scan_best(schema: T.StructType, block: QueryBlock, k: int, metric: str) -> C
     return run
 
 
-def _grid_hits(
-    corpus: DataFrame, queries: DataFrame, schema: T.StructType, k: int, id_col: str, vec: str, qid: str, qvec: str, metric: str, block_rows: int
+def grid_hits(
+    rows: DataFrame,
+    asked: DataFrame,
+    schema: T.StructType,
+    k: int,
+    id_col: str,
+    vec: str,
+    qid: str,
+    qvec: str,
+    metric: str,
+    block_rows: int,
+    list_col: str = "_list",
 ) -> DataFrame:
-    """Block by block: every group holds one bounded block of rows and one of queries.
+    """Rows against queries of the same list, block by block.
 
-    Blocks are dealt out by row number, so repeated ids or copies cannot pile up in one of them.
+    Each list is cut into blocks of rows and of queries by the size it has; every group holds one block of
+    each, whatever share of all rows the list has. Blocks are dealt out by row number, so repeated ids or
+    copies of a vector cannot pile up in one. Only the k best per query leave a group.
     """
-    row_blocks = max(1, math.ceil(corpus.count() / block_rows))
-    query_blocks = max(1, math.ceil(queries.count() / block_rows))
-    dealt = F.monotonically_increasing_id()
-    rows = corpus.select(id_col, vec, F.pmod(dealt, F.lit(row_blocks)).alias("_rb"))
-    rows = rows.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.select(qid, qvec, F.pmod(dealt, F.lit(query_blocks)).cast("int").alias("_qb"))
-    asked = asked.withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(row_blocks - 1).cast("bigint"))))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(list_col).agg(F.ceil(F.count("*") / block_rows).alias(name))
+
+    sizes = materialise(blocks(rows, "_row_blocks").join(blocks(asked, "_query_blocks"), list_col), "grid")
+    zero = F.lit(0).cast("bigint")
+
+    def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        placed = df.join(sizes, list_col).withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(own_blocks)))
+        return placed.withColumn(other, F.explode(F.sequence(zero, F.col(other_blocks) - 1))).drop("_row_blocks", "_query_blocks")
+
+    row_side = dealt(rows, "_rb", "_row_blocks", "_qb", "_query_blocks")
+    query_side = dealt(asked, "_qb", "_query_blocks", "_rb", "_row_blocks")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column(qid).to_pylist()
         best = Best(k, len(ids))
         if len(ids) and right.num_rows:
-            score_into(
-                best,
-                np.array(right.column(id_col).to_pylist(), dtype=object),
-                matrix_of(right.column(vec)),
-                matrix_of(left.column(qvec)),
-                metric,
-            )
+            row_ids = np.array(right.column(id_col).to_pylist(), dtype=object)
+            score_into(best, row_ids, matrix_of(right.column(vec)), matrix_of(left.column(qvec)), metric)
         return pa.Table.from_batches([_batch_of(schema, best.rows(ids))])
 
-    return asked.groupBy("_qb", "_rb").cogroup(rows.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
+    cells = [list_col, "_qb", "_rb"]
+    return query_side.groupBy(*cells).cogroup(row_side.groupBy(*cells)).applyInArrow(meet, schema)
 
 
 def knn_search(
@@ -195,7 +208,9 @@ def knn_search(
     schema = _hit_schema(corpus, queries, id_col, qid)
     block = query_block(queries, qid, qvec, max_query_bytes)
     if block is None:
-        hits = _grid_hits(rows, queries.filter(F.col(qvec).isNotNull()), schema, k, id_col, vec, qid, qvec, metric, grid_block_rows)
+        one_list = F.lit(0).alias("_list")
+        asked = queries.filter(F.col(qvec).isNotNull()).select(qid, qvec, one_list)
+        hits = grid_hits(rows.select("*", one_list), asked, schema, k, id_col, vec, qid, qvec, metric, grid_block_rows)
     else:
         hits = rows.mapInArrow(scan_best(schema, block, k, metric), schema)
     nearest = Window.partitionBy(qid).orderBy("distance", id_col)

@@ -12,6 +12,7 @@ from postlens.operators.dedup import latest_per_key
 from postlens.session import materialise
 
 QUARTILES = [0.25, 0.5, 0.75]
+MAX_NARROWINGS = 6
 
 
 def _rounded(col: Column, digits: int = 2) -> Column:
@@ -19,53 +20,80 @@ def _rounded(col: Column, digits: int = 2) -> Column:
     return F.round(F.nullif(col, F.lit(0.0)), digits)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[str], accuracy: int = 10000) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: list[float], group: list[str], accuracy: int = 10000, max_inside: int = 1_000_000
+) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row per group with ``n`` and ``q0``, ``q1``, ...
 
-    A mergeable sketch brackets every quantile; a second pass counts the rows below each bracket and ranks
-    the few distinct values inside it. No group is ever held or sorted whole.
+    A mergeable sketch brackets every quantile, a second pass counts the rows below and inside each bracket,
+    and only the distinct values inside are ranked. While a bracket holds more than ``max_inside`` of them it
+    is narrowed by a sketch of its own, so no group is ever held or sorted whole.
     """
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    slots = range(len(probs))
     slack = 4.0 / accuracy
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
-    sketch = materialise(
-        base.groupBy(*group).agg(
-            F.count("*").alias("n"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx("_v", [float(e) for e in edges], accuracy).alias("_edges"),
-        ),
-        "quantile-sketch",
-    )
-    low = [F.when(F.lit(edges[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_edges")[2 * i]) for i in range(len(probs))]
-    high = [F.when(F.lit(edges[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]) for i in range(len(probs))]
-    bracketed = base.join(sketch, group, "inner")
-    below = bracketed.groupBy(*group).agg(*[F.count_if(F.col("_v") < low[i]).alias(f"_below{i}") for i in range(len(probs))])
-    inside = F.array_compact(
-        F.array(*[F.when((F.col("_v") >= low[i]) & (F.col("_v") <= high[i]), F.lit(i)) for i in range(len(probs))])
+    sketch = base.groupBy(*group).agg(
+        F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", edges, accuracy).alias("_e")
     )
-    near = (
-        bracketed.select(*group, "n", "_v", F.explode(inside).alias("_i"))
-        .groupBy(*group, "n", "_i", "_v")
+    bounds = {}
+    for i in slots:
+        bounds[f"_lo{i}"] = F.col("_min") if edges[2 * i] == 0.0 else F.col("_e")[2 * i]
+        bounds[f"_hi{i}"] = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1]
+    names = [*group, "n", *bounds]
+    brackets = materialise(sketch.select(*group, "n", *[c.alias(name) for name, c in bounds.items()]), "quantile-sketch")
+
+    def inside(i: int) -> Column:
+        return (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
+
+    def target(i: int) -> Column:
+        return F.lit(probs[i]) * (F.col("n") - 1)
+
+    for _ in range(MAX_NARROWINGS + 1):
+        joined = base.join(brackets, group)
+        measured = joined.groupBy(*names).agg(
+            *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in slots],
+            *[F.count_if(inside(i)).alias(f"_inside{i}") for i in slots],
+            *[F.approx_count_distinct(F.when(inside(i), F.col("_v"))).alias(f"_distinct{i}") for i in slots],
+        )
+        measured = materialise(measured, "quantile-counts")
+        widest = measured.agg(F.max(F.greatest(F.lit(0), *[F.col(f"_distinct{i}") for i in slots]))).first()[0]
+        if (widest or 0) <= max_inside:
+            break
+        grid = [g / 64 for g in range(65)]
+        finer = joined.groupBy(*names).agg(*[F.percentile_approx(F.when(inside(i), F.col("_v")), grid, accuracy).alias(f"_e{i}") for i in slots])
+        located = finer.join(measured, names)
+        narrowed = {}
+        for i in slots:
+            share = F.floor((target(i) - F.col(f"_below{i}")) / F.col(f"_inside{i}") * 64).cast("int")
+            low = F.get(F.col(f"_e{i}"), F.greatest(share - 1, F.lit(0)))
+            high = F.get(F.col(f"_e{i}"), F.least(share + 3, F.lit(64)))
+            narrowed[f"_lo{i}"] = F.when(share > 0, low).otherwise(F.col(f"_lo{i}"))
+            narrowed[f"_hi{i}"] = F.when(share < 62, high).otherwise(F.col(f"_hi{i}"))
+        step = located.select(*group, "n", *[c.alias(name) for name, c in narrowed.items()])
+        brackets = materialise(step, "quantile-sketch")
+
+    hits = F.array_compact(F.array(*[F.when(inside(i), F.lit(i)) for i in slots]))
+    ranked = (
+        joined.select(*group, "_v", F.explode(hits).alias("_i"))
+        .groupBy(*group, "_i", "_v")
         .agg(F.count("*").alias("_c"))
         .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group, "_i").orderBy("_v")))
-        .join(below, group, "inner")
+        .join(measured, group)
     )
-    start = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("_i") + 1)
+    start = F.element_at(F.array(*[F.col(f"_below{i}") for i in slots]), F.col("_i") + 1)
     position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * (F.col("n") - 1)
 
     def at(rank: Column) -> Column:
         return (start + F.col("_upto") - F.col("_c") <= rank) & (rank < start + F.col("_upto"))
 
-    picked = near.groupBy(*group, "n", "_i", position.alias("_pos")).agg(
-        F.max(F.when(at(F.floor(position)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(at(F.ceil(position)), F.col("_v"))).alias("_hi"),
-    )
-    found = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double"))
-    return picked.groupBy(*group, "n").agg(
-        *[F.max(F.when(F.col("_i") == i, checked)).alias(f"q{i}") for i in range(len(probs))]
+    picked = ranked.groupBy(*group, "n", "_i", position.alias("_pos")).agg(
+        F.max(F.when(at(F.floor(position)), F.col("_v"))).alias("_low"),
+        F.max(F.when(at(F.ceil(position)), F.col("_v"))).alias("_high"),
     )
+    found = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))
+    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+    return picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, checked)).alias(f"q{i}") for i in slots])
 
 
 def group_salary_stats(
@@ -242,15 +270,12 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells))).withColumn("corr", F.round("corr", 6))
 
 
-def success_rate(cleaned: DataFrame, rejected: DataFrame, source: str) -> DataFrame:
-    """Share of rows that passed a transformation, per source."""
-    flags = cleaned.select(F.col(source).alias("source"), F.lit(1).alias("ok")).unionAll(
-        rejected.select(F.col(source).alias("source"), F.lit(0).alias("ok"))
-    )
-    return flags.groupBy("source").agg(
-        F.sum("ok").alias("succeeded"),
-        F.sum(1 - F.col("ok")).alias("failed"),
-        F.round(F.avg("ok") * 100, 1).alias("success_pct"),
+def success_rate(rows: DataFrame, source: str, ok: Column) -> DataFrame:
+    """Share of rows that passed a transformation, per source, in one pass."""
+    return rows.groupBy(F.col(source).alias("source")).agg(
+        F.count_if(ok).alias("succeeded"),
+        F.count_if(~ok).alias("failed"),
+        F.round(F.avg(ok.cast("int")) * 100, 1).alias("success_pct"),
     )
 
 

@@ -56,7 +56,11 @@ def test_ivf_with_all_lists_is_flat(vectors, queries):
     index = ivf.ivf_build(vectors[0], 6, id_col="id")
     flat = {(r["query_id"], r["id"]) for r in search.knn_search(vectors[0], queries[0], 10, id_col="id").collect()}
     assert {(r["query_id"], r["id"]) for r in ivf.ivf_search(index, queries[0], 10, 6).collect()} == flat
+    blocked = ivf.ivf_search(index, queries[0], 10, 6, max_query_bytes=0, grid_block_rows=50)
+    assert {(r["query_id"], r["id"]) for r in blocked.collect()} == flat
     few = ivf.ivf_search(index, queries[0], 10, 1)
+    few_blocked = ivf.ivf_search(index, queries[0], 10, 1, max_query_bytes=0, grid_block_rows=50)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, few_blocked.collect()))
     truth = search.knn_search(vectors[0], queries[0], 10, id_col="id")
     assert 0 < ivf.recall_of(few, truth, "query_id", "id").first()["recall"] <= 1
     assert ivf.ivf_health(index).agg(F.sum("n_rows")).first()[0] == 400
@@ -95,8 +99,9 @@ def test_exact_quantiles(spark, case):
     values = {"spread": rng.normal(size=30011), "hot": np.where(rng.random(20000) < 0.4, 5.0, rng.random(20000) * 10), "constant": np.full(500, 2.5), "outlier": np.append(rng.random(9999), 1e12)}[case]
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    row = stats.exact_quantiles(df, "v", probs, ["g"], accuracy=500).first()
-    assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(values, probs)))
+    for most in (1_000_000, 40):
+        row = stats.exact_quantiles(df, "v", probs, ["g"], accuracy=500, max_inside=most).first()
+        assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(values, probs)))
 
 
 @pytest.mark.parametrize("case", ["one_day", "one_instant", "mixed", "nulls"])
