@@ -70,8 +70,8 @@ def _(t):
 
 @query(
     "top_n_per_group",
-    "SELECT o_orderpriority, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority "
-    "ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 10",
+    "SELECT o_orderpriority, o_orderkey, o_totalprice, rank FROM (SELECT *, (row_number() OVER (PARTITION BY o_orderpriority "
+    "ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS rank FROM orders) WHERE rank <= 10",
 )
 def _(t):
     orders = t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice")

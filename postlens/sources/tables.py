@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.session import materialise
+
 FIELD_ROW = "field string, position int, type string"
 
 
@@ -19,19 +21,18 @@ def clustered_by_day(df: DataFrame, ts: str, cluster: list[str]) -> DataFrame:
 
 
 def append_rows(df: DataFrame, path: str, ts: str, cluster: list[str], required: list[str]) -> dict[str, int]:
-    """Append rows as day-partitioned parquet and report counts, taken in the same pass as the write.
+    """Append rows as day-partitioned parquet and report counts.
 
-    Rows without a required value are not written and count as failed; the append itself is atomic.
+    Rows without a required value are not written and count as failed; the append itself is atomic. The rows
+    are staged once in scratch, so that whatever made them runs once for the counts, the range sampling of
+    the layout and the append.
     """
     broken = F.lit(False)
     for name in required:
         broken = broken | F.col(name).isNull()
-    seen = Observation()
-    counted = df.observe(seen, F.count("*").alias("total_rows"), F.count_if(broken).alias("failed_rows"))
-    dated = counted.withColumn("date", F.to_date(ts)).filter(~broken)
-    # Every key is in this sort order, so the files stay prunable by cluster column.
-    dated.sortWithinPartitions("date", *cluster).write.mode("append").partitionBy("date").parquet(path)
-    counts = seen.get
+    staged = materialise(df, "append")
+    counts = staged.agg(F.count("*").alias("total_rows"), F.count_if(broken).alias("failed_rows")).first().asDict()
+    clustered_by_day(staged.filter(~broken), ts, cluster).write.mode("append").partitionBy("date").parquet(path)
     return {**counts, "successful_rows": counts["total_rows"] - counts["failed_rows"]}
 
 
