@@ -196,7 +196,7 @@ def _(t):
 @query("embed_table")
 def _(t):
     docs = t.documents.select("doc_id", F.col("source").alias("title"), "text")
-    known = t.embeddings.select(F.col("vec_id").alias("doc_id"))
+    known = t.embeddings.filter("label <= 4").select(F.col("vec_id").alias("doc_id"))
     created = F.to_timestamp(F.lit("2024-06-01T00:00:00Z"))
     done = embed.embed_table(docs, known, ["doc_id"], "doc_id", [], "title", "text", embed.hashing_embedder(), "hashing-384", created)
     return done.select("doc_id", "model_name", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 3).alias("norm"))

@@ -24,6 +24,8 @@ def hashing_embedder(dim: int = EMBEDDING_DIM) -> Callable[[DataFrame, str, str]
     """Default embedding: hashed words weighted by rarity, scaled to unit length."""
 
     def embed(df: DataFrame, text: str, out: str) -> DataFrame:
+        if df.isEmpty():
+            return df.withColumn(out, F.lit(None).cast("array<float>"))
         stages = [
             RegexTokenizer(inputCol=text, outputCol="_words", pattern="[\\p{L}\\p{N}]+", gaps=False),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),

@@ -121,7 +121,13 @@ def ivf_search(
     block = query_block(queries, qid, qvec, max_query_bytes)
     if block is None:
         asked = materialise(probed_lists(index, queries, qid, qvec, nprobe), "probes")
-        hits = grid_hits(stored, asked, schema, k, id_col, "embedding", qid, qvec, metric, grid_block_rows, "list_id")
+
+        def blocks(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("list_id").agg(F.ceil(F.count("*") / grid_block_rows).alias(name))
+
+        sizes = materialise(blocks(stored, "_row_blocks").join(blocks(asked, "_query_blocks"), "list_id"), "grid")
+        sized = [side.join(sizes, "list_id") for side in (stored, asked)]
+        hits = grid_hits(*sized, schema, k, id_col, "embedding", qid, qvec, metric, "list_id")
         return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     order = np.argsort(distances(block.vectors, index.centroids, metric), axis=1, kind="stable")[:, :nprobe]
     probing: dict[int, list[int]] = {}

@@ -154,24 +154,19 @@ def grid_hits(
     qid: str,
     qvec: str,
     metric: str,
-    block_rows: int,
     list_col: str = "_list",
 ) -> DataFrame:
     """Rows against queries of the same list, block by block.
 
-    Each list is cut into blocks of rows and of queries by the size it has; every group holds one block of
-    each, whatever share of all rows the list has. Blocks are dealt out by row number, so repeated ids or
-    copies of a vector cannot pile up in one. Only the k best per query leave a group.
+    Both sides carry ``_row_blocks`` and ``_query_blocks``, the number of blocks their list is cut into, so
+    that every group holds one bounded block of each, whatever share of all rows a list has. Blocks are
+    dealt out by row number, so repeated ids or copies of a vector cannot pile up in one. Only the k best
+    per query leave a group.
     """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(list_col).agg(F.ceil(F.count("*") / block_rows).alias(name))
-
-    sizes = materialise(blocks(rows, "_row_blocks").join(blocks(asked, "_query_blocks"), list_col), "grid")
     zero = F.lit(0).cast("bigint")
 
     def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
-        placed = df.join(sizes, list_col).withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(own_blocks)))
+        placed = df.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(own_blocks)))
         return placed.withColumn(other, F.explode(F.sequence(zero, F.col(other_blocks) - 1))).drop("_row_blocks", "_query_blocks")
 
     row_side = dealt(rows, "_rb", "_row_blocks", "_qb", "_query_blocks")
@@ -208,9 +203,13 @@ def knn_search(
     schema = _hit_schema(corpus, queries, id_col, qid)
     block = query_block(queries, qid, qvec, max_query_bytes)
     if block is None:
-        one_list = F.lit(0).alias("_list")
-        asked = queries.filter(F.col(qvec).isNotNull()).select(qid, qvec, one_list)
-        hits = grid_hits(rows.select("*", one_list), asked, schema, k, id_col, vec, qid, qvec, metric, grid_block_rows)
+        asked = queries.filter(F.col(qvec).isNotNull()).select(qid, qvec)
+        blocks = {
+            "_row_blocks": F.lit(-(-rows.count() // grid_block_rows)).cast("bigint"),
+            "_query_blocks": F.lit(-(-asked.count() // grid_block_rows)).cast("bigint"),
+            "_list": F.lit(0),
+        }
+        hits = grid_hits(rows.withColumns(blocks), asked.withColumns(blocks), schema, k, id_col, vec, qid, qvec, metric)
     else:
         hits = rows.mapInArrow(scan_best(schema, block, k, metric), schema)
     nearest = Window.partitionBy(qid).orderBy("distance", id_col)

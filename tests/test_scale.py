@@ -73,6 +73,19 @@ def test_similar_items_small(vectors):
     assert per["id0200"] <= 6 and all(r["similarity_score"] >= 0 for r in found.collect())
 
 
+def test_nothing_to_embed(spark):
+    none = spark.createDataFrame([], "k int, title string, text string")
+    known = spark.createDataFrame([], "k int")
+    done = embed.embed_table(none, known, ["k"], "k", [], "title", "text", embed.hashing_embedder(16), "m")
+    assert done.count() == 0
+
+
+def test_plans_have_no_cross_joins(spark, vectors, queries):
+    found = search.knn_search(vectors[0], queries[0], 5, id_col="id", max_query_bytes=0, grid_block_rows=90)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_intra_group_similarity(spark, vectors):
     points = vectors[1].astype(np.float64)
     unit = points / np.linalg.norm(points, axis=1)[:, None]
