@@ -173,7 +173,14 @@ def _(t):
     return spark.table(f"{name}.raw_jobs").groupBy("date", "source").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("jobs"))
 
 
-@query("recreate_tables")
+@query(
+    "recreate_tables",
+    "WITH m AS (SELECT count(*) FILTER (user_id = 0) AS missing, count(*) AS n FROM events), "
+    "c AS (SELECT * FROM (VALUES ('job_id', 'string', NULL), ('source', 'string', 'where it''s from'), ('scrape_timestamp', 'timestamp', NULL), "
+    "('payload', 'string', NULL), ('crawl', 'string', NULL), ('date', 'date', NULL)) AS v(field, type, comment)) "
+    "SELECT field, type, comment, CASE WHEN field = 'job_id' AND missing > 0 THEN missing END AS missing_count, "
+    "CASE WHEN field = 'job_id' AND missing > 0 THEN round(missing * 100.0::DOUBLE / n, 2) END AS missing_pct FROM c, m",
+)
 def _(t):
     spark = t.spark
     database = scratch_dir(spark, "db")

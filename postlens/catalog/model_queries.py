@@ -269,7 +269,7 @@ def _(t):
     return models.classification_metrics(model.transform(rows), "label", "prediction")
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT true AS same, count(*) AS n, '6' AS k FROM embeddings")
 def _(t):
     path = scratch_dir(t.spark, "model")
     fitted = models.kmeans_fit(t.embeddings, "embedding", k=6, tries=1)

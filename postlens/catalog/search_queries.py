@@ -193,7 +193,10 @@ def _(t):
     return embed.intra_group_similarity(t.embeddings, "label")
 
 
-@query("embed_table")
+@query(
+    "embed_table",
+    "SELECT doc_id, 'hashing-384' AS model_name, 384 AS dims, 1.0::DOUBLE AS norm FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <= 4)",
+)
 def _(t):
     docs = t.documents.select("doc_id", F.col("source").alias("title"), "text")
     known = t.embeddings.filter("label <= 4").select(F.col("vec_id").alias("doc_id"))

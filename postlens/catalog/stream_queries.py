@@ -97,7 +97,7 @@ def _(t):
     )
 
 
-@query("stream_embed_new")
+@query("stream_embed_new", "SELECT 'hashing-64' AS model_name, count(*) AS n, count(DISTINCT doc_id) AS jobs FROM documents")
 def _(t):
     spark, target = t.spark, scratch_dir(t.spark, "embedded")
     docs = spark.readStream.schema(t.documents.schema).parquet(f"{t.folder}/documents.parquet*")

@@ -285,16 +285,16 @@ def _(t):
 
 
 _calls_sql = (
-    "WITH calls AS (SELECT CASE WHEN u.conv_id % 3 = 0 THEN 'ollama' ELSE 'vertexai' END AS provider, "
-    "CASE WHEN u.conv_id % 3 = 0 THEN 'qwen3-vl:4b' ELSE 'gemini-2.5-flash' END AS model, "
+    "WITH calls AS (SELECT CASE WHEN u.conv_id % 3 = 0 THEN 'local' ELSE 'hosted' END AS provider, "
+    "CASE WHEN u.conv_id % 3 = 0 THEN 'local-model' ELSE 'hosted-model' END AS model, "
     "length(u.text) // 4 AS tin, length(a.text) // 4 AS tout FROM conversations u JOIN conversations a "
     "ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'), "
-    "c AS (SELECT *, CASE WHEN provider = 'vertexai' THEN tin / 1e6 * 0.075 + tout / 1e6 * 0.30 ELSE 0.0 END::DOUBLE AS cost FROM calls) "
+    "c AS (SELECT *, CASE WHEN provider = 'hosted' THEN tin / 1e6 * 0.075 + tout / 1e6 * 0.30 ELSE 0.0 END::DOUBLE AS cost FROM calls) "
 )
 
 
 @query(
-    "llm_usage_rollup",
+    "usage_rollup",
     _calls_sql + "SELECT CASE WHEN grouping(provider) = 1 THEN 'all' ELSE provider END AS provider, CASE WHEN grouping(model) = 1 THEN 'all' ELSE model END AS model, "
     "count(*) AS requests, sum(tin)::BIGINT AS tokens_input, sum(tout)::BIGINT AS tokens_output, round(sum(cost), 9) AS cost_usd, "
     "round(avg(cost), 9) AS avg_cost_usd FROM c GROUP BY ROLLUP (provider, model)",
@@ -305,12 +305,12 @@ def _(t):
     replied = conv.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reply"))
     local = F.col("conv_id") % 3 == 0
     calls = asked.join(replied, ["conv_id", "turn"]).select(
-        F.when(local, "ollama").otherwise("vertexai").alias("provider"),
-        F.when(local, "qwen3-vl:4b").otherwise("gemini-2.5-flash").alias("model"),
+        F.when(local, "local").otherwise("hosted").alias("provider"),
+        F.when(local, "local-model").otherwise("hosted-model").alias("model"),
         "prompt",
         "reply",
     )
-    priced = stats.with_token_cost(calls, "prompt", "reply", F.col("provider") == "vertexai")
+    priced = stats.with_token_cost(calls, "prompt", "reply", F.col("provider") == "hosted")
     return stats.usage_rollup(priced, "provider", "model")
 
 

@@ -21,27 +21,41 @@ def _rounded(col: Column, digits: int = 2) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], group: list[str], accuracy: int = 10000, max_inside: int = 1_000_000
+    df: DataFrame,
+    value: str,
+    probs: list[float],
+    group: list[str],
+    accuracy: int = 10000,
+    max_inside: int = 1_000_000,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row per group with ``n`` and ``q0``, ``q1``, ...
 
+    ``also`` names further aggregates of ``value`` to take along in the first pass.
+
     A mergeable sketch brackets every quantile, a second pass counts the rows below and inside each bracket,
-    and only the distinct values inside are ranked. While a bracket holds more than ``max_inside`` of them it
-    is narrowed by a sketch of its own, so no group is ever held or sorted whole.
+    and only the distinct values inside are ranked. While a bracket holds more than ``max_inside`` rows it is
+    narrowed by a sketch of its own, so no group is ever held or sorted whole.
     """
+    also = also or {}
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
     slots = range(len(probs))
     slack = 4.0 / accuracy
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
-    sketch = base.groupBy(*group).agg(
-        F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+    sketch = base.withColumn(value, F.col("_v")).groupBy(*group).agg(
+        F.count("*").alias("n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", edges, accuracy).alias("_e"),
+        *[c.alias(name) for name, c in also.items()],
     )
     bounds = {}
     for i in slots:
         bounds[f"_lo{i}"] = F.col("_min") if edges[2 * i] == 0.0 else F.col("_e")[2 * i]
         bounds[f"_hi{i}"] = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1]
-    names = [*group, "n", *bounds]
-    brackets = materialise(sketch.select(*group, "n", *[c.alias(name) for name, c in bounds.items()]), "quantile-sketch")
+    names = [*group, "n", *also, *bounds]
+    brackets = materialise(sketch.select(*group, "n", *also, *[c.alias(name) for name, c in bounds.items()]), "quantile-sketch")
+    before = None
 
     def inside(i: int) -> Column:
         return (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
@@ -54,12 +68,13 @@ def exact_quantiles(
         measured = joined.groupBy(*names).agg(
             *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in slots],
             *[F.count_if(inside(i)).alias(f"_inside{i}") for i in slots],
-            *[F.approx_count_distinct(F.when(inside(i), F.col("_v"))).alias(f"_distinct{i}") for i in slots],
         )
         measured = materialise(measured, "quantile-counts")
-        widest = measured.agg(F.max(F.greatest(F.lit(0), *[F.col(f"_distinct{i}") for i in slots]))).first()[0]
-        if (widest or 0) <= max_inside:
+        open_rows = [F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.col(f"_inside{i}")).otherwise(0) for i in slots]
+        widest = measured.agg(F.max(F.greatest(F.lit(0), *open_rows))).first()[0] or 0
+        if widest <= max_inside or widest == before:  # no narrower: a few values repeated very often
             break
+        before = widest
         grid = [g / 64 for g in range(65)]
         finer = joined.groupBy(*names).agg(*[F.percentile_approx(F.when(inside(i), F.col("_v")), grid, accuracy).alias(f"_e{i}") for i in slots])
         located = finer.join(measured, names)
@@ -70,7 +85,7 @@ def exact_quantiles(
             high = F.get(F.col(f"_e{i}"), F.least(share + 3, F.lit(64)))
             narrowed[f"_lo{i}"] = F.when(share > 0, low).otherwise(F.col(f"_lo{i}"))
             narrowed[f"_hi{i}"] = F.when(share < 62, high).otherwise(F.col(f"_hi{i}"))
-        step = located.select(*group, "n", *[c.alias(name) for name, c in narrowed.items()])
+        step = located.select(*group, "n", *also, *[c.alias(name) for name, c in narrowed.items()])
         brackets = materialise(step, "quantile-sketch")
 
     hits = F.array_compact(F.array(*[F.when(inside(i), F.lit(i)) for i in slots]))
@@ -87,13 +102,13 @@ def exact_quantiles(
     def at(rank: Column) -> Column:
         return (start + F.col("_upto") - F.col("_c") <= rank) & (rank < start + F.col("_upto"))
 
-    picked = ranked.groupBy(*group, "n", "_i", position.alias("_pos")).agg(
+    picked = ranked.groupBy(*group, "n", *also, "_i", position.alias("_pos")).agg(
         F.max(F.when(at(F.floor(position)), F.col("_v"))).alias("_low"),
         F.max(F.when(at(F.ceil(position)), F.col("_v"))).alias("_high"),
     )
     found = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))
     checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    return picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, checked)).alias(f"q{i}") for i in slots])
+    return picked.groupBy(*group, "n", *also).agg(*[F.max(F.when(F.col("_i") == i, checked)).alias(f"q{i}") for i in slots])
 
 
 def group_salary_stats(
@@ -246,11 +261,8 @@ def distribution_report(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std, min, max and exact quartiles per column."""
     parts = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.inline(F.array(*parts))).filter("v IS NOT NULL")
-    moments = long.groupBy("field").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
-    quartiles = exact_quantiles(long, "v", QUARTILES, ["field"])
-    return moments.join(quartiles, "field").select(
+    moments = {"mean": F.avg("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v")}
+    return exact_quantiles(long, "v", QUARTILES, ["field"], also=moments).select(
         "field",
         F.col("n").alias("count"),
         *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")],

@@ -49,7 +49,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has fewer splits than that, ahead of costly work per row.
+    """Deal the rows of a table scan out to all cores when it has fewer splits, ahead of costly work per row.
 
     With as many splits as cores, which is any large input, this does nothing.
     """
