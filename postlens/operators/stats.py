@@ -50,9 +50,12 @@ def exact_quantiles(
         *[c.alias(name) for name, c in also.items()],
     )
     bounds = {}
+    small = F.col("n") <= accuracy  # ranked whole; beyond, one rank is less than the slack of a bracket
     for i in slots:
-        bounds[f"_lo{i}"] = F.col("_min") if edges[2 * i] == 0.0 else F.col("_e")[2 * i]
-        bounds[f"_hi{i}"] = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1]
+        low = F.col("_min") if edges[2 * i] == 0.0 else F.col("_e")[2 * i]
+        high = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1]
+        bounds[f"_lo{i}"] = F.when(small, F.col("_min")).otherwise(low)
+        bounds[f"_hi{i}"] = F.when(small, F.col("_max")).otherwise(high)
     names = [*group, "n", *also, *bounds]
     brackets = materialise(sketch.select(*group, "n", *also, *[c.alias(name) for name, c in bounds.items()]), "quantile-sketch")
     before = None

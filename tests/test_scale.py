@@ -117,6 +117,16 @@ def test_exact_quantiles(spark, case):
         assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_exact_quantiles_of_every_size(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 7, 99, 100, 101, 102, 150, 199, 200, 201, 333, 1001, 4999]
+    data = {n: rng.exponential(size=n) for n in sizes}
+    df = spark.createDataFrame([(n, float(v)) for n, values in data.items() for v in values], "g int, v double").repartition(6)
+    probs = [0.01, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.99]
+    for row in stats.exact_quantiles(df, "v", probs, ["g"], accuracy=100).collect():
+        assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(data[row["g"]], probs)))
+
+
 @pytest.mark.parametrize("case", ["one_day", "one_instant", "mixed", "nulls"])
 def test_time_split_sizes(spark, case):
     start = dt.datetime(2024, 1, 1)
