@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe
+from postlens.llm import bpe, decontaminate, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,141 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op2_quality_cascade",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                 [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+    runs AS (SELECT rid, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8),
+    twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, list_slice(ws, i, i + 7)) AS n FROM runs),
+    gaps AS (SELECT rid, least(8, i - lag(i, 1, -8) OVER (PARTITION BY rid ORDER BY i)) AS g FROM twice WHERE n > 1),
+    rep AS (SELECT rid, sum(g) AS r FROM gaps GROUP BY rid),
+    one AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+    two AS (SELECT rid, x, x = lag(x) OVER (PARTITION BY rid ORDER BY i) AS same FROM one),
+    by_word AS (SELECT rid, count(*) FILTER (WHERE regexp_matches(x, '\p{L}')) AS letters, count(*) FILTER (WHERE same) AS stutter
+                FROM two GROUP BY rid),
+    m AS (SELECT w.rid, doc_id, t, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
+                 len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                 (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words,
+                 coalesce(letters, 0) AS letters, coalesce(stutter, 0) AS stutter, len(string_split(t, chr(10))) AS n_lines
+          FROM w LEFT JOIN rep USING (rid) LEFT JOIN by_word USING (rid)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+                OR 2 * n_dup_lines > n_lines OR 10 * letters < 6 * n_words OR 10 * stutter > 3 * n_words) AS kept
+    FROM b
+    """,
+)
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    df = quality.quality_metrics(table(spark, folder, "documents").select("doc_id", "text"))
+    return df.select("doc_id", *quality.METRICS, "base_failed", F.col("failed_rule").isNull().alias("kept"))
+
+
+#: Places of the matches of a pattern in DuckDB: rows of (rid, start, end, value) from the gaps between matches.
+PLACES = r"""
+    {name}_m AS (SELECT rid, regexp_extract_all(t, $p${pattern}$p$) AS ms, regexp_extract_all(t, $p${pattern}$p$, {group}) AS vs,
+                        regexp_split_to_array(t, $p${pattern}$p$) AS gs FROM d WHERE regexp_matches(t, $p${pattern}$p$)),
+    {name}_u AS (SELECT rid, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM {name}_m),
+    {name} AS (SELECT rid, v, (sum(len(g) + len(m)) OVER w - len(m))::BIGINT AS s, (sum(len(g) + len(m)) OVER w)::BIGINT AS e
+               FROM {name}_u WINDOW w AS (PARTITION BY rid ORDER BY i))"""
+
+
+def plain(pattern: str) -> str:
+    """The pattern without its look-behind, which only saves steps."""
+    return re.sub(r"^\(\?<!.*?\)", "", pattern)
+
+
+SECRETS_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    last AS (SELECT max(doc_id) AS id FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL ORDER BY 1 LIMIT {secrets.SAMPLE_DOCS})),
+    cut AS (SELECT regexp_replace(regexp_replace(regexp_replace(text, $p${secrets.ASSIGN}$p$, ' ', 'g'), $p${secrets.ACCESS}$p$, ' ', 'g'),
+                                  $p${plain(secrets.HEX)}$p$, ' ', 'g') AS t FROM documents, last WHERE doc_id <= id),
+    words AS (SELECT unnest(regexp_extract_all(t, $p${plain(secrets.WORD)}$p$)) AS w FROM cut),
+    labelled AS (SELECT w AS value, 0 AS r FROM words UNION ALL SELECT upper(w), 0 FROM words UNION ALL SELECT w || '_' || w || '-' || w, 0 FROM words
+                 UNION ALL SELECT to_base64(unhex(sha256(w))), 1 FROM words UNION ALL SELECT sha256(w), 1 FROM words),
+    pairs AS (SELECT r, substr(value, i::INT, 1) AS a, substr(value, i::INT + 1, 1) AS b
+              FROM (SELECT r, value, unnest(generate_series(1, len(value) - 1)) AS i FROM labelled)),
+    counts AS (SELECT r, a, b, count(*) AS n FROM pairs GROUP BY ALL),
+    sums AS (SELECT r, a, sum(n) AS n FROM counts GROUP BY ALL),
+    letters AS (SELECT unnest(string_split('{secrets.ALPHABET}', '')) AS c),
+    grid AS (SELECT x.c AS a, y.c AS b FROM letters x, letters y),
+    ratios AS (SELECT g.a, g.b, round(100 * log2(((coalesce(c1.n, 0) + 1) * (coalesce(s0.n, 0) + {len(secrets.ALPHABET)}))::DOUBLE
+                      / ((coalesce(s1.n, 0) + {len(secrets.ALPHABET)}) * (coalesce(c0.n, 0) + 1))::DOUBLE))::BIGINT AS llr
+               FROM grid g LEFT JOIN counts c1 ON c1.r = 1 AND c1.a = g.a AND c1.b = g.b LEFT JOIN counts c0 ON c0.r = 0 AND c0.a = g.a AND c0.b = g.b
+               LEFT JOIN sums s1 ON s1.r = 1 AND s1.a = g.a LEFT JOIN sums s0 ON s0.r = 0 AND s0.a = g.a),
+    {PLACES.format(name="assign", pattern=secrets.ASSIGN, group=2)},
+    {PLACES.format(name="access", pattern=secrets.ACCESS, group=0)},
+    {PLACES.format(name="hexes", pattern=plain(secrets.HEX), group=0)},
+    {PLACES.format(name="runs", pattern=plain(secrets.CANDIDATE), group=0)},
+    base AS (SELECT rid, 0 AS k, s, e FROM assign WHERE len(v) >= 8 UNION ALL SELECT rid, 1, s, e FROM access UNION ALL SELECT rid, 2, s, e FROM hexes),
+    steps AS (SELECT rid, s, e, substr(v, i::INT, 1) AS a, substr(v, i::INT + 1, 1) AS b
+              FROM (SELECT *, unnest(generate_series(1, len(v) - 1)) AS i FROM runs)),
+    scored AS (SELECT rid, s, e FROM steps JOIN ratios USING (a, b) GROUP BY ALL HAVING sum(llr) >= {secrets.THRESHOLD}),
+    spans AS (SELECT * FROM base UNION ALL
+              SELECT rid, 3, s, e FROM scored x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+    named AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS one FROM spans),
+    by_doc AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
+                      string_agg(one, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(one, ',' ORDER BY s, k) AS spans
+               FROM named GROUP BY rid)
+    SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN by_doc USING (rid)
+"""
+
+
+@query("op3_markov_secrets", SECRETS_SQL)
+def markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_sample(docs))
+    found = secrets.find_secrets(docs, model).drop("text")
+    spans = F.col("secret_spans")
+    of_kind = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(secrets.spans_text(F.filter(spans, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.spans_text(spans).alias("spans"),
+    )
+
+
+@query("op5_simhash_balls")
+def simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+DECONTAMINATE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS ws FROM benchmark),
+    grams AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + 9), ' ') AS gram
+              FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+    sizes AS (SELECT DISTINCT n FROM grams),
+    runs AS (SELECT rid, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS gram
+           FROM (SELECT rid, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d, sizes WHERE len(ws) >= n)),
+    hits AS (SELECT rid, i, a.n, item_id FROM runs a JOIN grams USING (gram)),
+    places AS (SELECT DISTINCT rid, unnest(generate_series(i, i + n - 1)) AS p FROM hits),
+    words AS (SELECT rid, count(*) AS n_hit FROM places GROUP BY rid),
+    items AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hits) GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""".format(upper=decontaminate.UPPER, lower=decontaminate.LOWER, word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@query("op9_ngram_decontamination", DECONTAMINATE_SQL)
+def ngram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.sort_array(F.transform("items", lambda item: item.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
