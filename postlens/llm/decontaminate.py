@@ -132,15 +132,14 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text
     """The documents without any window of the benchmark, with all their columns. Null and empty texts stay."""
     hits = _hits(docs, benchmark, n, text_col, id_col, False, limit).select(F.col("id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("_llm_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_llm_hash"))
-    return docs.join(hits, same, "left_anti")
+    return docs.select(*rest_of(docs.columns)).join(hits, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents with their hit words taken out, given ``contamination(docs, ...)``. What stands between words stays."""
-    inner = ("_llm_id", "_llm_hash", "_llm_spans", "_llm_words", "_llm_gaps")
     spans = found.where("n_hit > 0").select(F.col(id_col).alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), F.col("hit_spans").alias("_llm_spans")).dropDuplicates(["_llm_id", "_llm_hash"])
     same = F.col(id_col).eqNullSafe(F.col("_llm_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_llm_hash"))
-    kept = rest_of(docs.columns, *inner)
+    kept = rest_of(docs.columns)
     df = docs.select(*kept).join(spans, same, "left")
     hit, text = F.col("_llm_spans").isNotNull(), F.col(text_col)
     df = pin(df, _llm_words=F.when(hit, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), _llm_gaps=F.when(hit, F.split(text, WORD)))

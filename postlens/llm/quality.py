@@ -105,7 +105,7 @@ RULES = (
 
 def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the text (null as empty) and its words."""
-    docs = docs.select(*rest_of(docs.columns, TEXT, WORDS, FAILED, *METRICS), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT))
+    docs = docs.select(*rest_of(docs.columns, FAILED, "base_failed", *METRICS), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT))
     return pin(docs, **{WORDS: words_of(F.col(TEXT))})
 
 

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, decontaminate, quality, secrets, simhash
+from postlens.llm import bpe, decontaminate, html_layout, quality, quotes, secrets, sharding, simhash, token_files, urls
+from postlens.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +179,85 @@ def ngram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op8_token_files")
+def token_file_rows(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = token_files.read_token_files(spark, path)
+    rows = rows.select("doc_id", "place", "n_tokens", token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
+    found = token_files.with_starts(spark, path, rows)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+
+
+@query("op10_two_pass_shuffle")
+def two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    shards, seed, path = 16, 42, scratch_dir(spark, "shards")
+    schema = sharding.write_shards(table(spark, folder, "documents"), path, shards, seed)
+    rows = sharding.read_shards(spark, path, schema)
+    return rows.select(
+        "doc_id",
+        sharding.text_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        sharding.shard_of(F.col("doc_id"), shards + 1, seed).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op4_html_layout")
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_layout.extract_text(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+def replies(conversations: DataFrame) -> DataFrame:
+    """Each turn as a mail that quotes the turn before it, and that one's quote of the turn before."""
+    turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    before = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    earlier = lambda k: before.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.regexp_replace("text", "(?m)^", "> " * k).alias(f"q{k}"))
+    at = lambda k: (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}"))
+    mails = turns.join(earlier(1), at(1), "left").join(earlier(2), at(2), "left")
+    return mails.select("conv_id", "turn", "role", F.concat_ws("\n", "q2", "q1", "text").alias("text"))
+
+
+@query("op6_quotation_links")
+def quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link_quotes(replies(table(spark, folder, "conversations")))
+
+
+@query(
+    "op7_dated_url_lists",
+    r"""
+    WITH captures AS (SELECT page_id, url, (DATE '2023-01-01' + CAST(page_id * 37 % 900 AS INT))::DATE AS fetched,
+                             regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.|\.$', '', 'g') AS host,
+                             row_number() OVER () AS rid FROM pages),
+    parts AS (SELECT rid, page_id, url, fetched, host, string_split(host, '.') AS p FROM captures WHERE host <> ''),
+    keys AS (SELECT DISTINCT rid, fetched, unnest(list_distinct(list_append([array_to_string(p[len(p) - n + 1:], '.')
+                    FOR n IN generate_series(2, least(len(p), 6))], host))) AS key FROM parts),
+    names AS (SELECT DISTINCT key AS entry, ('0x' || substr(md5(key), 1, 4))::INT AS h FROM keys),
+    events AS (SELECT entry, CASE WHEN h % 2 = 0 THEN 'ads' ELSE 'spam' END AS list, k % 2 = 0 AS listed,
+                      (DATE '2023-01-01' + CAST((h % 211) + k * (60 + h % 97) AS INT))::DATE AS day
+               FROM names, unnest([0, 1, 2, 3, 4]) AS u(k) WHERE h % 3 <> 0),
+    ordered AS (SELECT *, lead(day) OVER (PARTITION BY entry, list ORDER BY day) AS until FROM events),
+    hits AS (SELECT DISTINCT rid, list || ':' || entry AS x FROM keys JOIN ordered ON entry = key AND listed AND day <= fetched AND (until IS NULL OR fetched < until)),
+    by_page AS (SELECT rid, string_agg(x, ',' ORDER BY x) AS active FROM hits GROUP BY rid)
+    SELECT page_id, fetched, host, coalesce(active, '') AS active, active IS NOT NULL AS blocked FROM captures LEFT JOIN by_page USING (rid)
+    """,
+)
+def dated_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    captures = table(spark, folder, "pages").select("page_id", "url", day(F.col("page_id") * 37 % 900).alias("fetched"))
+    names = captures.select(F.explode(urls.keys_of(urls.host_of(F.col("url")))).alias("entry")).distinct()
+    h = F.conv(F.substring(F.md5("entry"), 1, 4), 16, 10).cast("int")
+    dated = names.withColumn("h", h).where("h % 3 <> 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    entries = dated.select(
+        "entry",
+        F.when(F.col("h") % 2 == 0, "ads").otherwise("spam").alias("list"),
+        (F.col("k") % 2 == 0).alias("listed"),
+        day(F.col("h") % 211 + F.col("k") * (60 + F.col("h") % 97)).alias("day"),
+    )
+    judged = urls.judge(captures, entries)
+    return judged.select("page_id", "fetched", "host", F.array_join("active", ",").alias("active"), "blocked")

@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame, model: Model | None = None, text_col: str = "t
     ``spans_col`` is replaced.
     """
     inner = [f"_llm_{kind}" for kind in KINDS]
-    df = docs.select(*rest_of(docs.columns, spans_col, "_llm_text", "_llm_base", "_llm_matches", "_llm_steps", *inner), F.coalesce(F.col(text_col), F.lit("")).alias("_llm_text"))
+    df = docs.select(*rest_of(docs.columns, spans_col), F.coalesce(F.col(text_col), F.lit("")).alias("_llm_text"))
     text = F.col("_llm_text")
     for name, pattern, group in ((inner[0], ASSIGN, 2), (inner[1], ACCESS, None), (inner[2], HEX, None)):
         df = add_matches(df, name, pattern, text, group)

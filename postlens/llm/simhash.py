@@ -191,7 +191,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, text_
     texts have fingerprint zero and are copies of each other. The fingerprints are written once with a number for each
     row, so that the choice holds even if a lost task deals rows in another order.
     """
-    kept = rest_of(docs.columns, "_llm_fp", "_llm_row", "_llm_at")
+    kept = rest_of(docs.columns)
     hashed = fingerprints(docs.select(*kept), width, text_col, "_llm_fp").withColumn("_llm_row", F.xxhash64(*kept))
     marked = materialise(hashed.withColumn("_llm_at", F.monotonically_increasing_id()), "marked")
     keys = marked.select(F.col("_llm_fp").alias("fingerprint"), F.col(id_col).alias("_llm_id"), "_llm_row", "_llm_at")

@@ -24,9 +24,13 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
 
 
 def rest_of(columns: Iterable[str], *made: str) -> list[str]:
-    """The columns that an operator passes on: all but those it makes itself, which replace equal names."""
+    """The columns that an operator passes on.
+
+    Left out are those it makes itself, which replace equal names, and all that begin with ``_llm_``: such names are the
+    operators' own, and input columns of that kind are dropped.
+    """
     taken = {name.lower() for name in made}
-    return [name for name in columns if name.lower() not in taken]
+    return [name for name in columns if name.lower() not in taken and not name.lower().startswith("_llm_")]
 
 
 def add_binary(
