@@ -17,79 +17,75 @@ from pyspark.sql import functions as F
 from postlens.llm.worker import Pieces, add_binary, rest_of, worker_state
 
 
+#: Ids that are decoded at once.
+BLOCK_IDS = 1 << 18
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The merge ranks of a file with one ``base64 rank`` pair on each line."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions in buckets by merge rank, and a bitmap of two levels that says which buckets hold any.
-
-    The lowest rank is found by two find-first-set steps, whatever the number of entries, so a pre-token of n bytes
-    costs n queue steps however long it is. Entries are not removed when they go stale; the caller skips them.
-    """
-
-    def __init__(self, ranks: int):
-        self.width = isqrt(ranks) + 1
-        self.words = [0] * self.width
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        buckets = self.buckets
-        if rank in buckets:
-            heappush(buckets[rank], position)
-            return
-        buckets[rank] = [position]
-        word, bit = divmod(rank, self.width)
-        self.words[word] |= 1 << bit
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank."""
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word * self.width + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits & (bits - 1)
-            if not self.words[word]:
-                self.top &= self.top - 1
-        return rank, position
-
-
 class Codec:
     """Encodes texts to packed ids (little-endian, unsigned, 32 bits) and decodes those.
 
     ``cached`` bounds the number of pre-tokens whose ids are kept; at that number the table is emptied.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 900_000):
-        self.cached = cached
-        self.words: dict[str, bytes] = {}
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 700_000):
+        size = max(ranks.values(), default=0) + 1
+        self.ranks, self.cached = ranks, cached
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.pieces = Pieces(self.encode_block)
-        self.tokens = [b""] * (max(ranks.values(), default=0) + 1)
+        self.words: dict[str, bytes] = {}
+        self.pieces = Pieces(self.encode_block, 500_000)
+        self.pairs = {tuple(token): rank for token, rank in ranks.items() if len(token) == 2}
+        self.width = isqrt(size) + 1
+        self.bitmap = [0] * self.width
+        self.word_of = [rank // self.width for rank in range(size)]
+        self.bit_of = [1 << rank % self.width for rank in range(size)]
+        by_rank = [b""] * size
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            by_rank[rank] = token
+        self.sizes = np.array([len(token) for token in by_rank], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(by_rank), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token: always the lowest rank is merged, the leftmost pair first among equals."""
-        ranks, queue, n = self.ranks, self.queue, len(word)
+        """The ids of one pre-token: always the lowest rank is merged, the leftmost pair first among equals.
+
+        The queue has a bucket for each rank that is waiting, with the places in the linked list of parts where such a
+        pair begins, as a heap. A bitmap of two levels says which buckets hold any: ``top`` has a bit for each word of
+        ``bitmap``, and a word one for each rank. Two find-first-set steps give the lowest rank, however many wait, so
+        that a pre-token of n bytes takes n queue steps whatever its length. Entries that have gone stale stay and are
+        skipped. The bitmap is empty again at the end.
+        """
+        ranks, get, word_of, bit_of, bitmap, width = self.ranks, self.ranks.get, self.word_of, self.bit_of, self.bitmap, self.width
         if word in ranks:
             return [ranks[word]]
+        n, top = len(word), 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at: list[int | None] = [ranks.get(word[i : i + 2]) for i in range(n - 1)] + [None]
+        rank_at = [*map(self.pairs.get, zip(word, word[1:])), None]
+        buckets: dict[int, list[int]] = {}
         for i, rank in enumerate(rank_at):
             if rank is not None:
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    bitmap[word_of[rank]] |= bit_of[rank]
+                    top |= 1 << word_of[rank]
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = bitmap[w]
+            rank = w * width + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                bitmap[w] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if rank_at[i] != rank:
                 continue
             gone = after[i]
@@ -97,18 +93,22 @@ class Codec:
             rank_at[gone] = rank_at[i] = None
             if end < n:
                 before[end] = i
-                rank_at[i] = joined = ranks.get(word[i : after[end]])
-                if joined is not None:
-                    queue.push(joined, i)
             left = before[i]
-            if left >= 0:
-                rank_at[left] = joined = ranks.get(word[left:end])
-                if joined is not None:
-                    queue.push(joined, left)
+            for place, stop in ((i, after[end] if end < n else 0), (left, end if left >= 0 else 0)):
+                if stop:
+                    rank_at[place] = joined = get(word[place:stop])
+                    if joined is not None:
+                        if joined in buckets:
+                            heappush(buckets[joined], place)
+                        else:
+                            buckets[joined] = [place]
+                            bitmap[word_of[joined]] |= bit_of[joined]
+                            top |= 1 << word_of[joined]
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[word[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            ids.append(ranks[word[i:end]])
+            i = end
         return ids
 
     def encode_block(self, text: str) -> bytes:
@@ -129,7 +129,14 @@ class Codec:
         return b"".join(self.pieces.blocks(text)) if text else b""
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
+        """The tokens' bytes, gathered from one table of all, a block of ids at a time."""
+        codes, found = np.frombuffer(ids or b"", "<u4"), []
+        for k in range(0, len(codes), BLOCK_IDS):
+            block = codes[k : k + BLOCK_IDS]
+            sizes = self.sizes[block]
+            ends = np.cumsum(sizes)
+            found.append(self.letters[np.repeat(self.starts[block] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(found)
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
