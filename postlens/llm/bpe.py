@@ -173,8 +173,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
 
 def ids_as_array(ids_col: str = "ids"):
     """Packed ids as an array of integers, for consumers that want a list column."""
-    packed = F.hex(F.col(ids_col))
-    count = (F.length(packed) / 8).cast("int")
+    count = (F.octet_length(ids_col) / 4).cast("int")
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    part = lambda i, k: F.substring(packed, i * 8 + k, F.lit(2))
-    return F.transform(places, lambda i: F.conv(F.concat(part(i, 7), part(i, 5), part(i, 3), part(i, 1)), 16, 10).cast("long"))
+
+    def number(i):
+        four = F.hex(F.substring(ids_col, i * 4 + 1, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(four, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+    return F.transform(places, number)

@@ -231,7 +231,7 @@ def test_balls_link_all_within_the_radius(spark):
     simhash_variants = simhash.VARIANTS
     values = np.array(prints, np.uint64)
     try:
-        simhash.VARIANTS = 10_000
+        simhash.VARIANTS = 200_000
         label = np.arange(len(values))
         for a, b in simhash.colliding(values, np.arange(len(values)), np.full(len(values), 2), 64):
             label = simhash.forest(len(values), label[a], label[b])[label]
