@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -374,6 +375,18 @@ def test_token_files(spark, awkward, nothing):
     assert token_files.with_starts(spark, path, token_files.read_token_files(spark, path)).count() == 0
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"), 300)
+    texts = [*texts_of(1500, 30, 11), *(f"a {chr(c)}b {chr(c)} {chr(c)}{chr(c)}x" for c in range(0x3100) if not 0xD800 <= c < 0xE000), "", " ", "x"]
+    for first in range(0, len(texts), 700):
+        some = texts[first : first + 700]
+        lengths, values = encoder.encode(pa.array(["skipped", *some]).slice(1), 7)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in some]
+        assert lengths.tolist() == list(map(len, want)) and values.tolist() == sum(want, [])
+
+
 def test_pieces_equal_whole_texts():
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
