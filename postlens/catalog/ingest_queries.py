@@ -98,17 +98,14 @@ def _(t):
 
 @query(
     "list_run_files",
-    "SELECT event_type AS folder, true AS has_files, true AS sizes_known, count(*) AS n_rows FROM events GROUP BY 1",
+    "SELECT event_type AS folder, sum(length(event_id::VARCHAR) + 1)::BIGINT AS bytes FROM events GROUP BY 1",
 )
 def _(t):
+    """Bytes of the files below each folder: one id and a line end for each event."""
     path = scratch_dir(t.spark, "listing")
-    t.events.select("event_id", "event_type").write.partitionBy("event_type").json(path)
+    t.events.select(F.col("event_id").cast("string"), "event_type").write.partitionBy("event_type").text(path)
     folder = F.regexp_extract("path", "event_type=([a-z]+)/", 1).alias("folder")
-    listed = tables.list_run_files(t.spark, path, "*.json").groupBy(folder).agg(F.count("*").alias("files"), F.min("size").alias("smallest"))
-    written = t.spark.read.schema("event_id bigint, event_type string").json(path).groupBy(F.col("event_type").alias("folder"))
-    return listed.join(written.agg(F.count("*").alias("n_rows")), "folder").select(
-        "folder", (F.col("files") > 0).alias("has_files"), (F.col("smallest") > 0).alias("sizes_known"), "n_rows"
-    )
+    return tables.list_run_files(t.spark, path, "*.txt").groupBy(folder).agg(F.sum("size").alias("bytes"))
 
 
 @query(
@@ -506,17 +503,22 @@ def _(t):
     "WHEN 5 THEN 'Payload must be a dictionary' WHEN 6 THEN 'Empty line' WHEN 7 THEN 'Missing RawJob fields: [''source'', ''scrape_timestamp'']' END AS error FROM e), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY line) AS rn FROM v WHERE error IS NOT NULL) "
     "SELECT event_type, count(*) AS line_count, count(*) FILTER (error IS NULL) AS valid_jobs, false AS is_valid, "
-    "(SELECT string_agg('Line ' || line || ': ' || error, ' | ' ORDER BY line) FROM r WHERE r.event_type = v.event_type AND rn <= 10) AS messages FROM v GROUP BY event_type",
+    "(SELECT string_agg('Line ' || line || ': ' || error, ' | ' ORDER BY line) FROM r WHERE r.event_type = v.event_type AND rn <= 10) AS messages FROM v GROUP BY event_type "
+    "UNION ALL SELECT 'hopeless', 25, 0, false, string_agg('Line ' || i || ': Invalid JSON', ' | ' ORDER BY i) || ' | No valid jobs found' FROM range(1, 26) g(i) "
+    "UNION ALL SELECT 'void', 0, 0, false, 'File is empty'",
 )
 def _(t):
     path = scratch_dir(t.spark, "dumps")
     lines = fx.dump_lines(t).select("event_type", "event_id", "value")
-    # One file per source: a dump is one file, written in line order.
+    # One file per source: a dump is one file, written in line order. Two more dumps: nothing valid, and no line at all.
+    broken = t.spark.range(1, 26).select(F.lit("hopeless").alias("event_type"), F.col("id").alias("event_id"), F.lit("{bad").alias("value"))
+    lines = lines.unionByName(broken)
     lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
-    verdict = jsonl.validate_dump(jsonl.with_line_numbers(jsonl.read_lines(t.spark, f"{path}/*/*.txt")))
-    return verdict.select(
-        F.regexp_extract("file", "event_type=([a-z]+)/", 1).alias("event_type"), "line_count", "valid_jobs", "is_valid", F.array_join("messages", " | ").alias("messages")
-    )
+    numbered = jsonl.with_line_numbers(jsonl.read_lines(t.spark, f"{path}/*/*.txt"))
+    numbered = numbered.withColumn("dump", F.regexp_extract("file", "event_type=([a-z]+)/", 1))
+    expected = lines.select(F.col("event_type").alias("dump")).union(t.spark.createDataFrame([("void",)], "dump string"))
+    verdict = jsonl.validate_dump(numbered, "dump", files=expected).withColumnRenamed("dump", "event_type")
+    return verdict.withColumn("messages", F.array_join("messages", " | "))
 
 
 @query(

@@ -63,18 +63,18 @@ def _(t):
 
 @query(
     "training_matrix",
-    f"WITH n AS (SELECT o_orderkey, {_numbers_sql} FROM orders) SELECT o_orderkey, (6 + len(embedding))::INTEGER AS width, "
-    "round(salary_range + salary_min_log + salary_max_log + title_length + days_since_posted + salary_min * 0 + 1 + list_sum(embedding::DOUBLE[]), 2) AS total, round(salary_mid, 2) AS label "
-    "FROM n JOIN embeddings ON vec_id = o_orderkey WHERE o_orderkey % 10 <> 3",
+    f"WITH n AS (SELECT o_orderkey, {_numbers_sql} FROM orders) SELECT o_orderkey, (5 + (SELECT count(DISTINCT o_orderpriority) FROM orders) + (SELECT max(len(embedding)) FROM embeddings))::INTEGER AS width, "
+    "round(salary_range + salary_min_log + salary_max_log + title_length + days_since_posted + salary_min * 0 + 1 + coalesce(list_sum(embedding::DOUBLE[]), 0), 2) AS total, round(salary_mid, 6) AS label "
+    "FROM n LEFT JOIN embeddings ON vec_id = o_orderkey WHERE o_orderkey % 10 <> 3",
 )
 def _(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("o_orderkey"), "embedding")
-    rows = priced(t).join(vectors, "o_orderkey").withColumn("one", F.lit(1.0))
+    rows = priced(t).join(vectors, "o_orderkey", "left")
     rows = rows.withColumn("salary_mid", F.when(F.col("o_orderkey") % 10 != 3, F.col("salary_mid")))
-    matrix = features.training_matrix(rows, [*NUMBERS, "one"], "salary_mid", embedding="embedding", leaks=["salary_min", "salary_max"])
+    matrix = features.training_matrix(rows, NUMBERS, "salary_mid", embedding="embedding", leaks=["salary_min", "salary_max"], categories=["o_orderpriority"])
     values = vector_to_array("features")
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return matrix.select("o_orderkey", F.size(values).alias("width"), F.round(total, 2).alias("total"), F.round("label", 2).alias("label"))
+    return matrix.select("o_orderkey", F.size(values).alias("width"), F.round(total, 2).alias("total"), F.round("label", 6).alias("label"))
 
 
 _view_sql = (
@@ -126,7 +126,7 @@ def _labelled_docs(t):
 
 _labels_sql = (
     "WITH d AS (SELECT e.label AS cluster_id, d.* FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), "
-    "f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS rn FROM d QUALIFY rn <= 100), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS rn FROM d), "
     "w AS (SELECT cluster_id, rn, unnest(string_split_regex(lower(text), '\\s+')) AS word, generate_subscripts(string_split_regex(lower(text), '\\s+'), 1) AS pos FROM f), "
     "c AS (SELECT cluster_id, word, count(*) AS n, min(rn * 1000000 + pos) AS seen FROM w WHERE length(word) > 2 AND word NOT IN "
     "('the', 'a', 'an', 'and', 'or', 'in', 'at', 'for', 'to', 'of', '-') GROUP BY ALL), "
@@ -197,19 +197,26 @@ def _metric_rows(spark, metrics):
 
 @query("kmeans_fit")
 def _(t):
-    return _metric_rows(t.spark, models.kmeans_fit(t.embeddings, "embedding", k=10, tries=2).metrics)
+    return _metric_rows(t.spark, models.kmeans_fit(t.embeddings, "embedding", k=10).metrics)
 
 
-@query("kmeans_predict")
+@query("kmeans_predict", "SELECT 10::BIGINT AS clusters, count(*) AS n, max(len(embedding))::INTEGER AS dims, true AS nearest FROM embeddings")
 def _(t):
-    clustering = models.kmeans_fit(t.embeddings, "embedding", k=10, tries=1)
-    placed = clustering.predict(t.embeddings, "embedding").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return placed.join(clustering.centers(t.spark).select("cluster_id", F.size("center").alias("dims")), "cluster_id")
+    clustering = models.kmeans_fit(t.embeddings, "embedding", k=10)
+    placed = clustering.predict(t.embeddings, "embedding")
+    centers = F.array(*[F.array(*map(F.lit, map(float, c))) for c in clustering.model.clusterCenters()])
+    gaps = F.transform(centers, lambda c: F.aggregate(F.zip_with(c, F.col("embedding"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    near = placed.select("cluster_id", F.size("embedding").alias("dims"), gaps.alias("gaps"))
+    near = near.withColumn("nearest", F.get("gaps", F.col("cluster_id")) <= F.array_min("gaps") + 1e-9)
+    return near.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("n"), F.max("dims").alias("dims"), F.bool_and("nearest").alias("nearest"))
 
 
-@query("elbow")
+@query("elbow", "SELECT k::INTEGER AS k, true AS falls FROM range(5, 21) r(k)")
 def _(t):
-    return models.elbow(t.embeddings, "embedding", tries=1, max_iter=5)
+    """Whether the inertia falls with every fifth cluster."""
+    costs = models.elbow(t.embeddings, "embedding")
+    fewer = costs.select((F.col("k") + 5).alias("k"), F.col("inertia").alias("before"))
+    return costs.join(fewer, "k", "left").select("k", (F.col("inertia") < F.coalesce("before", F.lit(float("inf")))).alias("falls"))
 
 
 PAY_INPUTS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
@@ -238,12 +245,12 @@ def _pay_scores(t, kind, **changes):
 
 @query("salary_regressor")
 def _(t):
-    return _pay_scores(t, "gbt", trees=8, rate=0.3)
+    return _pay_scores(t, "gbt")
 
 
 @query("salary_regressor_deep")
 def _(t):
-    return _pay_scores(t, "gbt_deep", trees=5, rate=0.3)
+    return _pay_scores(t, "gbt_deep")
 
 
 @query("salary_regressor_linear")
@@ -251,28 +258,30 @@ def _(t):
     return _pay_scores(t, "linear")
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT 5::BIGINT AS features, 1.0::DOUBLE AS total, true AS ordered")
 def _(t):
-    return _pay_model(t, "gbt", trees=5, rate=0.3)[0].importance(t.spark)
+    """Number of inputs, the sum of their importance, and whether each is a share."""
+    found = _pay_model(t, "gbt")[0].importance(t.spark)
+    return found.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("ordered"))
 
 
 def _role_rows(t):
     docs = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="[^\\p{L}]+").transform(docs)
-    return HashingTF(inputCol="words", outputCol="features", numFeatures=256).transform(words).select("doc_id", "features", "label")
+    return HashingTF(inputCol="words", outputCol="features", numFeatures=4096).transform(words).select("doc_id", "features", "label")
 
 
 @query("role_classifier")
 def _(t):
     rows = _role_rows(t)
-    model = models.train_classifier(rows, "label", max_iter=20)
+    model = models.train_classifier(rows, "label")
     return models.classification_metrics(model.transform(rows), "label", "prediction")
 
 
 @query("save_load_model", "SELECT true AS same, count(*) AS n, '6' AS k FROM embeddings")
 def _(t):
     path = scratch_dir(t.spark, "model")
-    fitted = models.kmeans_fit(t.embeddings, "embedding", k=6, tries=1)
+    fitted = models.kmeans_fit(t.embeddings, "embedding", k=6)
     models.save_artifacts(t.spark, fitted.model, path, {"k": 6}, fitted.metrics)
     model, config, metrics = models.load_artifacts(t.spark, KMeansModel, path)
     again = models.Clustering(model, metrics).predict(t.embeddings, "embedding", "after")
@@ -283,5 +292,5 @@ def _(t):
 @query("train_all")
 def _(t):
     path = scratch_dir(t.spark, "training")
-    done = train_all(t.spark, _pay_rows(t), PAY_INPUTS, _role_rows(t), t.embeddings, "embedding", path, trees=3, clusters=5, tries=1)
+    done = train_all(t.spark, _pay_rows(t), PAY_INPUTS, _role_rows(t), t.embeddings, "embedding", path)
     return done.drop("path")

@@ -62,32 +62,39 @@ def _(t):
 
 @query("ivf_search_all_lists", _knn_sql(_COSINE))
 def _(t):
-    index = ivf.ivf_build(t.embeddings, 16)
-    return _shown(ivf.ivf_search(index, centroids(t), 10, nprobe=16))
+    index = ivf.ivf_build(t.embeddings)
+    return _shown(ivf.ivf_search(index, centroids(t), 10, nprobe=len(index.centroids)))
 
 
 @query("ivf_search")
 def _(t):
-    return _shown(ivf.ivf_search(ivf.ivf_build(t.embeddings, 16), centroids(t), 10, nprobe=3))
+    return _shown(ivf.ivf_search(ivf.ivf_build(t.embeddings), centroids(t), 10, nprobe=3))
 
 
-@query("ivf_assign_new")
+@query("ivf_assign_new", "SELECT vec_id, true AS is_nearest FROM embeddings")
 def _(t):
-    index = ivf.ivf_build(t.embeddings, 8)
+    index = ivf.ivf_build(t.embeddings)
     arrived = t.embeddings.select("vec_id", F.reverse("embedding").alias("embedding"))
-    return ivf.assign_lists(index.model, arrived).select("vec_id", F.col("list_id").cast("int").alias("list_id"))
+    assigned = ivf.assign_lists(index.model, arrived).select("vec_id", F.col("list_id").cast("int").alias("list_id"))
+    nearest = ivf.probed_lists(index, arrived, "vec_id", "embedding", 1).select("vec_id", F.col("list_id").alias("nearest"))
+    return assigned.join(nearest, "vec_id").select("vec_id", (F.col("list_id") == F.col("nearest")).alias("is_nearest"))
 
 
-@query("ivf_health")
+@query("ivf_health", "SELECT count(*) AS n_rows, 1.0::DOUBLE AS mean_load, true AS agrees FROM embeddings")
 def _(t):
-    return ivf.ivf_health(ivf.ivf_build(t.embeddings, 16))
+    """The rows of all lists, their mean load, and whether every line names the same optimum."""
+    health = ivf.ivf_health(ivf.ivf_build(t.embeddings))
+    optimal = F.floor(F.sqrt(F.sum("n_rows"))) == F.max("optimal_lists")
+    return health.agg(
+        F.sum("n_rows").alias("n_rows"), F.round(F.avg("load"), 2).alias("mean_load"), (optimal & (F.count("*") == F.max("num_lists"))).alias("agrees")
+    )
 
 
 @query("recall_sweep")
 def _(t):
     queries = centroids(t)
     truth = search.knn_search(t.embeddings, queries, 10)
-    return ivf.recall_sweep(t.embeddings, queries, truth, 10, [8, 16], [1, 4, 8], "vec_id", "query_id")
+    return ivf.recall_sweep(t.embeddings, queries, truth, 10, [50, 100, 200, 500], [1, 3, 10, 50], "vec_id", "query_id")
 
 
 @query(
@@ -96,7 +103,7 @@ def _(t):
     "FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY distance, vec_id) AS rn FROM s), "
     "k AS (SELECT * FROM r WHERE rn <= 6 AND distance <= 0.75 AND vec_id <> reference_id), "
     "f AS (SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY distance, vec_id)::INTEGER AS rank FROM k) "
-    "SELECT reference_id, vec_id, rank, round(1 - distance, 4) AS similarity_score, round(distance, 4) AS vector_distance FROM f WHERE rank <= 5",
+    "SELECT reference_id AS reference_vec_id, vec_id, rank, round(1 - distance, 4) AS similarity_score, round(distance, 4) AS vector_distance FROM f WHERE rank <= 5",
 )
 def _(t):
     return search.similar_items(t.embeddings, t.embeddings.select("vec_id"), top_k=5, min_similarity=0.25)
@@ -126,16 +133,17 @@ def jobs(t):
 
 
 def _hybrid_ctes(where: str = "TRUE", k: int = 10) -> str:
+    chosen = "" if where == "TRUE" else f" WHERE vec_id IN (SELECT doc_id FROM documents WHERE {where})"
     return (
         "q AS (SELECT item_id AS query_id, b.text, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id "
         "WHERE length(trim(b.text)) >= 3), "
-        "d AS (SELECT query_id, vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v), 10) AS distance FROM q, embeddings), "
+        "d AS (SELECT query_id, vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v), 10) AS distance FROM q, embeddings" + chosen + "), "
         f"h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS vr FROM d QUALIFY vr <= {3 * k}), "
         "t AS (SELECT query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS terms FROM q), "
         "j AS (SELECT h.query_id, h.doc_id, h.distance, t.terms, o.text, o.source AS title, o.lang, CASE WHEN n_chars % 3 <> 0 THEN n_chars::DOUBLE END AS low, "
         "CASE WHEN n_chars % 2 <> 0 THEN n_chars::DOUBLE * 2 END AS high "
         f"FROM h JOIN documents o ON o.doc_id = h.doc_id JOIN t ON t.query_id = h.query_id WHERE {where}), "
-        "k AS (SELECT *, CASE WHEN len(terms) > 0 THEN len(list_filter(terms[:10], lambda w: contains(lower(title), w) OR contains(lower(text), w))) / len(terms) "
+        "k AS (SELECT *, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(lower(title), w) OR contains(lower(text), w))) / len(terms) "
         "ELSE 0 END AS keyword_score FROM j), "
         "s AS (SELECT *, 0.7 * (1 - distance / 2) + (1.0 - 0.7::DOUBLE) * keyword_score AS hybrid_score FROM k), "
         f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id) AS rank FROM s QUALIFY rank <= {k})"
@@ -144,7 +152,7 @@ def _hybrid_ctes(where: str = "TRUE", k: int = 10) -> str:
 
 _hybrid_cols = (
     "query_id, doc_id, title, round(distance, 6) AS vector_distance, round(keyword_score, 6) AS keyword_score, round(hybrid_score, 6) AS hybrid_score, "
-    "left(text, 500) AS preview, rank::INTEGER AS rank"
+    "text AS preview, rank::INTEGER AS rank"
 )
 
 
@@ -172,6 +180,36 @@ def _(t):
     return _hybrid_shown(search.hybrid_search(questions(t), corpus(t), jobs(t), 5, where=where, versions=["text"]))
 
 
+@query(
+    "hybrid_search_two_sources",
+    f"WITH {_hybrid_ctes()} SELECT query_id, doc_id % 2 AS site, doc_id // 2 AS job, round(hybrid_score, 6) AS hybrid_score, text AS preview FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id % 2, doc_id // 2) AS place FROM s) WHERE place <= 10",
+)
+def _(t):
+    """Jobs of two sources that use the same numbers, each in an old and a new version."""
+    parts = [(F.col("doc_id") % 2).alias("site"), F.floor(F.col("doc_id") / 2).alias("job")]
+    told = jobs(t).select(*parts, "title", "text", F.lit(1).alias("version"))
+    old = told.withColumns({"text": F.lit("old"), "version": F.lit(0)})
+    found = search.hybrid_search(questions(t), corpus(t).select(*parts, "embedding"), told.unionByName(old), 10, id_col=["site", "job"], versions=["version"])
+    return found.select("query_id", "site", "job", F.round("hybrid_score", 6).alias("hybrid_score"), F.col("text").alias("preview"))
+
+
+@query(
+    "similar_jobs",
+    "WITH s AS (SELECT a.vec_id AS reference_vec_id, b.vec_id, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 10) AS distance "
+    "FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY reference_vec_id ORDER BY distance, vec_id) AS rank FROM s WHERE distance <= 0.75 QUALIFY rank <= 5) "
+    "SELECT reference_vec_id, vec_id, rank::INTEGER AS rank, round(1 - distance, 4) AS similarity_score, source, true AS found FROM r JOIN documents ON doc_id = vec_id "
+    "UNION ALL SELECT -1 - item_id, NULL, NULL, NULL, NULL, false FROM benchmark",
+)
+def _(t):
+    """Every hundredth stored item and some that are not stored, with the columns of the items found."""
+    asked = t.embeddings.select("vec_id").where("vec_id % 100 = 0").union(t.benchmark.select(-1 - F.col("item_id")))
+    known = t.documents.select(F.col("doc_id").alias("vec_id"), "source")
+    found = search.similar_items(t.embeddings, asked, 5, 0.25, jobs=known)
+    return found.drop("vector_distance")
+
+
 @query(
     "embedding_quality",
     "WITH v AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings), n AS (SELECT len(embedding)::INTEGER AS d, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), "
@@ -187,7 +225,7 @@ def _(t):
     "intra_group_similarity",
     "WITH p AS (SELECT a.label, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM embeddings a JOIN embeddings b "
     "ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label), n AS (SELECT label, count(*) AS count FROM embeddings GROUP BY label) "
-    "SELECT label, count, round(s, 6) AS avg_similarity FROM n LEFT JOIN p USING (label) ORDER BY count DESC, label LIMIT 10",
+    "SELECT label, count, round(s, 6) AS avg_similarity FROM n LEFT JOIN p USING (label) ORDER BY count DESC, label",
 )
 def _(t):
     return embed.intra_group_similarity(t.embeddings, "label")
@@ -286,7 +324,7 @@ _entry = (
     "|| chr(10) || '   Company: ' || lang || chr(10) || '   Location: ' || title || chr(10) || '   Type: ' || lang || ' | ' || title || chr(10) || '   Salary: ' || "
     "CASE WHEN low <> 0 AND high <> 0 THEN 'SGD $' || format('{:,d}', low::BIGINT) || ' - $' || format('{:,d}', high::BIGINT) || '/month' "
     "WHEN low <> 0 THEN 'From SGD $' || format('{:,d}', low::BIGINT) || '/month' WHEN high <> 0 THEN 'Up to SGD $' || format('{:,d}', high::BIGINT) || '/month' ELSE 'Not disclosed' END "
-    "|| chr(10) || '   Description: ' || CASE WHEN length(left(text, 500)) > 300 THEN left(text, 300) || '...' ELSE text END || chr(10)"
+    "|| chr(10) || '   Description: ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END || chr(10)"
 )
 _context = f"x AS (SELECT query_id, count(*) AS context_jobs, string_agg({_entry}, chr(10) ORDER BY grade_rank) AS context FROM p WHERE passed AND grade_rank <= 5 GROUP BY 1)"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.catalog import fixtures as fx
 from postlens.catalog.ingest_queries import _cleaned_sql, _status
 from postlens.catalog.registry import query
+from postlens.functions import fixed
 from postlens.operators import embed
 from postlens.plans import ingest
 from postlens.session import scratch_dir
@@ -97,15 +98,15 @@ def _(t):
     )
 
 
-@query("stream_embed_new", "SELECT 'hashing-64' AS model_name, count(*) AS n, count(DISTINCT doc_id) AS jobs FROM documents")
+@query("stream_embed_new", "SELECT 'hashing-384' AS model_name, count(*) AS n, count(DISTINCT doc_id) AS jobs FROM documents")
 def _(t):
     spark, target = t.spark, scratch_dir(t.spark, "embedded")
     docs = spark.readStream.schema(t.documents.schema).parquet(f"{t.folder}/documents.parquet*")
-    embedder = embed.hashing_embedder(64)
+    embedder = embed.hashing_embedder()
 
     def embed_batch(batch, known):
         keyed = batch.select("doc_id", F.col("source").alias("title"), "text")
-        return embed.embed_table(keyed, known, ["doc_id"], "doc_id", [], "title", "text", embedder, "hashing-64")
+        return embed.embed_table(keyed, known, ["doc_id"], "doc_id", [], "title", "text", embedder, "hashing-384")
 
     schema = "doc_id bigint, model_name string, embedding array<float>, created_at timestamp"
     jobs.stream_embed_new(docs, embed_batch, target, schema, scratch_dir(spark, "embed-state")).awaitTermination()
@@ -146,11 +147,11 @@ def _(t):
 
 @query(
     "stream_metrics",
-    "WITH b AS (SELECT * FROM (VALUES ('0.1', 0.1), ('1.0', 1.0), ('10.0', 10.0), ('+Inf', 'Infinity'::DOUBLE)) AS v(le, bound)), "
-    "w AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS slot_start FROM events) SELECT slot_start, event_type, le, count(*) FILTER (value <= bound) AS cumulative, "
-    "count(*) AS observations, round(sum(value), 4) AS total FROM w, b WHERE slot_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY slot_start, event_type, le",
+    "WITH b AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', {b})" for b in fixed.REQUEST_BOUNDS) + ", ('+Inf', 'Infinity'::DOUBLE)) AS v(le, bound)), "
+    "w AS (SELECT *, time_bucket(INTERVAL '1 minute', ts) AS slot_start FROM events) SELECT slot_start, event_type, le, count(*) FILTER (value <= bound) AS cumulative, "
+    "count(*) AS observations, round(sum(value), 4) AS total FROM w, b WHERE slot_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY slot_start, event_type, le",
 )
 def _(t):
-    metrics = jobs.metrics_stream(_event_stream(t), "ts", "value", [0.1, 1.0, 10.0], ["event_type"], span="1 hour")
+    metrics = jobs.metrics_stream(_event_stream(t), "ts", "value", fixed.REQUEST_BOUNDS, ["event_type"])
     stored = _run_to_table(t, metrics, "metrics")
     return stored.withColumns({"slot_start": F.col("slot_start").cast("timestamp_ntz"), "total": F.round("total", 4)})

@@ -130,17 +130,30 @@ def _(t):
 _profile_values = ", ".join(f"({sql_str(lang)}, {sql_str(w)})" for lang, ws in fixed.LANGUAGE_WORDS.items() for w in ws)
 
 
+# Valid in both engines.
+_FOREIGN_SQL = (
+    "CASE WHEN doc_id % 50 = 7 THEN concat('数据工程师负责数据平台 ', substr(text, 1, 10)) WHEN doc_id % 50 = 8 THEN concat('数据 ', text) "
+    "WHEN doc_id % 50 = 9 THEN concat('தரவு பொறியாளர் வேலை ', substr(text, 1, 8)) WHEN doc_id % 50 = 10 THEN 'kami mencari jurutera dan juruaudit untuk pasukan yang besar' "
+    "ELSE text END"
+)
+
+
 @query(
     "detect_language",
     f"WITH p AS (SELECT * FROM (VALUES {_profile_values}) AS m(code, word)), "
-    "w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\pL]+')) AS word FROM documents), "
+    f"d AS (SELECT doc_id, lang, {_FOREIGN_SQL} AS text FROM documents), "
+    "c AS (SELECT doc_id, len(regexp_extract_all(text, '\\pL')) AS letters, len(regexp_extract_all(text, '\\p{Tamil}')) AS ta, "
+    "len(regexp_extract_all(text, '\\p{Han}')) AS zh FROM d), "
+    "w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\pL]+')) AS word FROM d), "
     "h AS (SELECT doc_id, code, count(*) AS n FROM w JOIN p USING (word) GROUP BY doc_id, code), "
     "b AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS rn FROM h) "
-    "SELECT d.doc_id, d.lang, coalesce(b.code, 'unknown') AS detected FROM documents d "
-    "LEFT JOIN b ON d.doc_id = b.doc_id AND b.rn = 1",
+    "SELECT d.doc_id, d.lang, CASE WHEN ta > 0 AND ta >= 0.3 * letters THEN 'ta' WHEN zh > 0 AND zh >= 0.3 * letters THEN 'zh' "
+    "ELSE coalesce(b.code, 'unknown') END AS detected FROM d JOIN c USING (doc_id) LEFT JOIN b ON d.doc_id = b.doc_id AND b.rn = 1",
 )
 def _(t):
-    return tx.with_language(t.spread("documents", "doc_id", "lang", "text"), "text", "detected").drop("text")
+    """Every fiftieth document is also read behind phrases in other scripts and languages, short and long."""
+    docs = t.spread("documents", "doc_id", "lang", "text").withColumn("text", F.expr(_FOREIGN_SQL))
+    return tx.with_language(docs, "text", "detected").drop("text")
 
 
 # Pay texts in all the shapes the parser tells apart, from order prices; valid in both engines.
@@ -322,7 +335,8 @@ def _(t):
     "WITH ctx AS (SELECT conv_id, list(turn::VARCHAR ORDER BY turn) AS context FROM conversations WHERE role = 'user' GROUP BY conv_id), "
     "a AS (SELECT c.conv_id, c.turn, CASE WHEN c.conv_id % 11 = 0 THEN NULL WHEN c.conv_id % 11 = 1 THEN '  ' "
     "WHEN c.conv_id % 11 = 2 THEN repeat(c.text, 60) ELSE c.text END AS answer, "
-    "CASE WHEN c.conv_id % 5 = 0 THEN [] ELSE [(c.turn - 1)::VARCHAR, c.turn::VARCHAR] END AS cited, ctx.context "
+    "CASE WHEN c.conv_id % 5 = 0 THEN [] ELSE [c.turn::VARCHAR, (c.turn - 1)::VARCHAR] END AS cited, "
+    "CASE WHEN c.conv_id % 7 = 3 THEN NULL WHEN c.conv_id % 7 = 4 THEN []::VARCHAR[] ELSE coalesce(ctx.context, []) END AS context "
     "FROM conversations c LEFT JOIN ctx ON c.conv_id = ctx.conv_id WHERE c.role = 'assistant'), "
     "m AS (SELECT *, CASE WHEN length(answer) > 5000 THEN 'Response truncated: ' || length(answer) || ' > 5000' END AS note, "
     "list_transform(list_filter(cited, lambda x: NOT list_contains(context, x)), lambda x: 'Hallucinated source: Job ' || x || ' not in context') AS bad FROM a), "
@@ -337,13 +351,14 @@ def _(t):
 def _(t):
     conv = t.conversations
     user = conv.filter(F.col("role") == "user")
-    context = user.select("conv_id", F.col("turn").cast("string").alias("job_id"))
+    context = user.filter(F.col("conv_id") % 7 != 4).select("conv_id", F.col("turn").cast("string").alias("job_id"))
     key = F.col("conv_id") % 11
     answer = F.when(key == 0, F.lit(None)).when(key == 1, "  ").when(key == 2, F.repeat("text", F.lit(60))).otherwise(F.col("text"))
     replies = conv.filter(F.col("role") == "assistant")
     answers = replies.select("conv_id", "turn", answer.alias("answer"))
-    around = F.explode(F.array(F.col("turn") - 1, F.col("turn")))
-    cited = replies.filter(F.col("conv_id") % 5 != 0).select("conv_id", "turn", around.alias("job_id"))
-    judged = judge_answers(answers, cited.withColumn("job_id", F.col("job_id").cast("string")), context, ["conv_id", "turn"], ["conv_id"])
+    around = F.posexplode(F.array(F.col("turn"), F.col("turn") - 1))
+    cited = replies.filter(F.col("conv_id") % 5 != 0).select("conv_id", "turn", around.alias("position", "job_id"))
+    cited = cited.withColumn("job_id", F.col("job_id").cast("string"))
+    judged = judge_answers(answers, cited, context, ["conv_id", "turn"], ["conv_id"], F.col("conv_id") % 7 != 3)
     judged = judged.select("conv_id", "turn", "verdict.*")
     return judged.select("conv_id", "turn", "passed", "severity", "reason", F.array_join("violations", "; ").alias("violations"))

@@ -107,8 +107,13 @@ LANGUAGE_WORDS = {
     "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "are", "this", "by", "on", "it"],
     "es": ["el", "los", "las", "y", "una", "por", "con", "para", "del", "se", "no", "su", "es", "al", "lo"],
     "fr": ["le", "les", "des", "et", "une", "est", "dans", "pour", "que", "qui", "sur", "pas", "au", "du", "avec"],
+    "ms": ["dan", "yang", "untuk", "dengan", "dari", "ini", "itu", "pada", "adalah", "dalam", "akan", "tidak", "kami", "anda", "ke"],
 }
 
+# Scripts that name a language by themselves, and the share of letters from which they do.
+LANGUAGE_SCRIPTS = {"ta": "Tamil", "zh": "Han"}
+SCRIPT_SHARE = 0.3
+
 # Advice returned when retrieval finds nothing.
 NO_RESULT_ADVICE = (
     "I couldn't find any jobs matching your search criteria. "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postlens.functions.staging import pin
-from postlens.functions.fixed import COMPANY_SUFFIXES, LANGUAGE_WORDS, LOCATION_MAP, WS_CHARS, WS_CLASS
+from postlens.functions.fixed import COMPANY_SUFFIXES, LANGUAGE_SCRIPTS, LANGUAGE_WORDS, LOCATION_MAP, SCRIPT_SHARE, WS_CHARS, WS_CLASS
 
 # Entities rewritten inside the JVM. "&amp;" goes last so that its result is not read again.
 _JVM_ENTITIES = [
@@ -152,7 +152,8 @@ def normalize_location(col: Column) -> Column:
 
 
 def with_language(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Add ``out``: the language with the most profile words, 'unknown' without any.
+    """Add ``out``: the language of the script that a good share of the letters has, or else the one with the most
+    profile words, 'unknown' without any.
 
     Ties go to the first language code. The text is split once and only words of some profile are kept, so
     the count per language runs over a short array.
@@ -167,4 +168,10 @@ def with_language(df: DataFrame, col: str, out: str) -> DataFrame:
     scored = pin(df, _known=F.filter(words, lambda w: w.isin(known)))
     best = F.array_min(F.array(*[score(lang) for lang in LANGUAGE_WORDS]))
     ranked = pin(scored, _best=best)
-    return ranked.withColumn(out, F.when(F.col("_best.n") < 0, F.col("_best.lang")).otherwise("unknown")).drop("_known", "_best")
+    text = F.coalesce(F.col(col), F.lit(""))
+    letters = F.regexp_count(text, F.lit("\\p{L}"))
+    found = F.when(F.col("_best.n") < 0, F.col("_best.lang")).otherwise("unknown")
+    for lang, script in sorted(LANGUAGE_SCRIPTS.items(), reverse=True):
+        of_script = F.when(F.rlike(text, F.lit(f"\\p{{Is{script}}}")), F.regexp_count(text, F.lit(f"\\p{{Is{script}}}"))).otherwise(0)
+        found = F.when((of_script > 0) & (of_script >= SCRIPT_SHARE * letters), lang).otherwise(found)
+    return ranked.withColumn(out, found).drop("_known", "_best")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import vectors
+from postlens.functions.text import strip_ws
 from postlens.operators.filters import embedding_text
 from postlens.operators.joins import pending_keys
 
@@ -21,23 +22,33 @@ BATCH = 32
 
 
 def hashing_embedder(dim: int = EMBEDDING_DIM) -> Callable[[DataFrame, str, str], DataFrame]:
-    """Default embedding: hashed words weighted by rarity, scaled to unit length."""
+    """Default embedding: hashed word counts, scaled to unit length.
+
+    Nothing is fitted, so a text has the same vector in every run, batch or stream. A text without words gets zeros.
+    """
 
     def embed(df: DataFrame, text: str, out: str) -> DataFrame:
-        if df.isEmpty():
-            return df.withColumn(out, F.lit(None).cast("array<float>"))
-        stages = [
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern="[\\p{L}\\p{N}]+", gaps=False),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit"),
-        ]
-        embedded = Pipeline(stages=stages).fit(df).transform(df)
-        return embedded.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_weighted", "_unit")
+        words = RegexTokenizer(inputCol=text, outputCol="_words", pattern="[\\p{L}\\p{N}]+", gaps=False).transform(df)
+        counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
+        scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counts)
+        return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
 
     return embed
 
 
+def embed_queries(
+    queries: DataFrame, embed_fn: Callable[[DataFrame, str, str], DataFrame], text: str = "text", max_chars: int | None = None, out: str = "embedding"
+) -> DataFrame:
+    """Query texts as unit vectors, by the model of the table they search: stripped, those under three characters left out.
+
+    ``max_chars`` cuts longer texts for models with a limit.
+    """
+    stripped = strip_ws(F.col(text))
+    asked = queries.withColumn(text, stripped if max_chars is None else F.substring(stripped, 1, max_chars)).filter(F.length(text) >= 3)
+    embedded = embed_fn(asked, text, "_raw")
+    return vectors.with_unit_vector(embedded, "_raw", out).drop("_raw")
+
+
 def model_embedder(make_model: Callable, batch: int = BATCH) -> Callable[[DataFrame, str, str], DataFrame]:
     """Embedding through a model: ``make_model`` returns a function from an array of texts to a matrix.
 
@@ -64,13 +75,15 @@ def embed_table(
     created: Column | None = None,
     target_day: dt.date | None = None,
     limit: int | None = None,
+    read: int | None = None,
+    keep: int | None = None,
 ) -> DataFrame:
     """Embeddings of the latest jobs that have none: (keys, model_name, embedding, created_at).
 
-    Nothing is written; append the result to the embedding table, or count it for a dry run.
+    ``read`` and ``keep`` cut descriptions for models with a short input. Nothing is written; append the result to the embedding table, or count it for a dry run.
     """
     pending = pending_keys(jobs, embedded, keys, version, tie_break, target_day, limit)
-    texts = embedding_text(pending, title, description, "_text").select(*keys, "_text")
+    texts = embedding_text(pending, title, description, "_text", read, keep).select(*keys, "_text")
     return embed_fn(texts, "_text", "embedding").select(
         *keys,
         F.lit(model_name).alias("model_name"),
@@ -111,17 +124,16 @@ def embedding_quality(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return shown.select("n", "dims", *[F.round(c, 5).alias(c) for c in digits], "is_unit")
 
 
-def intra_group_similarity(df: DataFrame, group: str, vec: str = "embedding", top: int | None = 10) -> DataFrame:
-    """Mean cosine over all pairs of a group, for the largest groups; null below two members.
+def intra_group_similarity(df: DataFrame, group: str, vec: str = "embedding", top: int | None = None) -> DataFrame:
+    """Mean cosine over all pairs of a group, for all groups or the ``top`` largest; null below two members.
 
     For unit vectors the sum over all pairs follows from the length of the vector sum, so no pair is ever
-    formed: one aggregate per dimension is enough.
+    formed: one sum of vectors per group is enough.
     """
     unit = vectors.with_unit_vector(df.filter(F.col(vec).isNotNull()), vec, "_unit")
-    sums = unit.select(group, F.posexplode("_unit").alias("_dim", "_x")).groupBy(group, "_dim").agg(
-        F.sum("_x").alias("_sum"), F.count("*").alias("_n")
-    )
-    groups = sums.groupBy(group).agg(F.max("_n").alias("count"), F.sum(F.col("_sum") * F.col("_sum")).alias("_square"))
+    featured = unit.select(group, array_to_vector(F.col("_unit").cast("array<double>")).alias("_vector"))
+    sums = featured.groupBy(group).agg(F.count("*").alias("count"), vector_to_array(Summarizer.sum(F.col("_vector"))).alias("_sum"))
+    groups = sums.select(group, "count", vectors.sum_of_squares(F.col("_sum")).alias("_square"))
     if top is not None:
         groups = groups.orderBy(F.desc("count"), group).limit(top)
     n = F.col("count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def category_values(df: DataFrame, col: str, max_categories: int = MAX_CATEGORIE
     values = df.select(F.coalesce(F.col(col).cast("string"), F.lit("unknown")).alias("v")).distinct()
     found = values.orderBy("v").limit(max_categories + 1).collect()
     if len(found) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} values; encode it with hashing or an index instead")
+        raise ValueError(f"{col} has more than {max_categories} values; name it in the categories of training_matrix instead")
     return [r["v"] for r in found]
 
 
@@ -68,21 +68,31 @@ def training_matrix(
     embedding: str | None = None,
     leaks: list[str] | None = None,
     keep_leaks: bool = False,
+    categories: list[str] | None = None,
 ) -> DataFrame:
     """(features vector, label): the target is no feature, rows without it are dropped.
 
-    ``leaks`` lists features the target is computed from; they are left out unless ``keep_leaks``.
+    ``leaks`` lists features the target is computed from; they are left out unless ``keep_leaks``. ``categories`` become
+    sparse indicators of their values in sorted order, null as 'unknown', however many there are. A row without
+    embedding gets zeros in its place.
     """
     used = [f for f in features if f != target and (keep_leaks or f not in (leaks or []))]
     rows = df.filter(F.col(target).isNotNull())
     inputs = list(used)
+    for col in categories or []:
+        rows = rows.withColumn("_value", F.coalesce(F.col(col).cast("string"), F.lit("unknown")))
+        rows = StringIndexer(inputCol="_value", outputCol="_index", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+        encoder = OneHotEncoder(inputCol="_index", outputCol=f"_is_{col}", dropLast=False).fit(rows)
+        rows = encoder.transform(rows).drop("_value", "_index")
+        inputs.append(f"_is_{col}")
     if embedding:
         width = rows.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first()[0]
-        rows = rows.withColumn("_embedding", array_to_vector(F.col(embedding).cast("array<double>")))
+        filled = F.coalesce(F.col(embedding).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+        rows = rows.withColumn("_embedding", array_to_vector(filled))
         rows = VectorSizeHint(inputCol="_embedding", size=width, handleInvalid="optimistic").transform(rows)
         inputs.append("_embedding")
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    return assembler.transform(rows).withColumn("label", F.col(target).cast("double")).drop("_embedding")
+    return assembler.transform(rows).withColumn("label", F.col(target).cast("double")).drop("_embedding", *[f"_is_{c}" for c in categories or []])
 
 
 def feature_view(

@@ -82,13 +82,16 @@ def request_violations(rules: dict[str, tuple], required: list[str]) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def embedding_text(df: DataFrame, title: str, description: str, out: str = "text") -> DataFrame:
-    """Text to embed: title (or 'Unknown') and the first 1000 characters of the description.
+def embedding_text(df: DataFrame, title: str, description: str, out: str = "text", read: int | None = 2000, keep: int | None = 1000) -> DataFrame:
+    """Text to embed: title (or 'Unknown') and the description, stripped.
 
-    Rows with neither are dropped. The description is cut to 2000 characters before it is stripped.
+    Rows with neither are dropped. Of the description ``read`` characters are looked at and ``keep`` of them used after
+    stripping, as models with a short input want it; None takes all.
     """
     name = F.coalesce(F.nullif(F.col(title), F.lit("")), F.lit("Unknown"))
-    body = F.substring(strip_ws(F.substring(F.coalesce(F.col(description), F.lit("")), 1, 2000)), 1, 1000)
+    whole = F.coalesce(F.col(description), F.lit(""))
+    body = strip_ws(whole if read is None else F.substring(whole, 1, read))
+    body = body if keep is None else F.substring(body, 1, keep)
     kept = df.filter(~is_blank(F.col(title)) | ~is_blank(F.col(description)))
     return kept.withColumn("_body", body).withColumn(
         out, F.when(F.col("_body") != "", F.concat(strip_ws(name), F.lit(". "), F.col("_body"))).otherwise(strip_ws(name))

@@ -36,21 +36,23 @@ def model_replies(df: DataFrame, prompt: str, make_model: Callable, out: str = "
     return df.withColumn(out, predict_batch_udf(make_model, return_type=StringType(), batch_size=batch)(prompt))
 
 
-def judge_answers(answers: DataFrame, cited: DataFrame, context: DataFrame, keys: list[str], context_keys: list[str]) -> DataFrame:
-    """Verdict per answer from tables: answers (keys, answer), cited (keys, job_id), context (context_keys, job_id).
+def judge_answers(answers: DataFrame, cited: DataFrame, context: DataFrame, keys: list[str], context_keys: list[str], has_context: Column | None = None) -> DataFrame:
+    """Verdict per answer from tables: answers (keys, answer), cited (keys, job_id, position), context (context_keys, job_id).
 
-    Citations are checked by an anti join, so a context of any size is never gathered in one place; only an
-    answer's own citations are. Answers without any context rows skip the check.
+    Citations are checked by an anti join, so a context of any size is never gathered in one place; only an answer's own
+    citations are, in the order of ``position``. Every answer is held against its context, also an empty one, unless
+    ``has_context``, a condition on the answers, says that none was given.
     """
-    with_context = context.select(*context_keys).distinct().withColumn("_has_context", F.lit(True))
+    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("position", "job_id"))), lambda c: c["job_id"]).alias(name)
     unknown = cited.join(context, [*context_keys, "job_id"], "left_anti")
-    own = cited.groupBy(*keys).agg(F.array_sort(F.collect_list("job_id")).alias("_cited"))
-    bad = unknown.groupBy(*keys).agg(F.array_sort(F.collect_list("job_id")).alias("_unknown"))
-    joined = answers.join(own, keys, "left").join(bad, keys, "left").join(with_context, context_keys, "left")
+    own = cited.groupBy(*keys).agg(in_order("_cited"))
+    bad = unknown.groupBy(*keys).agg(in_order("_unknown"))
+    given = F.lit(True) if has_context is None else F.coalesce(has_context, F.lit(False))
+    joined = answers.withColumn("_given", given).join(own, keys, "left").join(bad, keys, "left")
     none = F.array().cast("array<string>")
     all_cited, all_bad = F.coalesce("_cited", none), F.coalesce("_unknown", none)
-    known = F.when(F.col("_has_context"), F.array_except(all_cited, all_bad))
-    return joined.withColumn("verdict", output_verdict(F.col("answer"), all_cited, known)).drop("_cited", "_unknown", "_has_context")
+    known = F.when(F.col("_given"), F.array_except(all_cited, all_bad))
+    return joined.withColumn("verdict", output_verdict(F.col("answer"), all_cited, known)).drop("_cited", "_unknown", "_given")
 
 
 def parse_grades(df: DataFrame, reply: str) -> DataFrame:

@@ -21,6 +21,7 @@ from postlens.operators.search import (
     _hit_schema,
     distances,
     grid_hits,
+    id_array,
     matrix_of,
     query_block,
     score_into,
@@ -138,7 +139,7 @@ def ivf_search(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, len(block.ids))
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
+            ids = id_array(batch.column(0))
             rows, lists = matrix_of(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             for list_id in np.unique(lists):
                 here = np.flatnonzero(lists == list_id)

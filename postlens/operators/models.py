@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -33,7 +36,7 @@ def with_features(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
 
 def fit_pca(df: DataFrame, vec: str, components: int | None = 50, variance: float = 0.95) -> tuple[PipelineModel, np.ndarray]:
     """Centred PCA with a fixed number of components, or as many as reach ``variance`` when it is None."""
-    featured = with_features(df, vec).select("features")
+    featured = with_features(df.filter(F.col(vec).isNotNull()), vec).select("features")
     dims = len(featured.first()["features"])
     k = dims if components is None else min(components, dims)
     centre = StandardScaler(inputCol="features", outputCol="_centred", withMean=True, withStd=False)
@@ -52,7 +55,7 @@ def reduce_vectors(model: PipelineModel, df: DataFrame, vec: str, out: str = "re
 
 def component_table(df: DataFrame, vec: str, steps: list[int] | None = None, shares: tuple[float, ...] = (0.7, 0.9)) -> DataFrame:
     """Explained variance for several numbers of components, and the number needed for given shares."""
-    dims = len(df.select(vec).first()[0])
+    dims = len(df.filter(F.col(vec).isNotNull()).select(vec).first()[0])
     total = np.cumsum(fit_pca(df, vec, dims)[1])
     rows = [("components", float(s), int(s), float(total[s - 1])) for s in steps or COMPONENT_STEPS if s <= dims]
     rows += [("share", p, int(np.searchsorted(total, p) + 1), p) for p in shares]
@@ -72,10 +75,16 @@ class Clustering:
         return spark.createDataFrame(rows, "cluster_id int, center array<double>")
 
 
+def _fit_all(rows: DataFrame, learners: list[KMeans], at_once: int = 8) -> list[KMeansModel]:
+    """The learners fitted side by side; each is a series of short jobs that leaves executors idle by itself."""
+    with ThreadPool(min(at_once, len(learners))) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(lambda learner: learner.fit(rows)), learners)
+
+
 def kmeans_fit(df: DataFrame, vec: str, k: int = 10, seed: int = 42, tries: int = 10, max_iter: int = 20) -> Clustering:
     """The best of several seeded runs by inertia, with silhouette and sizes."""
     rows = materialise(with_features(df, vec).select("features"), "kmeans")
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(tries)]
+    fits = _fit_all(rows, [KMeans(k=k, seed=seed + i, maxIter=max_iter) for i in range(tries)])
     best = min(fits, key=lambda m: m.summary.trainingCost)
     metrics = {
         "inertia": best.summary.trainingCost,
@@ -90,21 +99,24 @@ def kmeans_fit(df: DataFrame, vec: str, k: int = 10, seed: int = 42, tries: int
 def elbow(df: DataFrame, vec: str, low: int = 5, high: int = 20, seed: int = 42, tries: int = 10, max_iter: int = 20) -> DataFrame:
     """Inertia for every number of clusters in the range."""
     rows = materialise(with_features(df, vec).select("features"), "elbow")
-    costs = []
-    for k in range(low, high + 1):
-        cost = min(KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows).summary.trainingCost for i in range(tries))
-        costs.append((k, float(cost)))
+    asked = [(k, KMeans(k=k, seed=seed + i, maxIter=max_iter)) for k in range(low, high + 1) for i in range(tries)]
+    fits = _fit_all(rows, [learner for _, learner in asked])
+    reached: dict[int, float] = {}
+    for (k, _), model in zip(asked, fits, strict=True):
+        reached[k] = min(model.summary.trainingCost, reached.get(k, math.inf))
+    costs = [(k, float(cost)) for k, cost in reached.items()]
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
-def cluster_labels(df: DataFrame, cluster: str, title: str, order: str, n_clusters: int, sample: int = 100, words: int = 3) -> DataFrame:
-    """Name per cluster: its most frequent title words, from the first ``sample`` titles in order.
+def cluster_labels(df: DataFrame, cluster: str, title: str, order: str, n_clusters: int, sample: int | None = None, words: int = 3) -> DataFrame:
+    """Name per cluster: its most frequent title words, over all titles or the first ``sample`` in order.
 
     Equal counts go to the word seen first. Clusters without words are called 'Cluster i'.
     """
-    titled = df.filter(F.coalesce(F.col(title), F.lit("")) != "").select(cluster, title, order)
-    first = titled.withColumn("_rn", F.row_number().over(Window.partitionBy(cluster).orderBy(order))).filter(F.col("_rn") <= sample)
-    spoken = first.select(cluster, "_rn", F.posexplode(F.split(F.lower(title), "(?U)\\s+")).alias("_pos", "_word"))
+    titled = df.filter(F.coalesce(F.col(title), F.lit("")) != "").select(cluster, title, F.col(order).alias("_rn"))
+    if sample is not None:
+        titled = titled.withColumn("_k", F.row_number().over(Window.partitionBy(cluster).orderBy("_rn"))).filter(F.col("_k") <= sample)
+    spoken = titled.select(cluster, "_rn", F.posexplode(F.split(F.lower(title), "(?U)\\s+")).alias("_pos", "_word"))
     spoken = spoken.filter((F.length("_word") > 2) & ~F.col("_word").isin(LABEL_STOP_WORDS))
     counts = spoken.groupBy(cluster, "_word").agg(F.count("*").alias("_n"), F.min(F.struct("_rn", "_pos")).alias("_seen"))
     best = Window.partitionBy(cluster).orderBy(F.desc("_n"), "_seen")

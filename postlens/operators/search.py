@@ -52,47 +52,62 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         return np.round(1.0 - products / lengths, 10)
 
 
+def id_array(column) -> np.ndarray:
+    """Ids as an array that sorts like the column; keys of several columns become tuples."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_integer(column.type) and column.null_count == 0:
+        return column.to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.to_pylist()
+    found = np.empty(len(values), dtype=object)
+    found[:] = [tuple(v.values()) for v in values] if pa.types.is_struct(column.type) else values
+    return found
+
+
 @dataclass
 class Best:
-    """The k nearest rows per query seen so far; equal distances are settled by id."""
+    """The k nearest rows per query seen so far, as flat arrays; equal distances are settled by id."""
 
     k: int
     count: int
 
     def __post_init__(self):
-        self.found_distance = [np.empty(0) for _ in range(self.count)]
-        self.found_id = [np.empty(0, dtype=object) for _ in range(self.count)]
-
-    def add(self, query: int, ids: np.ndarray, dist: np.ndarray) -> None:
-        held = self.found_distance[query]
-        limit = held[-1] if len(held) == self.k else np.inf
-        near = np.flatnonzero(dist <= limit)
-        if near.size == 0:
+        self.query = np.empty(0, dtype=np.int64)
+        self.distance = np.empty(0)
+        self.id = np.empty(0, dtype=np.int64)
+        self.limit = np.full(self.count, np.inf)
+
+    def add(self, wanted: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Take in the distances of some rows (first axis) to the ``wanted`` queries."""
+        limit = self.limit[wanted]
+        if len(ids) > self.k:
+            limit = np.fmin(limit, np.partition(dist, self.k - 1, axis=0)[self.k - 1])
+        row, column = np.nonzero(dist <= limit)
+        if row.size == 0:
             return
-        if near.size > 4 * self.k:
-            near = near[dist[near] <= np.partition(dist[near], self.k - 1)[self.k - 1]]
-        all_dist = np.concatenate([held, dist[near]])
-        all_ids = np.concatenate([self.found_id[query], ids[near]])
-        order = sorted(range(len(all_dist)), key=lambda i: (all_dist[i], all_ids[i]))[: self.k]
-        self.found_distance[query], self.found_id[query] = all_dist[order], all_ids[order]
+        query = np.concatenate([self.query, wanted[column]])
+        distance = np.concatenate([self.distance, dist[row, column]])
+        held = np.concatenate([self.id, ids[row]]) if self.id.size else ids[row]
+        first = np.argsort(held, kind="stable")
+        order = first[np.lexsort((distance[first], query[first]))]
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order], "left")
+        kept = order[place < self.k]
+        self.query, self.distance, self.id = query[kept], distance[kept], held[kept]
+        last = order[place == self.k - 1]
+        self.limit[query[last]] = distance[last]
 
     def rows(self, query_ids: list) -> tuple[list, list, list]:
-        q = [qid for i, qid in enumerate(query_ids) for _ in self.found_id[i]]
-        ids = [x for part in self.found_id for x in part]
-        return q, ids, [float(x) for part in self.found_distance for x in part]
+        return [query_ids[q] for q in self.query.tolist()], self.id.tolist(), self.distance.tolist()
 
 
 def score_into(best: Best, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, metric: str, wanted=None) -> None:
     """Score a batch, a slice at a time so that the score matrix stays small."""
-    wanted = range(len(queries)) if wanted is None else wanted
-    wanted = np.asarray(list(wanted))
+    wanted = np.arange(len(queries)) if wanted is None else np.asarray(list(wanted), dtype=np.int64)
     if len(wanted) == 0 or len(ids) == 0:
         return
     step = max(1, SCORES_AT_ONCE // len(wanted))
     for start in range(0, len(ids), step):
-        part = distances(rows[start : start + step], queries[wanted], metric)
-        for column, query in enumerate(wanted):
-            best.add(int(query), ids[start : start + step], part[:, column])
+        best.add(wanted, ids[start : start + step], distances(rows[start : start + step], queries[wanted], metric))
 
 
 @dataclass
@@ -127,7 +142,9 @@ def _hit_schema(corpus: DataFrame, queries: DataFrame, id_col: str, qid: str) ->
 
 
 def _batch_of(schema: T.StructType, columns: tuple[list, list, list]) -> pa.RecordBatch:
-    arrays = [pa.array(c, type=_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)]
+    as_struct = lambda v, names: v if isinstance(v, dict) else dict(zip(names, v))
+    keyed = [[as_struct(v, f.dataType.names) for v in c] if isinstance(f.dataType, T.StructType) else c for c, f in zip(columns, schema.fields)]
+    arrays = [pa.array(c, type=_arrow_type(f.dataType)) for c, f in zip(keyed, schema.fields)]
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
@@ -137,7 +154,7 @@ def scan_best(schema: T.StructType, block: QueryBlock, k: int, metric: str) -> C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, len(block.ids))
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
+            ids = id_array(batch.column(0))
             score_into(best, ids, matrix_of(batch.column(1)), block.vectors, metric)
         yield _batch_of(schema, best.rows(block.ids))
 
@@ -160,13 +177,13 @@ def grid_hits(
 
     Both sides carry ``_row_blocks`` and ``_query_blocks``, the number of blocks their list is cut into, so
     that every group holds one bounded block of each, whatever share of all rows a list has. Blocks are
-    dealt out by row number, so repeated ids or copies of a vector cannot pile up in one. Only the k best
-    per query leave a group.
+    dealt out by a hash of the key, which a task that runs again repeats. Only the k best per query leave a group.
     """
     zero = F.lit(0).cast("bigint")
 
     def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(own_blocks)))
+        key = id_col if own == "_rb" else qid
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.col(own_blocks)))
         return placed.withColumn(other, F.explode(F.sequence(zero, F.col(other_blocks) - 1))).drop("_row_blocks", "_query_blocks")
 
     row_side = dealt(rows, "_rb", "_row_blocks", "_qb", "_query_blocks")
@@ -176,7 +193,7 @@ def grid_hits(
         ids = left.column(qid).to_pylist()
         best = Best(k, len(ids))
         if len(ids) and right.num_rows:
-            row_ids = np.array(right.column(id_col).to_pylist(), dtype=object)
+            row_ids = id_array(right.column(id_col))
             score_into(best, row_ids, matrix_of(right.column(vec)), matrix_of(left.column(qvec)), metric)
         return pa.Table.from_batches([_batch_of(schema, best.rows(ids))])
 
@@ -216,20 +233,26 @@ def knn_search(
     return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
 
-def keyword_score(terms: Column, title: Column, description: Column) -> Column:
-    """Share of the query terms found in title or description; only the first ten are looked for."""
+def keyword_score(terms: Column, title: Column, description: Column, first: int | None = None) -> Column:
+    """Share of the query terms found in title or description; ``first`` looks for that many only, as a share of all."""
     low_title, low_text = F.lower(title), F.lower(description)
 
     def found(term: Column) -> Column:
         return F.coalesce(F.contains(low_title, term), F.lit(False)) | F.coalesce(F.contains(low_text, term), F.lit(False))
 
-    return F.when(F.size(terms) > 0, F.size(F.filter(F.slice(terms, 1, 10), found)) / F.size(terms)).otherwise(0.0)
+    looked_for = terms if first is None else F.slice(terms, 1, first)
+    return F.when(F.size(terms) > 0, F.size(F.filter(looked_for, found)) / F.size(terms)).otherwise(0.0)
 
 
 def query_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "(?U)\\s+"), lambda w: w != "")
 
 
+def with_key(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Several id columns as one key, which compares column by column."""
+    return df.withColumn(key, F.struct(*columns))
+
+
 def hybrid_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -237,38 +260,44 @@ def hybrid_search(
     top_k: int = 10,
     weight: float = 0.7,
     where: Column | None = None,
-    prefilter: bool = False,
-    id_col: str = "doc_id",
+    prefilter: bool = True,
+    id_col: str | list[str] = "doc_id",
     title: str = "title",
     description: str = "text",
     versions: list[str] | None = None,
     qid: str = "query_id",
+    first_terms: int | None = None,
 ) -> DataFrame:
-    """Vector search, then filter, then a blend of vector and keyword score, for a table of queries.
+    """Vector search, filter, and a blend of vector and keyword score, for a table of queries.
 
-    ``queries`` has (qid, text, embedding), ``corpus`` (id, embedding). Three times ``top_k`` neighbours are
-    fetched and filtered afterwards, so fewer than ``top_k`` rows can remain; ``prefilter`` restricts the
-    corpus first. Queries shorter than three characters find nothing. ``versions`` orders job versions; the
-    newest is taken, and only for jobs that were hit.
+    ``queries`` has (qid, text, embedding), ``corpus`` (id, embedding). An id may consist of several columns, such as
+    source and job. The corpus is restricted to jobs that pass ``where`` before the search; without ``prefilter`` three
+    times ``top_k`` neighbours are filtered afterwards, so that fewer than ``top_k`` rows can remain. Queries shorter
+    than three characters find nothing. ``versions`` orders job versions; the newest is taken, and only for jobs that
+    were hit. Texts come whole; a preview is the caller's.
     """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     asked = queries.filter(F.length(strip_ws(F.col("text"))) >= 3)
     if prefilter and where is not None:
-        corpus = corpus.join(jobs.filter(where).select(id_col).distinct(), id_col, "left_semi")
-    hits = knn_search(corpus, asked, top_k * 3, id_col=id_col, qid=qid).withColumnRenamed("rank", "vector_rank")
-    hits = materialise(hits, "hits")
+        newest = latest_per_key(jobs, ids, versions) if versions else jobs
+        corpus = corpus.join(newest.filter(where).select(*ids).distinct(), ids, "left_semi")
+    keyed = with_key(corpus, ids, "_key").select("_key", "embedding")
+    hits = knn_search(keyed, asked, top_k * 3, id_col="_key", qid=qid).withColumnRenamed("rank", "vector_rank")
+    hits = materialise(hits.select(qid, "_key.*", "distance", "vector_rank"), "hits")
     if versions:
-        jobs = latest_per_key(jobs.join(hits.select(id_col).distinct(), id_col, "left_semi"), [id_col], versions)
-    joined = jobs.join(hits, id_col)
+        jobs = latest_per_key(jobs.join(hits.select(*ids).distinct(), ids, "left_semi"), ids, versions)
+    joined = jobs.join(hits, ids)
     if where is not None:
         joined = joined.filter(where)
     terms = asked.select(qid, query_terms(F.col("text")).alias("_terms"))
-    scored = joined.join(terms, qid).withColumn("keyword_score", keyword_score(F.col("_terms"), F.col(title), F.col(description)))
+    score = keyword_score(F.col("_terms"), F.col(title), F.col(description), first_terms)
+    scored = joined.join(terms, qid).withColumn("keyword_score", score)
     scored = scored.withColumn(
         "hybrid_score", weight * (1.0 - F.col("distance") / 2.0) + (1.0 - weight) * F.col("keyword_score")
     )
-    order = Window.partitionBy(qid).orderBy(F.desc("hybrid_score"), id_col)
+    order = Window.partitionBy(qid).orderBy(F.desc("hybrid_score"), *ids)
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    return ranked.drop("_terms").withColumn(description, F.substring(description, 1, 500))
+    return ranked.drop("_terms")
 
 
 def similar_items(
@@ -276,25 +305,34 @@ def similar_items(
     wanted: DataFrame,
     top_k: int = 5,
     min_similarity: float = 0.7,
-    id_col: str = "vec_id",
-    strict_k: bool = False,
+    id_col: str | list[str] = "vec_id",
+    jobs: DataFrame | None = None,
+    versions: list[str] | None = None,
     max_query_bytes: int = MAX_QUERY_BYTES,
 ) -> DataFrame:
-    """Neighbours of each wanted key by its own vector, itself left out.
+    """Neighbours of each wanted key by its own vector, itself left out: reference ids, ids, rank and scores.
 
-    ``top_k`` + 1 neighbours are fetched before the similarity limit and self-exclusion, as the single-key
-    form does; ``strict_k`` fetches one more where other rows share the vector.
+    An id may consist of several columns; the reference columns are named ``reference_<id>``. ``top_k`` + 1 neighbours
+    are fetched, which leaves ``top_k`` others. ``jobs`` adds the columns of each neighbour, of its newest version if
+    ``versions`` are given, and a row without neighbour (``found`` false) for each wanted key that has no vector.
     """
-    queries = corpus.join(wanted.select(id_col).distinct(), id_col, "left_semi").withColumnRenamed(id_col, "reference_id")
-    fetch = top_k + (2 if strict_k else 1)
-    hits = knn_search(corpus, queries, fetch, id_col=id_col, qid="reference_id", max_query_bytes=max_query_bytes)
-    kept = hits.filter((F.col("distance") <= 1.0 - min_similarity) & (F.col(id_col) != F.col("reference_id")))
-    order = Window.partitionBy("reference_id").orderBy("distance", id_col)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    keys = wanted.select(*ids).distinct()
+    vectors = with_key(corpus, ids, "_key").select("_key", *ids, "embedding")
+    queries = vectors.join(keys, ids, "left_semi").select(F.col("_key").alias("_reference"), "embedding")
+    hits = knn_search(vectors.select("_key", "embedding"), queries, top_k + 1, id_col="_key", qid="_reference", max_query_bytes=max_query_bytes)
+    kept = hits.filter((F.col("distance") <= 1.0 - min_similarity) & (F.col("_key") != F.col("_reference")))
+    order = Window.partitionBy("_reference").orderBy("distance", "_key")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    return ranked.select(
-        "reference_id",
-        id_col,
+    shown = ranked.select(
+        *[F.col(f"_reference.{c}").alias(f"reference_{c}") for c in ids],
+        "_key.*",
         "rank",
         F.round(1.0 - F.col("distance"), 4).alias("similarity_score"),
         F.round("distance", 4).alias("vector_distance"),
     )
+    if jobs is None:
+        return shown
+    known = latest_per_key(jobs, ids, versions) if versions else jobs
+    absent = keys.join(vectors.select(*ids), ids, "left_anti").select(*[F.col(c).alias(f"reference_{c}") for c in ids], F.lit(False).alias("found"))
+    return shown.join(known, ids).withColumn("found", F.lit(True)).unionByName(absent, allowMissingColumns=True)

@@ -12,7 +12,9 @@ from postlens.operators.dedup import latest_per_key
 from postlens.session import materialise
 
 QUARTILES = [0.25, 0.5, 0.75]
-MAX_NARROWINGS = 6
+
+#: Parts of a bracket whose values are ranked by separate tasks.
+SLICES = 256
 
 
 def _rounded(col: Column, digits: int = 2) -> Column:
@@ -26,16 +28,15 @@ def exact_quantiles(
     probs: list[float],
     group: list[str],
     accuracy: int = 10000,
-    max_inside: int = 1_000_000,
     also: dict[str, Column] | None = None,
+    discrete: bool = False,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group: one row per group with ``n`` and ``q0``, ``q1``, ...
-
-    ``also`` names further aggregates of ``value`` to take along in the first pass.
+    """Exact quantiles per group: one row per group with ``n`` and ``q0``, ``q1``, ... and the aggregates in ``also``.
 
-    A mergeable sketch brackets every quantile, a second pass counts the rows below and inside each bracket,
-    and only the distinct values inside are ranked. While a bracket holds more than ``max_inside`` rows it is
-    narrowed by a sketch of its own, so no group is ever held or sorted whole.
+    They are interpolated between two ranks, or with ``discrete`` the value at rank ceil(p * n). Two passes: a mergeable
+    sketch brackets every quantile, then one aggregate counts the rows below each bracket, finds the nearest values
+    outside, and counts the distinct values inside, which is a share of the rows that the sketch's accuracy bounds.
+    Those are ranked in ``SLICES`` parts of each bracket by their counts, so that no group is held or sorted whole.
     """
     also = also or {}
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
@@ -43,75 +44,53 @@ def exact_quantiles(
     slack = 4.0 / accuracy
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
     sketch = base.withColumn(value, F.col("_v")).groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-        *[c.alias(name) for name, c in also.items()],
+        F.count("*").alias("n"), F.percentile_approx("_v", edges, accuracy).alias("_e"), *[c.alias(name) for name, c in also.items()]
     )
-    bounds = {}
-    small = F.col("n") <= accuracy  # ranked whole; beyond, one rank is less than the slack of a bracket
-    for i in slots:
-        low = F.col("_min") if edges[2 * i] == 0.0 else F.col("_e")[2 * i]
-        high = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1]
-        bounds[f"_lo{i}"] = F.when(small, F.col("_min")).otherwise(low)
-        bounds[f"_hi{i}"] = F.when(small, F.col("_max")).otherwise(high)
-    names = [*group, "n", *also, *bounds]
-    brackets = materialise(sketch.select(*group, "n", *also, *[c.alias(name) for name, c in bounds.items()]), "quantile-sketch")
-    before = None
-
-    def inside(i: int) -> Column:
-        return (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
-
-    def target(i: int) -> Column:
-        return F.lit(probs[i]) * (F.col("n") - 1)
-
-    for _ in range(MAX_NARROWINGS + 1):
-        joined = base.join(brackets, group)
-        measured = joined.groupBy(*names).agg(
-            *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in slots],
-            *[F.count_if(inside(i)).alias(f"_inside{i}") for i in slots],
-        )
-        measured = materialise(measured, "quantile-counts")
-        open_rows = [F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.col(f"_inside{i}")).otherwise(0) for i in slots]
-        widest = measured.agg(F.max(F.greatest(F.lit(0), *open_rows))).first()[0] or 0
-        if widest <= max_inside or widest == before:  # no narrower: a few values repeated very often
-            break
-        before = widest
-        grid = [g / 64 for g in range(65)]
-        finer = joined.groupBy(*names).agg(*[F.percentile_approx(F.when(inside(i), F.col("_v")), grid, accuracy).alias(f"_e{i}") for i in slots])
-        located = finer.join(measured, names)
-        narrowed = {}
-        for i in slots:
-            share = F.floor((target(i) - F.col(f"_below{i}")) / F.col(f"_inside{i}") * 64).cast("int")
-            low = F.get(F.col(f"_e{i}"), F.greatest(share - 1, F.lit(0)))
-            high = F.get(F.col(f"_e{i}"), F.least(share + 3, F.lit(64)))
-            narrowed[f"_lo{i}"] = F.when(share > 0, low).otherwise(F.col(f"_lo{i}"))
-            narrowed[f"_hi{i}"] = F.when(share < 62, high).otherwise(F.col(f"_hi{i}"))
-        step = located.select(*group, "n", *also, *[c.alias(name) for name, c in narrowed.items()])
-        brackets = materialise(step, "quantile-sketch")
-
-    hits = F.array_compact(F.array(*[F.when(inside(i), F.lit(i)) for i in slots]))
-    ranked = (
-        joined.select(*group, "_v", F.explode(hits).alias("_i"))
-        .groupBy(*group, "_i", "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group, "_i").orderBy("_v")))
-        .join(measured, group)
+    ranked_at = [F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) - 1 if discrete else F.lit(p) * (F.col("n") - 1) for p in probs]
+    slot = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"), ranked_at[i].cast("double").alias("at")) for i in slots]))
+    brackets = materialise(sketch.select(*group, "n", *also, slot.alias("_s")), "quantile-sketch")
+
+    wide = brackets.groupBy(*group).agg(*[F.max(F.when(F.col("_s.i") == i, F.col("_s"))).alias(f"_s{i}") for i in slots])
+    seen = base.join(wide, group)
+
+    def part(i: int) -> Column:
+        """Where a value stands: a value inside counts by itself, those outside by side only."""
+        v, s = F.col("_v"), F.col(f"_s{i}")
+        side = F.when(v < s["lo"], -1).when(v > s["hi"], 1).otherwise(0)
+        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("inside"), v.alias("v"))
+
+    parts = seen.select(*group, F.explode(F.array(*[part(i) for i in slots])).alias("_p"))
+    counted = parts.groupBy(*group, F.col("_p.i").alias("i"), F.col("_p.side").alias("side"), F.col("_p.inside").alias("inside")).agg(
+        F.count("*").alias("c"), F.min("_p.v").alias("least"), F.max("_p.v").alias("most")
     )
-    start = F.element_at(F.array(*[F.col(f"_below{i}") for i in slots]), F.col("_i") + 1)
-    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * (F.col("n") - 1)
-
-    def at(rank: Column) -> Column:
-        return (start + F.col("_upto") - F.col("_c") <= rank) & (rank < start + F.col("_upto"))
-
-    picked = ranked.groupBy(*group, "n", *also, "_i", position.alias("_pos")).agg(
-        F.max(F.when(at(F.floor(position)), F.col("_v"))).alias("_low"),
-        F.max(F.when(at(F.ceil(position)), F.col("_v"))).alias("_high"),
+    counted = materialise(counted, "quantile-counts")
+    keys = [*group, "i"]
+    outside = counted.groupBy(*keys).agg(
+        F.sum(F.when(F.col("side") < 0, F.col("c")).otherwise(0)).alias("below"),
+        F.max(F.when(F.col("side") < 0, F.col("most"))).alias("before"),
+        F.min(F.when(F.col("side") > 0, F.col("least"))).alias("after"),
+        F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("within"),
+        F.min(F.when(F.col("side") == 0, F.col("inside"))).alias("lo"),
+        F.max(F.when(F.col("side") == 0, F.col("inside"))).alias("hi"),
     )
-    found = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))
-    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    return picked.groupBy(*group, "n", *also).agg(*[F.max(F.when(F.col("_i") == i, checked)).alias(f"q{i}") for i in slots])
+    share = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("inside") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)).otherwise(0)
+    inside = counted.filter("side = 0").select(*keys, "inside", "c").join(outside, keys).withColumn("slice", share)
+    slices = inside.groupBy(*keys, "slice").agg(F.sum("c").alias("size"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(*keys, "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*keys, "slice").orderBy("inside")
+    placed = inside.join(starts, [*keys, "slice"]).withColumn("upto", F.col("below") + F.col("start") + F.sum("c").over(within))
+    asked = brackets.select(*group, "n", *also, F.col("_s.i").alias("i"), F.col("_s.at").alias("at"))
+    ranked = placed.join(asked, keys)
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
+        outer = F.when(rank < F.col("below"), F.col("before")).when(rank >= F.col("below") + F.col("within"), F.col("after"))
+        return F.coalesce(F.max(F.when(here, F.col("inside"))), F.max(outer))
+
+    picked = ranked.groupBy(*group, "n", *also, "i", "at").agg(value_at(F.floor("at")).alias("low"), value_at(F.ceil("at")).alias("high"))
+    found = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    return picked.groupBy(*group, "n", *also).agg(*[F.max(F.when(F.col("i") == i, found)).alias(f"q{i}") for i in slots])
 
 
 def group_salary_stats(
@@ -122,12 +101,11 @@ def group_salary_stats(
     where: Column | None = None,
     limit: int = 10,
     latest: tuple[list[str], list[str]] | None = None,
-    accuracy: int = 10000,
 ) -> DataFrame:
     """Pay statistics per group, largest groups first.
 
     Counts every version of a job unless ``latest`` = (keys, order) is given. Rows without a lower
-    bound are left out; zero results read as missing. Quartiles come from a mergeable sketch.
+    bound are left out; zero results read as missing. Quartiles are exact values of the groups shown.
     """
     if latest is not None:
         df = latest_per_key(df, *latest)
@@ -142,15 +120,20 @@ def group_salary_stats(
         F.avg((lo + hi) / 2).alias("avg_mid_salary"),
         F.min(lo).alias("min_salary"),
         F.max(hi).alias("max_salary"),
-        F.percentile_approx(lo, QUARTILES, accuracy).alias("_q"),
     )
-    top = stats.orderBy(F.desc("job_count"), "group_name").limit(limit)
+    top = materialise(stats.orderBy(F.desc("job_count"), "group_name").limit(limit), "top-groups")
+    paid = df.select(F.col(group).alias("group_name"), lo.alias("_low"))
+    shown = top.select("group_name").distinct()
+    paid = paid.join(shown.withColumnRenamed("group_name", "_shown"), F.col("group_name").eqNullSafe(F.col("_shown")), "left_semi")
+    named = F.struct(F.col("group_name").isNull().alias("none"), F.coalesce(F.col("group_name").cast("string"), F.lit("")).alias("name"))
+    quartiles = exact_quantiles(paid.withColumn("_name", named), "_low", QUARTILES, ["_name"], discrete=True).drop("n")
+    top = top.withColumn("_name", named).join(quartiles, "_name")
     figures = ["avg_min_salary", "avg_max_salary", "avg_mid_salary", "min_salary", "max_salary"]
     return top.select(
         "group_name",
         "job_count",
         *[_rounded(F.col(c)).alias(c) for c in figures],
-        *[_rounded(F.col("_q")[i]).alias(c) for i, c in enumerate(["p25_salary", "median_salary", "p75_salary"])],
+        *[_rounded(F.col(f"q{i}")).alias(c) for i, c in enumerate(["p25_salary", "median_salary", "p75_salary"])],
     )
 
 

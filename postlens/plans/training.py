@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.operators.models import classification_metrics, kmeans_fit, regression_metrics, save_artifacts, train_classifier, train_pay_model
+from postlens.session import materialise
 
 
 def train_all(
@@ -13,9 +14,12 @@ def train_all(
 ) -> DataFrame:
     """Pay model, role classifier and clustering; artifacts under ``path``, one metrics row per figure.
 
-    ``pay`` and ``roles`` hold (features, label), ``vectors`` an embedding column.
+    ``pay`` and ``roles`` hold (features, label), ``vectors`` an embedding column. A fifth of ``pay`` decides when the
+    boosting stops.
     """
-    pay_model = train_pay_model(pay, pay_features, trees=trees)
+    pay = materialise(pay, "pay")
+    train, held_out = pay.randomSplit([0.8, 0.2], seed=42)
+    pay_model = train_pay_model(train, pay_features, validation=held_out, trees=trees)
     pay_row = regression_metrics(pay_model.predict(pay), "label", "prediction", "train_").first().asDict()
     save_artifacts(spark, pay_model.model, f"{path}/pay", {"kind": pay_model.kind, "features": ",".join(pay_features)}, pay_row)
     classifier = train_classifier(roles, "label")

@@ -26,21 +26,19 @@ def build_session(app_name: str = "postlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_local_scratch: dict[str, str] = {}
-
-
 def scratch_base(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Where neither is set, a local session gets a temporary folder; a cluster session fails, since a
-    machine-local folder is not visible to its executors.
+    Where neither is set, a local session gets a folder once, which is then its setting; a cluster session fails, since
+    a machine-local folder is not visible to its executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="postlens-"))
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="postlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

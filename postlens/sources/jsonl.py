@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from postlens.functions.staging import pin
 from postlens.functions.text import is_blank, strip_ws
 from postlens.functions.variants import is_object, is_present, json_text, part, text_at
+from postlens.session import materialise
 
 # Sources a dump folder may name.
 RUN_SOURCES = ["jobstreet", "mcf"]
@@ -27,6 +28,10 @@ PAYLOAD_FIELDS = ["title", "company", "url"]
 # JSON texts that count as an empty value.
 EMPTY_JSON = ["null", "false", "0", "0.0", '""', "[]", "{}"]
 
+# Verdicts on whole dumps.
+EMPTY_DUMP = "File is empty"
+NO_VALID_JOBS = "No valid jobs found"
+
 TIMESTAMP_FIELDS = ["scrape_timestamp", "bq_timestamp", "job_posted_timestamp"]
 
 
@@ -197,23 +202,36 @@ def dump_errors(lines: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
-def validate_dump(numbered: DataFrame, by: str = "file", first: int = 10) -> DataFrame:
-    """Verdict per file with its first errors in line order. ``dump_errors`` has all of them."""
-    checked = dump_errors(numbered)
+def dump_error_rows(numbered: DataFrame, by: str = "file") -> DataFrame:
+    """(by, line, error) of all lines that are no valid job."""
+    return dump_errors(numbered).filter("error IS NOT NULL").select(by, "line", "error")
+
+
+def validate_dump(numbered: DataFrame, by: str = "file", first: int = 10, files: DataFrame | None = None) -> DataFrame:
+    """Verdict per file with its first errors in line order, or with all if no line is valid.
+
+    ``files`` lists the dumps expected, in a column named ``by``; those without a line are reported as empty. Every line
+    is parsed once. ``dump_error_rows`` has all errors as rows.
+    """
+    checked = materialise(dump_errors(numbered).select(by, "line", "error"), "dump-errors")
     totals = checked.groupBy(by).agg(F.count("*").alias("line_count"), F.count_if(F.col("error").isNull()).alias("valid_jobs"))
-    bad = checked.filter("error IS NOT NULL").select(by, "line", "error")
-    ranked = bad.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy("line"))).filter(F.col("_rn") <= first)
+    bad = checked.filter("error IS NOT NULL")
+    few = bad.join(totals.filter("valid_jobs > 0").select(by), by, "left_semi")
+    ranked = few.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy("line"))).filter(F.col("_rn") <= first).drop("_rn")
+    hopeless = bad.join(totals.filter("valid_jobs = 0").select(by), by, "left_semi")
     texts = F.transform(
         F.array_sort(F.collect_list(F.struct("line", "error"))),
         lambda e: F.concat(F.lit("Line "), e["line"].cast("string"), F.lit(": "), e["error"]),
     )
-    firsts = ranked.groupBy(by).agg(texts.alias("errors"))
+    shown = ranked.unionByName(hopeless).groupBy(by).agg(texts.alias("errors"))
+    if files is not None:
+        totals = files.select(by).distinct().join(totals, by, "left").fillna(0, ["line_count", "valid_jobs"])
     success = F.concat(F.lit("✓ Valid: "), "valid_jobs", F.lit("/"), "line_count", F.lit(" jobs"))
     messages = (
-        F.when(F.col("valid_jobs") == 0, F.array_append("errors", F.lit("No valid jobs found")))
+        F.when(F.col("line_count") == 0, F.array(F.lit(EMPTY_DUMP)))
+        .when(F.col("valid_jobs") == 0, F.array_append("errors", F.lit(NO_VALID_JOBS)))
         .when(F.col("errors").isNull(), F.array(success))
         .otherwise(F.col("errors"))
     )
-    return totals.join(firsts, by, "left").select(
-        by, "line_count", "valid_jobs", F.col("errors").isNull().alias("is_valid"), messages.alias("messages")
-    )
+    is_valid = (F.col("line_count") > 0) & F.col("errors").isNull()
+    return totals.join(shown, by, "left").select(by, "line_count", "valid_jobs", is_valid.alias("is_valid"), messages.alias("messages"))

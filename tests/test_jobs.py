@@ -4,6 +4,7 @@ import datetime as dt
 import gzip
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,11 +208,10 @@ def test_append_counts_and_partitions(spark):
 
 
 class _Session:
-    """Just the parts of a session that name the scratch folder."""
-
-    def __init__(self, setting, master, context_dir=None):
-        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: {"spark.checkpoint.dir": setting}.get(key) or default)})
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": "x", "getCheckpointDir": staticmethod(lambda: context_dir)})
+    def __init__(self, setting, master, context=None):
+        settings = {"spark.checkpoint.dir": setting}
+        self.conf = SimpleNamespace(get=lambda key, default=None: settings[key] or default, set=settings.__setitem__)
+        self.sparkContext = SimpleNamespace(getCheckpointDir=lambda: context, master=master, applicationId="app")
 
 
 def test_scratch_follows_the_session():
