@@ -111,13 +111,23 @@ def normalize_whitespace(col: Column) -> Column:
     return strip_ws(col)
 
 
+def with_clean_descriptions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add cleaned forms (tags, entities, Unicode, whitespace) of several columns, given as {column: result}.
+
+    One Arrow pass serves the rare rows of all of them.
+    """
+    plain = {col: f"_plain_{i}" for i, col in enumerate(columns)}
+    df = pin(df, **{name: F.coalesce(drop_tags(F.col(col)), F.lit("")) for col, name in plain.items()})
+    odd = f"{_OTHER_ENTITY}|{_UNSTABLE}"
+    df = df.withColumns({f"{name}_rare": _unescape_compose_any(F.when(F.col(name).rlike(odd), F.col(name))) for name in plain.values()})
+    whole = {columns[col]: F.coalesce(F.col(f"{name}_rare"), _jvm_compose(_jvm_unescape(F.col(name)))) for col, name in plain.items()}
+    df = df.withColumns({out: normalize_whitespace(value) for out, value in whole.items()})
+    return df.drop(*plain.values(), *[f"{name}_rare" for name in plain.values()])
+
+
 def with_clean_description(df: DataFrame, col: str, out: str) -> DataFrame:
     """Add ``out``: tags, entities, Unicode and whitespace cleaned, with one Arrow pass for the rare rows."""
-    df = pin(df, _plain=F.coalesce(drop_tags(F.col(col)), F.lit("")))
-    plain = F.col("_plain")
-    rare = _unescape_compose_any(F.when(plain.rlike(f"{_OTHER_ENTITY}|{_UNSTABLE}"), plain))
-    df = df.withColumn(out, F.coalesce(rare, _jvm_compose(_jvm_unescape(plain))))
-    return df.withColumn(out, normalize_whitespace(F.col(out))).drop("_plain")
+    return with_clean_descriptions(df, {col: out})
 
 
 def _capitalize(word: Column) -> Column:

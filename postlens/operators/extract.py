@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.salary import with_salary
 from postlens.functions.staging import pin
-from postlens.functions.text import normalize_company, normalize_location, strip_ws, with_clean_description
+from postlens.functions.text import normalize_company, normalize_location, strip_ws, with_clean_descriptions
 from postlens.functions.variants import is_filled_object, is_object, not_object, null_or_not_object, part, text_at
 from postlens.schemas import CLEANED_SCHEMA
 from postlens.sources.jsonl import is_empty_json
@@ -245,9 +245,7 @@ def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
     staged = pin(pin(pin(raw, _v=F.try_parse_json(payload)), _data=data), reject=reject).drop("_v")
     from_a, from_b = _fields_a(d), _fields_b(d)
     usable = F.col("reject").isNull()
-    staged = staged.withColumns(
-        {f"_{name}": F.when(usable, F.when(is_a, from_a[name]).otherwise(from_b[name])) for name in FIELDS}
-    )
+    staged = pin(staged, **{f"_{name}": F.when(usable, F.when(is_a, from_a[name]).otherwise(from_b[name])) for name in FIELDS})
     missing = (or_empty(F.col("_job_id")) == "") | (or_empty(F.col("_job_title")) == "")
     carried = [F.col(c) for c in raw.columns if c not in FIELDS]
     return staged.select(
@@ -259,11 +257,13 @@ def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 def clean_with_reason(raw: DataFrame, ingested: Column | None = None) -> DataFrame:
     """All raw rows with the cleaned columns and ``reject``; rejected rows keep source, job_id and times only."""
-    fields = extract_fields(raw.withColumn("_raw_job_id", F.col("job_id")))
+    return _cleaned(extract_fields(raw.withColumn("_raw_job_id", F.col("job_id"))), ingested)
+
+
+def _cleaned(fields: DataFrame, ingested: Column | None) -> DataFrame:
     ok = F.col("reject").isNull()
     posted = F.try_to_timestamp(F.replace("job_posted_timestamp", F.lit("Z"), F.lit("+00:00")))
-    staged = with_clean_description(fields, "job_description", "_description")
-    staged = with_clean_description(staged, "company_description", "_company_text")
+    staged = with_clean_descriptions(fields, {"job_description": "_description", "company_description": "_company_text"})
     staged = with_salary(staged, "job_salary_text", prefix="_pay_")
     return staged.select(
         "reject",
@@ -294,8 +294,9 @@ def clean_with_reason(raw: DataFrame, ingested: Column | None = None) -> DataFra
 
 
 def clean_jobs(raw: DataFrame, ingested: Column | None = None) -> DataFrame:
-    """Raw jobs to cleaned jobs, unusable rows left out."""
-    return clean_with_reason(raw, ingested).filter("reject IS NULL").select(*CLEANED_SCHEMA.names)
+    """Raw jobs to cleaned jobs, unusable rows left out before anything is cleaned."""
+    fields = extract_fields(raw.withColumn("_raw_job_id", F.col("job_id"))).filter("reject IS NULL")
+    return _cleaned(fields, ingested).select(*CLEANED_SCHEMA.names)
 
 
 def rejected_jobs(raw: DataFrame) -> DataFrame:
