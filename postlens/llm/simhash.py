@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.components import roots
-from postlens.llm.worker import rest_of
+from postlens.llm.worker import rest_of, worker_state
 from postlens.session import materialise
 
 #: Fingerprints expected in a bucket of leading bits, and the range of the number of those bits.
 BUCKET, FEWEST_BITS, MOST_BITS = 1000, 10, 24
 
 #: Variants that a worker sorts at once.
-VARIANTS = 4 << 20
+VARIANTS = 1 << 20
 
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
@@ -101,7 +101,7 @@ def colliding(values: np.ndarray, owners: np.ndarray, left: np.ndarray, bits: in
     made, by = [], []
     for n in range(len(sizes)):
         mine = left == n
-        masks = np.array(flips(bits, n), np.uint64)
+        masks = worker_state(f"flips {bits} {n}", lambda: np.array(flips(bits, n), np.uint64))
         made.append((values[mine][:, None] ^ masks).ravel())
         by.append(np.repeat(owners[mine], len(masks)))
     variants, who = np.concatenate(made), np.concatenate(by)
@@ -149,10 +149,10 @@ def ball_links(classes: DataFrame, radius: int = 4, column: str = "fingerprint")
         left = half - np.bitwise_count((values >> np.uint64(64 - bits)) ^ np.uint64(key[0].as_py())).astype(np.int64)
         low = values & np.uint64((1 << (64 - bits)) - 1)
         label = np.arange(len(values))
-        for a, b in colliding(low, np.arange(len(values)), left, 64 - bits):
-            near = np.bitwise_count(values[a] ^ values[b]) <= radius
-            pairs = np.unique(np.stack([label[a[near]], label[b[near]]]), axis=1)
-            label = forest(len(values), pairs[0], pairs[1])[label]
+        for a, b in colliding(low, np.arange(len(values), dtype=np.int32), left, 64 - bits):
+            near = (label[a] != label[b]) & (np.bitwise_count(values[a] ^ values[b]) <= radius)
+            pairs = np.unique(label[a[near]] * len(values) + label[b[near]])
+            label = forest(len(values), pairs // len(values), pairs % len(values))[label]
         linked = np.flatnonzero(label != np.arange(len(values)))
         found = values.view(np.int64)
         return pa.table({"a": found[linked], "b": found[label[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
