@@ -23,20 +23,13 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text (null: none), with their capitals."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), NO_WORD + "+"), lambda w: w != "")
+    """The words of a text (null: none) in their normal form, with capitals A-Z lowered."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NO_WORD + "+"), "")
 
 
-def gram(words: Column, start: Column, size: Column) -> Column:
-    """Words from ``start``, counted from 1, in their normal form: capitals A-Z lowered, joined by spaces."""
-    return F.translate(F.array_join(F.slice(words, start, size), " "), UPPER, LOWER)
-
-
-def hashes(words: Column, size: int) -> Column:
-    """A hash of each run of ``size`` words, equal for runs of equal normal form; ``words`` are in full lower case."""
-    last = F.size(words) - (size - 1)
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+def gram_hash(words: Column, start: Column, size: Column, n: int) -> Column:
+    """A hash of up to n words from ``start``, counted from 0. Missing places leave it as it is."""
+    return F.xxhash64(*[F.when(size > k, F.get(words, start + k)) for k in range(n)])
 
 
 def benchmark_grams(benchmark: DataFrame, n: int = NGRAM, text_col: str = "text", id_col: str = "item_id") -> DataFrame:
@@ -48,27 +41,30 @@ def benchmark_grams(benchmark: DataFrame, n: int = NGRAM, text_col: str = "text"
     n_words = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n_words - (n - 1), F.lit(1)))
     windows = items.where(n_words > 0).select("item", "words", F.least(n_words, F.lit(n)).alias("size"), F.explode(starts).alias("start"))
-    taken = windows.select("item", "size", gram(F.col("words"), F.col("start"), F.col("size")).alias("gram"))
-    return taken.groupBy("gram").agg(F.first("size").alias("size"), F.collect_set("item").alias("items")).select(
-        F.xxhash64(F.split(F.lower("gram"), " ")).alias("hash"), "size", "gram", "items"
-    )
+    taken = windows.select("item", "size", F.array_join(F.slice("words", F.col("start"), F.col("size")), " ").alias("gram"))
+    grams = taken.groupBy("gram").agg(F.first("size").alias("size"), F.collect_set("item").alias("items"))
+    return grams.select(gram_hash(F.split("gram", " "), F.lit(0), F.col("size"), n).alias("hash"), "size", "gram", "items")
 
 
-def _windows(docs: DataFrame, sizes: list[int], text_col: str, id_col: str) -> DataFrame:
-    """(id, text hash, words, number of words, hash, start, size) of each window, and one row for each document with no hash."""
+def _windows(docs: DataFrame, sizes: list[int], n: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, text hash, words, number of words, hash, start, size) of each window, and one row for each document with no hash.
+
+    The rows are made, hashed and looked up within one generated stage, where all windows of a document share one array.
+    """
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = keyed.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    split = pin(keyed, words=words_of(F.col("text")), low=words_of(F.lower("text")))
-    none = F.array(F.lit(None).cast("long"))
-    every = F.concat(*[hashes(F.col("low"), size) for size in sizes], none) if sizes else none
-    split = split.select("id", "text_hash", "words", F.size("words").alias("n_words"), every.alias("every"))
-    dealt = split.select("id", "text_hash", "words", "n_words", F.posexplode("every").alias("place", "hash"))
+    split = pin(keyed.select("id", "text", F.xxhash64("text").alias("text_hash")), words=words_of(F.col("text")))
+    split = split.select("id", "text_hash", "words", F.size("words").alias("n_words"))
+    windows = [F.greatest(F.col("n_words") - (size - 1), F.lit(0)) for size in sizes]
+    total = sum(windows, F.lit(0))
+    dealt = split.select("id", "text_hash", "words", "n_words", F.explode_outer(F.sequence(F.lit(0), total)).alias("place"))
     start, size, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
-    for one in sizes:
-        start = F.when(F.col("place") >= before, F.col("place") - before).otherwise(start)
-        size = F.when(F.col("place") >= before, one).otherwise(size)
-        before = before + F.greatest(F.col("n_words") - (one - 1), F.lit(0))
-    return dealt.select("id", "text_hash", "words", "n_words", "hash", start.alias("start"), size.alias("size"))
+    for one, count in zip(sizes, windows, strict=True):
+        here = (F.col("place") >= before) & (F.col("place") < before + count)
+        start, size = F.when(here, F.col("place") - before).otherwise(start), F.when(here, one).otherwise(size)
+        before = before + count
+    placed = dealt.select("id", "text_hash", "words", "n_words", start.alias("start"), size.alias("size"))
+    hashed = F.when(F.col("start").isNotNull(), gram_hash(F.col("words"), F.col("start"), F.col("size"), n))
+    return placed.withColumn("hash", hashed)
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, id_col: str, with_all: bool, limit: int) -> DataFrame:
@@ -80,18 +76,19 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, id_col:
     grams = materialise(benchmark_grams(benchmark, n), "grams")
     size_of = F.octet_length("gram") + 16 * F.size("items") + 64
     total, sizes = grams.agg(F.coalesce(F.sum(size_of), F.lit(0)), F.sort_array(F.collect_set("size"))).first()
-    windows = _windows(docs, list(sizes), text_col, id_col)
+    windows = _windows(docs, list(sizes), n, text_col, id_col)
     parts = max(1, math.ceil(total / limit))
 
     def look_up(part: int) -> DataFrame:
         entries = grams if parts == 1 else grams.where(F.pmod("hash", F.lit(parts)) == part)
         entries = entries.select(F.col("hash").alias("entry"), "gram", "items")
-        same = (F.col("hash") == F.col("entry")) & (gram(F.col("words"), F.col("start") + 1, F.col("size")) == F.col("gram"))
-        rows = with_all and part == 0
-        found = windows.join(F.broadcast(entries), same, "left" if rows else "inner")
-        found = found.where(F.col("entry").isNotNull() | F.col("hash").isNull()) if rows else found
+        met = windows.join(F.broadcast(entries), F.col("hash") == F.col("entry"), "left")
+        # Verified behind the outer join: as part of its condition the words of every window would be joined for a key.
+        hit = F.col("entry").isNotNull() & (F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ") == F.col("gram"))
+        found = met.where(hit | F.col("hash").isNull())
         start = F.when(F.col("entry").isNotNull(), F.col("start")).alias("start")
-        return found.select("id", "text_hash", "n_words", start, "size", "items")
+        rows = found.select("id", "text_hash", "n_words", start, "size", "items")
+        return rows if with_all and part == 0 else rows.where("start IS NOT NULL")
 
     return reduce(DataFrame.union, map(look_up, range(parts)))
 
