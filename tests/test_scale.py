@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.operators import dedup, embed, features, ivf, models, search, stats
+from postlens.operators import dedup, embed, features, grading, ivf, models, search, stats
 
 
 @pytest.fixture(scope="module")
@@ -199,3 +199,50 @@ def test_ridge_matches_closed_form(spark):
     want = np.linalg.solve(centred.T @ centred + np.eye(2), centred.T @ (y - y.mean()))
     assert list(fitted.model.coefficients) == pytest.approx(list(want), abs=1e-3)
     assert fitted.importance(spark).count() == 0
+
+
+def test_one_vector_for_one_text(spark):
+    rows = [(i, f"chef cook number {i % 3}") for i in range(6)]
+    embedder = embed.hashing_embedder(64)
+    whole = {r["k"]: r["v"] for r in embedder(spark.createDataFrame(rows, "k int, text string"), "text", "v").collect()}
+    single = embedder(spark.createDataFrame(rows[4:5], "k int, text string"), "text", "v").first()["v"]
+    assert single == whole[4] == whole[1] and np.linalg.norm(single) == pytest.approx(1, abs=1e-6)
+    asked = spark.createDataFrame([(1, "  ab "), (2, "  Chef cook number 1\n"), (3, None)], "query_id int, text string")
+    found = embed.embed_queries(asked, embedder).collect()
+    assert [r["query_id"] for r in found] == [2] and found[0]["embedding"] == pytest.approx(whole[1])
+    short = embed.embed_queries(asked, embedder, max_chars=4).collect()
+    assert short[0]["text"] == "Chef"
+
+
+def test_pluggable_models(spark):
+    def lengths():
+        return lambda texts: np.array([[float(len(t)), 1.0] for t in texts], dtype=np.float32)
+
+    def shout():
+        return lambda prompts: np.array([p.upper() for p in prompts])
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "k int, text string")
+    made = embed.model_embedder(lengths, batch=1)(df, "text", "v")
+    assert {r["k"]: r["v"] for r in made.collect()} == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+    assert sorted(r["reply"] for r in grading.model_replies(df, "text", shout).collect()) == ["AB", "ABCD"]
+
+
+def test_keys_of_two_columns(spark):
+    rows = [("a", 7, [1.0, 0.0]), ("b", 7, [0.0, 1.0]), ("a", 8, [0.9, 0.1]), ("b", 9, [0.1, 0.9])]
+    corpus = spark.createDataFrame(rows, "source string, job int, embedding array<double>")
+    jobs = corpus.select("source", "job", F.concat("source", "job").alias("title"), F.lit("x").alias("text"))
+    asked = spark.createDataFrame([(1, "any words", [1.0, 0.0])], "query_id int, text string, embedding array<double>")
+    found = search.hybrid_search(asked, corpus, jobs, 2, id_col=["source", "job"]).orderBy("rank").collect()
+    assert [(r["source"], r["job"]) for r in found] == [("a", 7), ("a", 8)]
+    wanted = spark.createDataFrame([("b", 7), ("c", 1)], "source string, job int")
+    near = search.similar_items(corpus, wanted, 1, 0.5, id_col=["source", "job"], jobs=jobs).collect()
+    assert {(r["reference_source"], r["reference_job"], r["source"], r["job"], r["found"]) for r in near} == {("b", 7, "b", 9, True), ("c", 1, None, None, False)}
+
+
+def test_judged_against_an_empty_context(spark):
+    answers = spark.createDataFrame([(1, "see job_9"), (2, "see job_9")], "k int, answer string")
+    cited = spark.createDataFrame([(1, 0, "job_10"), (1, 1, "job_9"), (2, 0, "job_9")], "k int, position int, job_id string")
+    none = spark.createDataFrame([], "k int, job_id string")
+    judged = {r["k"]: r["verdict"] for r in grading.judge_answers(answers, cited, none, ["k"], ["k"], F.col("k") == 1).collect()}
+    assert not judged[1]["passed"] and [v.split()[3] for v in judged[1]["violations"]] == ["job_10", "job_9"]
+    assert judged[2]["passed"]
