@@ -133,3 +133,8 @@ MODEL_CALL_BOUNDS = [0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0]
 RETRIEVAL_BOUNDS = [0.1, 0.5, 1.0, 2.0, 5.0]
 GRADING_BOUNDS = [0.5, 1.0, 2.0, 5.0, 10.0]
 AGENT_BOUNDS = [1.0, 5.0, 10.0, 20.0, 30.0, 60.0, 120.0]
+
+# Markup taken out with its content, tags that end a line, and any other tag.
+HTML_BLOCKS = ["(?isu)<script[^>]*>.*?</script>", "(?isu)<style[^>]*>.*?</style>"]
+HTML_LINE_TAGS = "(?iu)</?(p|div|br|li|tr|h[1-6])[^>]*>"
+HTML_TAGS = "<[^>]+>"

@@ -11,7 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postlens.functions.staging import pin
-from postlens.functions.fixed import COMPANY_SUFFIXES, LANGUAGE_SCRIPTS, LANGUAGE_WORDS, LOCATION_MAP, SCRIPT_SHARE, WS_CHARS, WS_CLASS
+from postlens.functions.fixed import (
+    COMPANY_SUFFIXES,
+    HTML_BLOCKS,
+    HTML_LINE_TAGS,
+    HTML_TAGS,
+    LANGUAGE_SCRIPTS,
+    LANGUAGE_WORDS,
+    LOCATION_MAP,
+    SCRIPT_SHARE,
+    WS_CHARS,
+    WS_CLASS,
+)
 
 # Entities rewritten inside the JVM. "&amp;" goes last so that its result is not read again.
 _JVM_ENTITIES = [
@@ -67,10 +78,9 @@ def is_blank(col: Column) -> Column:
 
 def drop_tags(col: Column) -> Column:
     """Remove script and style blocks, turn block tags into newlines, drop all other tags."""
-    col = F.regexp_replace(col, "(?isu)<script[^>]*>.*?</script>", "")
-    col = F.regexp_replace(col, "(?isu)<style[^>]*>.*?</style>", "")
-    col = F.regexp_replace(col, "(?iu)</?(p|div|br|li|tr|h[1-6])[^>]*>", "\n")
-    return F.regexp_replace(col, "<[^>]+>", "")
+    for block in HTML_BLOCKS:
+        col = F.regexp_replace(col, block, "")
+    return F.regexp_replace(F.regexp_replace(col, HTML_LINE_TAGS, "\n"), HTML_TAGS, "")
 
 
 def _jvm_unescape(col: Column) -> Column:

@@ -28,8 +28,8 @@ def payload_b(**changes):
         "address": {"districts": [{"location": "cbd"}]},
         "categories": [{"category": "Food"}],
         "employmentTypes": [{"employmentType": "Full Time"}],
-        "salary": {"minimum": 4000, "maximum": 6000, "type": {"salaryType": "Monthly"}},
-        "postedCompany": {"uen": "U1", "name": "ACME PTE LTD", "description": "d", "employeeCount": 50, "_links": {"self": {"href": "https://c"}}},
+        "salary": {"minimum": 3150, "maximum": 4725, "type": {"salaryType": "Monthly"}},
+        "postedCompany": {"uen": "U1", "name": "ACME PTE LTD", "description": "d", "employeeCount": 212, "_links": {"self": {"href": "https://c"}}},
     }
     item.update(changes)
     return {"raw": {k: v for k, v in item.items() if v != "absent"}}
@@ -43,7 +43,7 @@ def raw(spark, *payloads, source="mcf"):
 def test_source_b_row(spark):
     got = extract.clean_jobs(raw(spark, payload_b())).first()
     assert (got.job_id, got.job_title, got.job_description, got.job_location) == ("m1", "Chef", "Cook & serve", "Central")
-    assert (got.job_salary_min_sgd_monthly, got.job_salary_max_sgd_monthly, got.company_name, got.company_size) == (4000.0, 6000.0, "ACME", "50")
+    assert (got.job_salary_min_sgd_monthly, got.job_salary_max_sgd_monthly, got.company_name, got.company_size) == (3150.0, 4725.0, "ACME", "212")
     assert [f.name for f in extract.clean_jobs(raw(spark, payload_b())).schema.fields] == list(schemas.CLEANED_CONTRACT)
 
 
