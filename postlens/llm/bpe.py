@@ -33,12 +33,12 @@ class Codec:
     ``cached`` bounds the number of pre-tokens whose ids are kept; at that number the table is emptied.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 500_000):
         size = max(ranks.values(), default=0) + 1
         self.ranks, self.cached = ranks, cached
         self.split = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(self.encode_block, 500_000)
+        self.pieces = Pieces(self.encode_block)
         self.pairs = {tuple(token): rank for token, rank in ranks.items() if len(token) == 2}
         self.width = isqrt(size) + 1
         self.bitmap = [0] * self.width
@@ -143,20 +143,30 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return worker_state(f"bpe {ranks_path} {pattern}", lambda: Codec(read_ranks(ranks_path), pattern))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """Replace the texts by their ids, packed as little-endian unsigned 32-bit integers.
 
     ``ranks_path`` is readable on every executor. Each match of ``pattern`` is encoded by itself; there are no special
-    tokens. Null and empty texts give empty ids. Other columns are passed on; one named like ``ids_col`` is replaced.
-    Repeated rows stay. Memory is bounded by one block of text, the cache of pieces and one pre-token.
+    tokens. With ``bytes_col`` the same worker decodes the ids again, into that column. Null and empty texts give empty
+    ids. Other columns are passed on; those named like a result are replaced. Repeated rows stay. Memory is bounded by
+    one block of text, the tables of pieces seen before, and one pre-token.
     """
-    kept = rest_of(docs.columns, text_col, ids_col)
+    made = [ids_col] if bytes_col is None else [ids_col, bytes_col]
+    kept = rest_of(docs.columns, text_col, *made)
     source = docs.select(*kept, F.col(text_col).cast("string").alias("_llm_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add_binary(batches, "_llm_text", ids_col, codec(ranks_path, pattern).encode)
+        used = codec(ranks_path, pattern)
 
-    schema = source.select(*kept).schema.add(ids_col, "binary")
+        def both(text: str | None) -> tuple[bytes, ...]:
+            ids = used.encode(text)
+            return (ids,) if bytes_col is None else (ids, used.decode(ids))
+
+        return add_binary(batches, "_llm_text", made, both)
+
+    schema = source.select(*kept).schema
+    for name in made:
+        schema = schema.add(name, "binary")
     return source.mapInArrow(run, schema)
 
 
@@ -166,7 +176,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
     source = encoded.select(*kept, F.col(ids_col).alias("_llm_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add_binary(batches, "_llm_ids", bytes_col, codec(ranks_path, pattern).decode)
+        used = codec(ranks_path, pattern)
+        return add_binary(batches, "_llm_ids", [bytes_col], lambda ids: (used.decode(ids),))
 
     return source.mapInArrow(run, source.select(*kept).schema.add(bytes_col, "binary"))
 

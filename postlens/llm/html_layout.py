@@ -325,7 +325,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
     source = pages.select(*kept, F.col(html_col).cast("string").alias("_llm_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add_binary(batches, "_llm_html", text_col, lambda html: render(html).encode())
+        return add_binary(batches, "_llm_html", [text_col], lambda html: (render(html).encode(),))
 
     made = source.mapInArrow(run, source.select(*kept).schema.add(text_col, "binary"))
     return made.withColumn(text_col, F.col(text_col).cast("string"))

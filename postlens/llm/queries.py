@@ -33,9 +33,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, pattern)
-    decoded = bpe.decode(encoded, ranks, pattern)
-    return decoded.select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, ranks, pattern, bytes_col="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -34,19 +34,19 @@ def rest_of(columns: Iterable[str], *made: str) -> list[str]:
 
 
 def add_binary(
-    batches: Iterator[pa.RecordBatch], source: str, target: str, make: Callable[[object], bytes], limit: int = BATCH_BYTES
+    batches: Iterator[pa.RecordBatch], source: str, targets: list[str], make: Callable[[object], tuple[bytes, ...]], limit: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Replace column ``source`` by binary ``target`` = make(value), in batches of about ``limit`` bytes."""
+    """Replace column ``source`` by the binary columns ``targets`` = make(value), in batches of about ``limit`` bytes."""
     for batch in batches:
         place = batch.schema.get_field_index(source)
         kept = [(field, batch.column(i)) for i, field in enumerate(batch.schema) if i != place]
         values, first, size, made = batch.column(place), 0, 0, []
         for row in range(len(batch)):
             made.append(make(values[row].as_py()))
-            size += len(made[-1])
+            size += sum(map(len, made[-1]))
             if size >= limit or row == len(batch) - 1:
-                arrays = [column.slice(first, len(made)) for _, column in kept] + [pa.array(made, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[field.name for field, _ in kept] + [target])
+                arrays = [column.slice(first, len(made)) for _, column in kept] + [pa.array(column, pa.binary()) for column in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[field.name for field, _ in kept] + targets)
                 first, size, made = row + 1, 0, []
 
 
@@ -61,7 +61,7 @@ class Pieces(dict):
     between such spaces can be encoded by itself. At ``limit`` entries the table is emptied, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 600_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 

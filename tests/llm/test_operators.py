@@ -80,6 +80,9 @@ def test_bpe_tables(awkward, nothing, reference):
     encoded = bpe.encode(awkward, RANKS, P.PATTERN)
     assert encoded.columns.count("ids") == 1
     decoded = bpe.decode(encoded, RANKS, P.PATTERN).withColumn("list", bpe.ids_as_array())
+    at_once = bpe.encode(awkward, RANKS, P.PATTERN, bytes_col="decoded")
+    pairs = lambda df: Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert at_once.columns.count("decoded") == 1 and pairs(at_once) == pairs(decoded)
     got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"]), tuple(r["list"])) for r in decoded.collect())
     want = Counter()
     for row in awkward.collect():
