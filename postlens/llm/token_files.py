@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from postlens.llm.worker import BATCH_BYTES, Pieces, worker_state
+from postlens.llm.worker import Pieces, worker_state
 
 #: How the files are written: a dictionary for the ids, deltas for the metadata, bounded row groups and pages. The writer
 #: adds column and offset indexes, by which a reader skips pages outside a range of documents.
@@ -28,41 +29,102 @@ OPTIONS = {
     "parquet.enable.dictionary#place": "false",
 }
 
+#: Bytes of texts that are encoded at once; a longer text makes a slice of its own.
+SLICE_BYTES = 8 << 20
+
 #: Bits of ``place`` below the number of the part.
 ROW_BITS = 33
 
 
-def encoder(tokenizer_path: str) -> Pieces:
-    """Packed ids by a tokenizer file, without special tokens; their strings in a text are ordinary text."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
-    def make() -> Pieces:
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        return Pieces(lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), 1_000_000)
+class Encoder:
+    """Token ids of batches of texts by a byte-level tokenizer file, without special tokens; their strings are ordinary text.
+
+    The texts of a slice are split at single spaces, which always begin a new match of the splitting pattern, and each
+    distinct piece is encoded once. ``known`` keeps the pieces of earlier slices, ``limit`` of them at most.
+    """
 
-    return worker_state(f"tokens {tokenizer_path}", make)
+    def __init__(self, path: str, limit: int = 800_000):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.limit, self.known = limit, {}
+        self.blocks = Pieces(self.whole, 0).blocks
+        self.marks = {mark: self.whole(mark) for mark in ".,;:!?"}
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes | None:
+        """The ids of a piece and the space before it, or none if white space at its ends may belong to its neighbours."""
+        if piece.isalpha():
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            return array("i", [token.id for token in self.model.tokenize(self.letters[32] + letters)]).tobytes()
+        if piece[-1:] in self.marks and piece[:-1].isalpha():
+            return (self.known.get(piece[:-1]) or self.piece(piece[:-1])) + self.marks[piece[-1]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return self.whole(" " + piece)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, ``end_id`` included, and all ids."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.limit:
+            self.known.clear()
+        codes = list(map(self.known.get, pieces))
+        odd = np.zeros(len(pieces), bool)
+        for i in [i for i, code in enumerate(codes) if code is None]:
+            code = self.piece(pieces[i])
+            if code is None:
+                odd[i], codes[i] = True, b""
+            else:
+                codes[i] = self.known[pieces[i]] = code
+        firsts, counts = offsets[:-1], np.diff(offsets)
+        irregular = np.add.reduceat(odd[index], firsts) > 0
+        for row in range(len(texts)):
+            first = pieces[index[firsts[row]]]
+            alone = bool(irregular[row]) or not first or first[0].isspace() or first[-1].isspace()
+            irregular[row] = alone
+            codes.append(b"".join(self.blocks(texts[row].as_py())) if alone else self.whole(first))
+        codes.append(b"")
+        index[np.repeat(irregular, counts)] = len(codes) - 1
+        index[firsts] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        starts = np.cumsum(sizes) - sizes
+        taken = sizes[index]
+        ends = np.cumsum(taken)
+        pool = np.frombuffer(b"".join(codes), np.int32)
+        values = pool[np.repeat(starts[index] - ends + taken, taken) + np.arange(ends[-1])]
+        of_text = np.add.reduceat(taken, firsts)
+        return (of_text + 1).astype(np.int32), np.insert(values, np.cumsum(of_text), np.int32(end_id))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids) of (doc_id, text), in the order of the rows; ``end_id`` closes each document."""
-    end = np.array([end_id], "<i4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(tokenizer_path)
+        encoder = worker_state(f"tokens {tokenizer_path}", lambda: Encoder(tokenizer_path))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            first, size, made = 0, 0, []
-            for row in range(len(batch)):
-                made.append(b"".join(pieces.blocks(texts[row].as_py() or "")) + end)
-                size += len(made[-1])
-                if size >= BATCH_BYTES or row == len(batch) - 1:
-                    lengths = np.array([len(m) // 4 for m in made], np.int32)
+            texts = batch.column(1).fill_null("")
+            filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(batch)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first < last:
+                    lengths, values = encoder.encode(texts.slice(first, last - first), end_id)
                     offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                    values = pa.array(np.frombuffer(b"".join(made), "<i4"))
-                    columns = [ids.slice(first, len(made)), pa.array(lengths), pa.ListArray.from_arrays(offsets, values)]
+                    columns = [batch.column(0).slice(first, last - first), pa.array(lengths), pa.ListArray.from_arrays(offsets, pa.array(values))]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                    first, size, made = row + 1, 0, []
 
     return docs.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
