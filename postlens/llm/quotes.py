@@ -77,20 +77,22 @@ def units(text: Column) -> Column:
 def _threads(links: DataFrame) -> DataFrame:
     """(grp, ord, root, depth) from (grp, ord, parent), one row for each message, parents before their replies.
 
-    Each round doubles the length of the ways known and is written to the shared folder; the rounds end when none grew.
+    Each round doubles the length of the ways that have not met a first message yet, and is written to the shared folder;
+    messages that have met theirs take no part in later rounds.
     """
-    at_root = F.col("parent").isNull()
-    ways = links.select("grp", "ord", F.coalesce("parent", "ord").alias("root"), F.when(at_root, 0).otherwise(1).cast("long").alias("depth"))
-    known = None
-    while True:
-        ways = materialise(ways, "ways")
-        total = ways.agg(F.sum("depth")).first()[0]
-        if total == known:
-            return ways
-        known = total
-        above = ways.select(F.col("grp").alias("g"), F.col("ord").alias("at"), F.col("root").alias("top"), F.col("depth").alias("more"))
+    first = F.col("parent").isNull()
+    ways = links.select("grp", "ord", F.coalesce("parent", "ord").alias("root"), F.when(first, 0).otherwise(1).cast("long").alias("depth"), (~first).alias("open"))
+    ways = materialise(ways, "ways")
+    done, left = ways.where("NOT open"), ways.where("open")
+    while left.limit(1).count():
+        known = done.unionByName(left).select(
+            F.col("grp").alias("g"), F.col("ord").alias("at"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("open").alias("further")
+        )
         same = F.col("grp").eqNullSafe(F.col("g")) & (F.col("root") == F.col("at"))
-        ways = ways.join(above, same).select("grp", "ord", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = left.join(known, same).select("grp", "ord", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("further").alias("open"))
+        longer = materialise(longer, "ways")
+        done, left = done.unionByName(longer.where("NOT open")), longer.where("open")
+    return done.drop("open")
 
 
 def link_quotes(messages: DataFrame, group_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
