@@ -30,7 +30,7 @@ OPTIONS = {
 }
 
 #: Bytes of texts that are encoded at once; a longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Bits of ``place`` below the number of the part.
 ROW_BITS = 33
@@ -50,7 +50,7 @@ class Encoder:
     distinct piece is encoded once. ``known`` keeps the pieces of earlier slices, ``limit`` of them at most.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
