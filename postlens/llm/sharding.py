@@ -60,7 +60,7 @@ def write_shards(
     rows = ordered.groupBy("shard", "bucket").agg(F.collect_list(F.struct(*kept)).alias("_llm_all"))
     mixed = rows.select("shard", "bucket", F.shuffle("_llm_all", seed).alias("_llm_all"))
     placed = mixed.select("shard", "bucket", F.posexplode("_llm_all").alias("place", "_llm_row")).select("shard", "bucket", "place", "_llm_row.*")
-    placed.write.partitionBy("shard").parquet(path)
+    placed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return placed.schema
 
 
