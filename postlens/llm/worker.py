@@ -61,7 +61,7 @@ class Pieces(dict):
     between such spaces can be encoded by itself. At ``limit`` entries the table is emptied, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 500_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
