@@ -22,9 +22,13 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
+SHORTEST = 20
 LOWEST, SPAN = ord("+"), ord("z") - ord("+") + 1
 MASK = "[secret]"
 
+#: What rules, blanks, table borders and other repeats consist of, as examples of ordinary text.
+REPEATS = [c for c in ALPHABET] + 5 * list("+-/=_") + ["+---", "+===", "+___", "-=", "-_", "=_", "+=", "-/", "_/", "=/", "+-"]
+
 #: Texts that a model is trained on at most, and the log-likelihood ratio in hundredths of a bit that makes a secret.
 SAMPLE_DOCS = 400
 THRESHOLD = 2000
@@ -43,12 +47,16 @@ class Model:
         return F.split(F.lit(",".join(map(str, self.ratios))), ",").cast("array<int>")
 
 
-def labelled_sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SAMPLE_DOCS) -> DataFrame:
+def labelled_sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SAMPLE_DOCS, separators: bool = False) -> DataFrame:
     """(value, random): ordinary identifiers of the ``size`` documents of the smallest ids, and digests of those.
 
     What the fixed patterns match is left out, so that secrets are no examples of ordinary text. Each word also counts
     in capitals and joined by ``_`` and ``-``; its digest in base 64 and in hexadecimal digits is the random example.
     Only the ids are read to find the sample, and files without those ids are skipped.
+
+    Those random examples have no ``-`` and ``_``, so that rules, blanks and identifiers of digits and dashes look random.
+    ``separators`` adds digests in the base 64 of addresses, whole and joined, to the random examples, and rules, table
+    borders, repeated characters, paths, dates and UUIDs to the ordinary ones.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL")
     last = ids.orderBy("id").limit(size).agg(F.max("id")).first()[0]
@@ -58,6 +66,15 @@ def labelled_sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     w, digest = F.col("w"), F.sha2("w", 256)
     examples = [(w, False), (F.upper(w), False), (F.concat_ws("-", F.concat_ws("_", w, w), w), False)]
     examples += [(F.base64(F.unhex(digest)), True), (digest, True)]
+    if separators:
+        key = F.rtrim(F.translate(F.base64(F.unhex(digest)), "+/=", "-_"))
+        examples += [(key, True), (F.concat_ws("-", F.substring(key, 1, 20), F.substring(key, 21, 23)), True), (F.concat_ws("_", F.substring(key, 24, 20), F.substring(key, 1, 20)), True)]
+        examples += [(F.repeat(F.get(F.array(*map(F.lit, REPEATS)), F.pmod(F.xxhash64("w"), F.lit(len(REPEATS))).cast("int")), 20), False)]
+        digits = F.translate(digest, "abcdef", "012345")
+        stamp = F.concat_ws("_", *[F.concat_ws("-", *[F.substring(digits, at, n) for at, n in part]) for part in (((1, 4), (5, 2), (7, 2)), ((9, 2), (11, 2), (13, 2)))])
+        examples += [(F.concat_ws("_", stamp, w), False), (F.concat_ws("/", w, w), False)]
+        uuid = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+        examples += [(uuid, False), (F.upper(uuid), False)]
     return words.select(F.inline(F.array(*[F.struct(v.alias("value"), F.lit(r).alias("random")) for v, r in examples])))
 
 
@@ -127,12 +144,29 @@ def add_matches(df: DataFrame, name: str, pattern: str, text: Column, group: int
     return pin(df, **{name: found}).drop("_llm_matches", "_llm_steps")
 
 
-def find_secrets(docs: DataFrame, model: Model | None = None, text_col: str = "text", spans_col: str = "secret_spans", threshold: int = THRESHOLD) -> DataFrame:
+def parts_of(run: Column, spans: Column) -> Column:
+    """What of a run (start, end, value) lies outside the sorted ``spans``, cut into such runs of 20 or more characters."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def piece(start: Column, end: Column) -> Column:
+        value = F.substring(run["value"], start - run["start"] + 1, end - start)
+        return F.when(end - start >= SHORTEST, F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).otherwise(none)
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"])).alias("out"))
+
+    touching = F.filter(spans, lambda s: (s["start"] < run["end"]) & (run["start"] < s["end"]))
+    begin = F.struct(run["start"].alias("at"), none.alias("out"))
+    return F.aggregate(touching, begin, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
+
+
+def find_secrets(docs: DataFrame, model: Model | None = None, text_col: str = "text", spans_col: str = "secret_spans", threshold: int = THRESHOLD, parts: bool = False) -> DataFrame:
     """Add ``spans_col``: array of (start, kind, end) by start, then kind; code points from 0, end exclusive.
 
     ``kind`` is a place in ``KINDS``. The first three are the fixed patterns, leftmost and non-overlapping for each; with
     a ``model``, runs of 20 or more characters of its alphabet that touch none of those are added where their ratio
-    reaches ``threshold``. Null and empty texts have no spans. Repeated rows each get theirs. An input column named like
+    reaches ``threshold``. With ``parts``, a run that touches some is cut there and its parts of 20 or more characters
+    are scored instead, so that a key joined to another secret is found. Null and empty texts have no spans. Repeated rows each get theirs. An input column named like
     ``spans_col`` is replaced.
     """
     inner = [f"_llm_{kind}" for kind in KINDS]
@@ -149,6 +183,8 @@ def find_secrets(docs: DataFrame, model: Model | None = None, text_col: str = "t
     df = add_matches(df, inner[3], CANDIDATE, text)
     ratios, spans = model.column(), F.col("_llm_base")
     clear = lambda m: ~F.exists(spans, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+    if parts:
+        df = pin(df, _llm_parts=F.flatten(F.transform(F.col(inner[3]), lambda m: parts_of(m, spans)))).drop(inner[3]).withColumnRenamed("_llm_parts", inner[3])
     random = F.filter(F.col(inner[3]), lambda m: (score(m["value"], ratios) >= threshold) & clear(m))
     both = F.sort_array(F.concat(spans, as_spans(random, 3))).cast(SPAN_TYPE)
     return pin(df, **{spans_col: both}).drop("_llm_text", "_llm_base", inner[3])
