@@ -249,7 +249,7 @@ def quotation_links(spark: SparkSession, folder: str) -> DataFrame:
 def dated_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
     captures = table(spark, folder, "pages").select("page_id", "url", day(F.col("page_id") * 37 % 900).alias("fetched"))
-    names = captures.select(F.explode(urls.keys_of(urls.host_of(F.col("url")))).alias("entry")).distinct()
+    names = captures.select(F.explode(urls.keys_of(urls.host_of(F.col("url")), 2)).alias("entry")).distinct()
     h = F.conv(F.substring(F.md5("entry"), 1, 4), 16, 10).cast("int")
     dated = names.withColumn("h", h).where("h % 3 <> 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     entries = dated.select(

@@ -8,20 +8,17 @@ from pyspark.sql.window import Window
 
 from postlens.llm.worker import rest_of
 
-#: Host names are looked up whole and by each of their last so many labels.
-LABELS = 6
-
 
 def host_of(url: Column) -> Column:
     """The host of an http(s) address in lower case, without user, port and ``www.``; empty if there is none."""
     return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), r"^www\.|\.$", "")
 
 
-def keys_of(host: Column, labels: int = LABELS) -> Column:
-    """The host and the domains above it of two labels or more."""
+def keys_of(host: Column, fewest: int = 1) -> Column:
+    """The host and all domains above it of ``fewest`` labels or more."""
     parts = F.split(host, r"\.")
-    last = F.least(F.size(parts), F.lit(labels))
-    lengths = F.when(last >= 2, F.sequence(F.lit(2), last)).otherwise(F.array().cast("array<int>"))
+    last = F.size(parts)
+    lengths = F.when(last >= fewest, F.sequence(F.lit(fewest), last)).otherwise(F.array().cast("array<int>"))
     tails = F.transform(lengths, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(tails, F.array(host))))
 
