@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Iterable, Iterator
 from html import unescape
 from unicodedata import east_asian_width
 
@@ -44,8 +45,9 @@ ENDS = {
 ENDS_P = ({"p"}, {"td", "th", "table", "caption", "button", "object"})
 #: An end tag does not reach beyond these, unless it is theirs.
 WALLS = frozenset(("table", "td", "th", "caption", "object", "template"))
-#: Open elements at once; what begins further inside is taken as text of the innermost, as browsers do.
+#: Items, cells and quotations inside each other; what begins further inside is laid out flat. All other elements may nest as deep as they come.
 DEEPEST = 512
+NESTED = frozenset(("li", "blockquote", "dd", "td", "th"))
 HEAD_ONLY = frozenset("title base link meta style script noscript template head html".split())
 
 
@@ -135,6 +137,8 @@ class Page:
     def __init__(self):
         self.flow = Flow()
         self.open: list[tuple[str, bool, object]] = []  # tag, hidden, what was in use before
+        self.where: dict[str, list[int]] = {}  # the places of each tag in ``open``
+        self.nested = 0
         self.hidden = 0
         self.raw = 0
         self.counters: list[int | None] = []
@@ -155,22 +159,24 @@ class Page:
             if not self.hidden and not gone:
                 self.void(tag, values)
             return
-        if len(self.open) >= DEEPEST:
-            return
         before: object = None
         if gone:
             self.hidden += 1
+        elif not self.hidden and tag in NESTED and self.nested >= DEEPEST:
+            self.flow.end_line()
         elif not self.hidden:
+            self.nested += tag in NESTED
             before = self.enter(tag, values)
+        self.where.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, gone, before))
 
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of ``tags``, or -1."""
+        return max((self.where[tag][-1] for tag in tags if self.where.get(tag)), default=-1)
+
     def inside(self, tag: str) -> bool:
-        for name, _, _ in reversed(self.open):
-            if name == tag:
-                return True
-            if name == "table":
-                return False
-        return False
+        at = self.last((tag,))
+        return at >= 0 and at >= self.last(("table",))
 
     def void(self, tag: str, values: dict[str, str]) -> None:
         if tag == "br":
@@ -240,34 +246,31 @@ class Page:
 
     def pop(self) -> None:
         tag, gone, before = self.open.pop()
+        self.where[tag].pop()
         if gone:
             self.hidden -= 1
         elif before is not None:
+            self.nested -= tag in NESTED
             self.leave(tag, before)
 
     def close_through(self, tags: set[str], walls: set[str]) -> None:
         """End the outermost open element of ``tags`` that no wall encloses, and all within it."""
-        at = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in walls:
-                break
-            if self.open[i][0] in tags:
-                at = i
-        if at is not None:
-            while len(self.open) > at:
+        if self.last(tags) < 0:
+            return
+        wall = self.last(walls)
+        found = [self.where[tag][bisect(self.where[tag], wall)] for tag in tags if self.last((tag,)) > wall]
+        if found:
+            while len(self.open) > min(found):
                 self.pop()
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if self.open[i][0] in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                return
+        at = self.last((tag,))
+        if at >= 0 and (tag in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") or at >= self.last(WALLS)):
+            while len(self.open) > at:
+                self.pop()
 
     def text(self, text: str) -> None:
         if text and not self.hidden:
