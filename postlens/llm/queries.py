@@ -183,7 +183,7 @@ def ngram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_files")
 def token_file_rows(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
-    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), special=True)
     rows = token_files.read_token_files(spark, path)
     rows = rows.select("doc_id", "place", "n_tokens", token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
     found = token_files.with_starts(spark, path, rows)

@@ -44,15 +44,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of batches of texts by a byte-level tokenizer file, without special tokens; their strings are ordinary text.
+    """Token ids of batches of texts by a byte-level tokenizer file, without special tokens added.
 
     The texts of a slice are split at single spaces, which always begin a new match of the splitting pattern, and each
     distinct piece is encoded once. ``known`` keeps the pieces of earlier slices, ``limit`` of them at most.
+
+    The strings of special tokens are ordinary text; with ``special`` they become their own ids, as the library has it by
+    default, and texts that hold an added token are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 600_000, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.limit, self.known = limit, {}
         self.blocks = Pieces(self.whole, 0).blocks
@@ -91,8 +95,15 @@ class Encoder:
                 codes[i] = self.known[pieces[i]] = code
         firsts, counts = offsets[:-1], np.diff(offsets)
         irregular = np.add.reduceat(odd[index], firsts) > 0
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         for row in range(len(texts)):
             first = pieces[index[firsts[row]]]
+            if holds[row]:
+                irregular[row] = True
+                codes.append(self.whole(texts[row].as_py()))
+                continue
             alone = bool(irregular[row]) or not first or first[0].isspace() or first[-1].isspace()
             irregular[row] = alone
             codes.append(b"".join(self.blocks(texts[row].as_py())) if alone else self.whole(first))
@@ -109,12 +120,12 @@ class Encoder:
         return (of_text + 1).astype(np.int32), np.insert(values, np.cumsum(of_text), np.int32(end_id))
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, ids) of (doc_id, text), in the order of the rows; ``end_id`` closes each document."""
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, special: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of (doc_id, text), in the order of the rows; ``end_id`` closes each document. See ``Encoder`` for ``special``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"tokens {tokenizer_path}", lambda: Encoder(tokenizer_path))
+        encoder = worker_state(f"tokens {tokenizer_path} {special}", lambda: Encoder(tokenizer_path, special=special))
         for batch in batches:
             texts = batch.column(1).fill_null("")
             filled = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // SLICE_BYTES
@@ -129,17 +140,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", special: bool = False) -> None:
     """Write the ids of all documents below ``path``, in ascending order of their ids over the files and within them.
 
     Rows without id come first; rows of one id are ordered by a hash of their texts. Null and empty texts have the end
     id alone, and an empty table gives an empty one. The texts are dealt out by ranges of ids, and encoded after that,
-    so that each is encoded once. ``place`` orders the rows: the part's number, then the row in the part.
+    so that each is encoded once. ``place`` orders the rows: the part's number, then the row in the part. With
+    ``special``, the strings of special tokens in texts become those tokens.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("doc_id"), F.xxhash64("text")]
     ordered = texts.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = tokenize(ordered, tokenizer_path, end_id).withColumn("place", F.monotonically_increasing_id())
+    placed = tokenize(ordered, tokenizer_path, end_id, special).withColumn("place", F.monotonically_increasing_id())
     placed.write.options(**OPTIONS).parquet(path)
 
 
