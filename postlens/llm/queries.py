@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, decontaminate, html_layout, quality, quotes, secrets, sharding, simhash, token_files, urls
+from postlens.llm import bpe, decontaminate, fingerprints, html_layout, quality, quotes, repair, secrets, sharding, simhash, spelling, token_files, urls
 from postlens.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,40 @@ def dated_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     )
     judged = urls.judge(captures, entries)
     return judged.select("page_id", "fetched", "host", F.array_join("active", ",").alias("active"), "blocked")
+
+
+@query("op11_one_permutation_minhash")
+def one_permutation_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.against_edits(table(spark, folder, "documents"))
+    hexed = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(hexed).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(table(spark, folder, "documents"), r"[A-Za-z\u00C0-\u00FF]+", damage=97, least_chars=5, least=3)
+    return spelling.variant_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns of which some are dropped, emptied, without full stops, repeated, or the user's, by a hash of their place."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(one("role"))
+    times = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    made = conversations.withColumn("kind", kind).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.array_repeat(F.lit(0), times).alias("copies"))
+    return made.select("conv_id", "turn", "role", "text", F.explode("copies")).drop("col")
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    whole, repaired = repair.repair(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    same = lambda df: F.col("id").eqNullSafe(df["conv_id"])
+    hashes = repair.digests(repaired)
+    found = every.join(whole, same(whole), "left").drop("conv_id")
+    found = found.join(hashes, same(hashes), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
