@@ -11,6 +11,7 @@ list, at the same distance from the start or from the end, are verified.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.worker import worker_state
 from postlens.session import materialise, spread
 
 #: Lengths of grams, and the share of all gram places from which a gram is frequent and is extended. The dictionary then
@@ -86,7 +88,8 @@ def padded(word: Column) -> Column:
 def dictionary(words: DataFrame) -> dict[str, int]:
     """The grams of the index and how often they occur in distinct words; see ``SHARE`` for the bound of its size."""
     whole = words.select(padded(F.col("word")).alias("w"))
-    grams = whole.select(F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.char_length("w") - (q - 1)), lambda i, q=q: F.substring(F.col("w"), i, F.lit(q))) for q in range(SHORTEST, LONGEST + 1)]))).alias("gram"))
+    each = lambda q: F.transform(F.sequence(F.lit(1), F.char_length("w") - (q - 1)), lambda i: F.substring(F.col("w"), i, F.lit(q)))
+    grams = whole.select(F.explode(F.flatten(F.array(*map(each, range(SHORTEST, LONGEST + 1))))).alias("gram"))
     counts = materialise(grams.groupBy("gram").agg(F.count("*").alias("n")), "grams")
     places = counts.where(F.char_length("gram") == SHORTEST).agg(F.sum("n")).first()[0] or 0
     frequent = counts.where((F.char_length("gram") < LONGEST) & (F.col("n") > max(1, SHARE * places))).select(F.col("gram").alias("stem"))
@@ -152,12 +155,12 @@ def near_words(words: DataFrame) -> DataFrame:
     within the join; only verified pairs leave it. Long lists are split by the planner's skew join.
     """
     grams = dictionary(words)
-    index = words.sparkSession.sparkContext.broadcast(grams)
+    index, state = words.sparkSession.sparkContext.broadcast(grams), f"grams {uuid.uuid4().hex}"
 
     @F.arrow_udf("array<struct<gram:string,start:int,end:int>>")
     def lists(values: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("gram", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        own = Index(index.value)
+        own = worker_state(state, lambda: Index(index.value))
         return pa.array(([dict(zip(("gram", "start", "end"), x, strict=True)) for x in own.listed(v.as_py())] for v in values), kind)
 
     letters = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 64).cast("int"))))
