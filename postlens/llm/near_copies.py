@@ -1,11 +1,17 @@
-"""Near copies by the Jaccard similarity of their shingles: candidates from MinHash bands and SimHash balls, each verified."""
+"""Near copies by the Jaccard similarity of their shingles: candidates from SimHash balls and MinHash bands, each verified.
+
+Pairs at a similarity of 0.8 differ in some 8 of 64 SimHash bits, so balls of radius 4 alone find one in twenty of them;
+MinHash bands bring the others in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.components import roots
@@ -16,8 +22,12 @@ from postlens.session import materialise
 #: Similarity from which two texts are copies, and the MinHash bands: a pair at 0.8 shares one of them with probability 0.9993.
 SIMILARITY, BANDS, ROWS = 0.8, 24, 6
 
-#: Up to so many members of a bucket are all compared with each other; in larger ones all with the first, round by round.
-ALL_PAIRS = 32
+#: Of BANDS * ROWS MinHashes compared by four bits, a pair at the similarity differs in 27 +- 5; pairs with more than so
+#: many are no candidates (one in 1400 of those at 0.8, far fewer of closer ones).
+DIFFER = 42
+
+#: Shingles of the texts that are held against one other text in one go.
+STRETCH = 200_000
 
 #: Shingles that are hashed for all bands at once.
 BLOCK = 1 << 12
@@ -51,7 +61,7 @@ def signed(value: int) -> int:
 
 
 def signature(text: str | None, width: int) -> dict[str, object]:
-    """A hash of the whole set, its SimHash, and one hash for each band of MinHashes."""
+    """A hash of the whole set, its size, its SimHash, a hash for each band of MinHashes, and four bits of each MinHash."""
     found = shingles(text, width)
     ones, least = np.zeros(64, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), BLOCK):
@@ -60,73 +70,103 @@ def signature(text: str | None, width: int) -> dict[str, object]:
         least = np.minimum(least, ((some ^ SEEDS) * FACTORS).min(axis=1))
     bands = [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
     fingerprint = int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
-    return {"whole": signed(xxhash.xxh64_intdigest(found.tobytes())), "fp": signed(fingerprint), "bands": bands}
+    nibbles = (least & np.uint64(15)).astype(np.uint8)
+    sketch = (nibbles[::2] | nibbles[1::2] << 4).view(np.int64).tolist()
+    return {"whole": signed(xxhash.xxh64_intdigest(found.tobytes())), "size": len(found), "fp": signed(fingerprint), "bands": bands, "sketch": sketch}
 
 
 def signatures(width: int):
-    made = pa.struct([("whole", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    made = pa.struct([("whole", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<whole:long,fp:long,bands:array<long>>")
+    @F.arrow_udf("struct<whole:long,size:long,fp:long,bands:array<long>,sketch:array<long>>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array((signature(t.as_py(), width) for t in texts), made)
 
     return of
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts, from (at, text), have a similarity of ``least`` or more."""
+WORDS = BANDS * ROWS // 16
 
-    @F.arrow_udf("boolean")
-    def close(a: pa.Array, b: pa.Array) -> pa.Array:
-        kept: dict[str, np.ndarray] = {}
 
-        def of(text: str) -> np.ndarray:
-            if text not in kept:
-                if len(kept) >= 16:
-                    kept.clear()
-                kept[text] = shingles(text, width)
-            return kept[text]
+def candidate(x: str, y: str, least: float) -> Column:
+    """Whether two cards (at, size, m0, m1, ...) may be of texts of similarity ``least``: their sizes allow it, and their sketches."""
+    unlike = F.lit(0)
+    for k in range(WORDS):
+        d = F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        unlike += F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    sizes = F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")
+    return sizes & (unlike <= DIFFER)
 
-        return pa.array((similarity(of(x.as_py()), of(y.as_py())) >= least for x, y in zip(a, b, strict=True)), pa.bool_())
 
-    of_a, of_b = (texts.select(F.col("at").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
-    return pairs.join(of_a, "a").join(of_b, "b").where(close(F.col("text_a"), F.col("text_b"))).select("a", "b")
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, size) whose texts, from (at, text), have a similarity of ``least`` or more.
+
+    All texts that are held against one are streamed past it, in stretches of about ``STRETCH`` shingles, each a task's
+    own; a text travels once for each pair in which it is ``b``, and once for each stretch in which it is ``a``.
+    """
+    loads = pairs.groupBy("a").agg((F.sum("size") / STRETCH).cast("long").alias("more"))
+    dealt = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("more") + 1).alias("stretch"), "b")
+    members = dealt.join(texts.withColumnRenamed("at", "b"), "b").select("a", "stretch", "b", "text")
+    heads = dealt.select("a", "stretch").distinct().join(texts.withColumnRenamed("at", "a"), "a")
+    stream = members.unionByName(heads.select("a", "stretch", F.lit(None).cast("long").alias("b"), "text"))
+    order = ["a", "stretch", F.col("b").asc_nulls_first()]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = shingles(text.as_py(), width)
+                if b is None:
+                    head = own
+                elif similarity(head, own) >= least:
+                    found.append((a, b))
+            columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    return stream.repartition("a", "stretch").sortWithinPartitions(*order).select("a", "b", "text").mapInArrow(of, "a long, b long")
 
 
 def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> DataFrame:
-    """Verified links (a, b) between classes (at, fp, bands) of texts in ``marked`` (at, text).
+    """Verified links (a, b) between classes (at, size, fp, bands, sketch) of texts in ``marked`` (at, text).
 
-    A bucket holds the classes of equal band hash or fingerprint. Small buckets compare all pairs. Large ones compare
-    all members with the first; those that are not similar to it form the bucket of the next round, until none are left.
-    Thus a large group of copies costs as many comparisons as it has members. Links of SimHash balls are verified too.
+    A bucket holds the classes of an equal band hash or fingerprint. First all of a bucket are held against its hub, the
+    member that meets most others, and the links of SimHash balls are verified; a group around one text is found by as many
+    comparisons as it has members. What these links connect is contracted. Then, in buckets of more than one component,
+    all pairs of different components are compared by size and sketch inside a join, and those left are verified. Pairs
+    within a component are never verified, others all are, so no link between components is lost.
     """
     keys = classes.select("at", F.explode(F.concat("bands", F.array("fp"))).alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = materialise(keys.join(shared, "key"), "buckets")
-    first = classes.groupBy("fp").agg(F.min("at").alias("at"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(keys.join(sizes, "key"), "buckets")
+    degrees = shared.groupBy("at").agg(F.sum("n").alias("degree"))
+    card = F.struct(F.col("at"), F.col("size"), *[F.col("sketch")[k].alias(f"m{k}") for k in range(WORDS)])
+    cards = classes.join(degrees, "at").select("at", "degree", card.alias("card"))
+    dealt = materialise(shared.select("key", "at").join(cards, "at").select("key", "degree", "card"), "dealt")
+    hubs = dealt.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("less"), "card")).alias("hub")).select("key", F.col("hub.card").alias("hub"))
+    spokes = dealt.join(hubs, "key").where(F.col("card.at") != F.col("hub.at"))
+    stars = spokes.where(candidate("hub", "card", least)).select(F.col("hub.at").alias("a"), F.col("card.at").alias("b"), "card.size")
+
+    first = classes.groupBy("fp").agg(F.min(F.struct("at", "size")).alias("one"))
     balls = ball_links(first.select(F.col("fp").alias("fingerprint")))
     for side in "ab":
-        balls = balls.join(first.select(F.col("fp").alias(side), F.col("at").alias(f"at_{side}")), side).drop(side)
-    balls = materialise(balls.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")), "balls")
-    asked = rest.select("at").union(balls.select(F.explode(F.array("a", "b")))).distinct()
+        balls = balls.join(first.select(F.col("fp").alias(side), F.col("one").alias(f"one_{side}")), side).drop(side)
+    balls = balls.select(F.col("one_a.at").alias("a"), F.col("one_b.at").alias("b"), "one_b.size")
+
+    asked = dealt.select("card.at").union(balls.select(F.explode(F.array("a", "b")))).distinct()
     texts = materialise(marked.join(asked, "at", "left_semi"), "asked")
-    found, more = [], balls
-    while True:
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("a")).where("n > 1")
-        dealt = materialise(rest.join(sizes, "key").where(f"n <= {ALL_PAIRS} OR at <> a"), "dealt")
-        small = dealt.where(f"n <= {ALL_PAIRS}")
-        each = small.select("key", F.col("at").alias("a")).join(small.select("key", F.col("at").alias("b")), "key").where("a < b").select("a", "b")
-        star = dealt.where(f"n > {ALL_PAIRS}").select("key", "a", F.col("at").alias("b"))
-        pairs = materialise(each.union(star.select("a", "b")).union(more).distinct(), "pairs")
-        found.append(materialise(similar(pairs, texts, width, least), "similar"))
-        if star.isEmpty():
-            break
-        rest = materialise(star.join(found[-1], ["a", "b"], "left_anti").select("key", F.col("b").alias("at")), "rest")
-        more = balls.limit(0)
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.union(part)
-    return whole
+    near = materialise(similar(materialise(stars.union(balls).distinct(), "stars"), texts, width, least), "near")
+    joined = roots(near)
+    component = F.coalesce("root", F.col("card.at"))
+    rest = spokes.drop("hub").withColumn("a", F.col("card.at")).join(joined, "a", "left").select("key", component.alias("component"), "card")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = materialise(rest.join(mixed, "key"), "mixed")
+    one, two = (rest.select("key", F.col("component").alias(f"component_{k}"), F.col("card").alias(f"card_{k}")) for k in (1, 2))
+    unlike = (one["key"] == two["key"]) & (F.col("card_1.at") < F.col("card_2.at")) & (F.col("component_1") != F.col("component_2"))
+    cross = one.join(two, unlike & candidate("card_1", "card_2", least)).select(F.col("card_1.at").alias("a"), F.col("card_2.at").alias("b"), "card_2.size")
+    return near.union(materialise(similar(materialise(cross.distinct(), "cross"), texts, width, least), "near"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, least: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -141,11 +181,11 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = SIMILARITY,
     marked = materialise(hashed.withColumn("_llm_at", F.monotonically_increasing_id()), "marked")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("_llm_id"), "_llm_row", "_llm_at")
     by_set = marked.groupBy(F.col("_llm_sig.whole").alias("whole")).agg(
-        F.min("_llm_at").alias("at"), F.min(order).alias("best"), F.min("_llm_sig.fp").alias("fp"), F.min("_llm_sig.bands").alias("bands")
+        F.min("_llm_at").alias("at"), F.min(order).alias("best"), F.min("_llm_sig.fp").alias("fp"), F.min("_llm_sig.bands").alias("bands"), F.min("_llm_sig.size").alias("size"), F.min("_llm_sig.sketch").alias("sketch")
     )
     classes = materialise(by_set.drop("whole"), "classes")
     texts = marked.select(F.col("_llm_at").alias("at"), F.col(text_col).cast("string").alias("text"))
-    linked = roots(links(classes.select("at", "fp", "bands"), texts, width, least)).withColumnRenamed("a", "at")
+    linked = roots(links(classes.drop("best"), texts, width, least)).withColumnRenamed("a", "at")
     named = classes.select("at", "best").join(linked, "at", "left").withColumn("root", F.coalesce("root", "at"))
     chosen = named.groupBy("root").agg(F.min("best")["_llm_at"].alias("_llm_at")).select("_llm_at")
     return marked.join(chosen, "_llm_at", "left_semi").select(*kept)

@@ -42,8 +42,20 @@ def test_scattered_edits_are_found(spark, shared):
         assert {2 * i for i in range(100)} <= kept and len(kept) <= 101
 
 
-def test_components_equal_all_pairs(spark, shared, monkeypatch):
-    monkeypatch.setattr(near_copies, "ALL_PAIRS", 4)
+def test_a_chain_around_no_hub_is_found(spark, shared):
+    """Each text is near the next only, and all share buckets with others that are not near them."""
+    words = [f"w{i}" for i in range(120)]
+    chain = []
+    for step in range(60):
+        words = words[:step * 2] + [f"n{step}a", f"n{step}b"] + words[step * 2 + 2 :]
+        chain.append(" ".join(words))
+    near = [(i, j) for i in range(60) for j in range(i) if jaccard(sets(chain[i]), sets(chain[j])) >= 0.8]
+    assert all((i, i - 1) in near for i in range(1, 60)) and (59, 0) not in near
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string").repartition(5))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_components_equal_all_pairs(spark, shared):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     crowd, rng = rows[0][1].split(), random.Random(2)
     for i in range(40):

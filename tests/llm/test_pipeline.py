@@ -81,8 +81,13 @@ def test_quality_stage(kept):
 
 def test_near_duplicate_stage(kept):
     before = [tuple(r) for r in kept[1].select(*COLUMNS).collect()]
-    prints = [brute.fingerprint(r[1], 5) for r in before]
-    group = brute.components(range(len(before)), prints)
+    found = [{tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} for words in (brute.WORD.findall((r[1] or "").lower()) for r in before)]
+    group = list(range(len(before)))
+    for i in range(len(before)):
+        for j in range(i):
+            if group[i] != group[j] and len(found[i] & found[j]) >= 0.8 * len(found[i] | found[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
     low = {}
     for row, g in zip(before, group, strict=True):
         low[g] = min(low.get(g, (True, 0)), (row[0] is None, row[0] or 0))
