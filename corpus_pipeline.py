@@ -23,7 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of 0.8 or more, by shingles of five words."""
+    """One document of each group of near copies: Jaccard similarity of 0.8 or more, by shingles of five words.
+
+    Candidates come from SimHash balls and, since those find few pairs near 0.8, from MinHash bands.
+    """
     return near_copies.drop_near_copies(docs)
 
 
@@ -53,7 +56,7 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("SimHash near-dedup with MinHash bands", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("secret scans", secret_scans),
     ("byte-level BPE", byte_level_bpe),
