@@ -70,7 +70,7 @@ def rows_of(df):
 
 
 def test_stages_are_named_and_keep_the_columns(kept):
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup with MinHash bands", "benchmark decontamination", "secret scans", "byte-level BPE"]
     assert all(df.columns == COLUMNS for df in kept[:-1])
 
 
