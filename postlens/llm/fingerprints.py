@@ -79,7 +79,7 @@ def fill(least: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return least
 
 
-def fingerprint(text: str | None) -> bytes:
+def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
     """The packed fingerprint of a text: ``BINS`` times ``BITS`` bits, or no bytes for a text without words.
 
     Words are runs of other than ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
@@ -97,10 +97,10 @@ def fingerprint(text: str | None) -> bytes:
     long_enough = False
     for words in word_blocks((text or "").encode().lower()):
         hashes = np.concatenate((carried, np.fromiter(map(table.__getitem__, words), np.uint64, len(words))))
-        if len(hashes) >= WIDTH:
-            add(shingles_of(hashes, WIDTH))
+        if len(hashes) >= width:
+            add(shingles_of(hashes, width))
             long_enough = True
-        carried = hashes[-(WIDTH - 1) :] if len(hashes) >= WIDTH else hashes
+        carried = hashes[len(hashes) - width + 1 :] if len(hashes) >= width else hashes
     if not long_enough:
         if not len(carried):
             return b""

@@ -6,7 +6,7 @@ MinHash bands bring the others in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm import fingerprints
 from postlens.llm.components import roots
 from postlens.llm.simhash import ball_links, shingle_hashes, word_blocks
 from postlens.llm.worker import rest_of
@@ -26,6 +27,9 @@ SIMILARITY, BANDS, ROWS = 0.8, 24, 6
 #: many are no candidates (one in 1400 of those at 0.8, far fewer of closer ones).
 DIFFER = 42
 
+#: What the likeness of two prints may lack: their estimate has a standard error of 0.023 at 0.8.
+SLACK = 0.08
+
 #: Shingles of the texts that are held against one other text in one go.
 STRETCH = 200_000
 
@@ -88,18 +92,57 @@ def signatures(width: int):
 WORDS = BANDS * ROWS // 16
 
 
-def candidate(x: str, y: str, least: float) -> Column:
-    """Whether two cards (at, size, m0, m1, ...) may be of texts of similarity ``least``: their sizes allow it, and their sketches."""
-    unlike = F.lit(0)
-    for k in range(WORDS):
-        d = F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))
+def unlike_nibbles(pairs: Iterable[tuple[Column, Column]]) -> Column:
+    """How many of the four-bit parts of some pairs of longs differ."""
+    count = F.lit(0)
+    for x, y in pairs:
+        d = x.bitwiseXOR(y)
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        unlike += F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+        count += F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return count
+
+
+def candidate(x: str, y: str, least: float) -> Column:
+    """Whether two cards (at, size, m0, m1, ...) may be of texts of similarity ``least``: their sizes allow it, and their sketches."""
+    unlike = unlike_nibbles((F.col(f"{x}.m{k}"), F.col(f"{y}.m{k}")) for k in range(WORDS))
     sizes = F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")
     return sizes & (unlike <= DIFFER)
 
 
+def prints(width: int):
+    """The lowest bit of each bin of the one-permutation fingerprint of a text."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        none = bytes(fingerprints.BINS * fingerprints.BITS // 8)
+        bits = (np.unpackbits(np.frombuffer(fingerprints.fingerprint(t.as_py(), width) or none, np.uint8), bitorder="little") for t in texts)
+        return pa.array((np.packbits(x[:: fingerprints.BITS], bitorder="little").view(np.int64) for x in bits), pa.list_(pa.int64()))
+
+    return of
+
+
+def folded() -> list[Column]:
+    """The lowest bit of each MinHash of a card, 64 to a long."""
+    low = [F.col(f"card.m{k}").bitwiseAND(F.lit(0x1111111111111111)) for k in range(WORDS)]
+    longs = []
+    for k in range(0, WORDS, 4):
+        part = low[k]
+        for i, more in enumerate(low[k + 1 : k + 4], 1):
+            part = part.bitwiseOR(F.shiftleft(more, i))
+        longs.append(part)
+    return longs
+
+
+def alike(x: str, y: str, longs: int, least: float) -> Column:
+    """Whether the likeness of two such prints is within ``SLACK`` of ``least``, or above; half of unlike bits agree."""
+    unlike = F.lit(0)
+    for k in range(longs):
+        unlike += F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")))
+    sizes = F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")
+    return sizes & (unlike <= int((fingerprints.BINS + BANDS * ROWS) * (1 - least + SLACK) / 2))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of (a, b, size) whose texts, from (at, text), have a similarity of ``least`` or more.
 
@@ -135,7 +178,7 @@ def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> Da
     A bucket holds the classes of an equal band hash or fingerprint. First all of a bucket are held against its hub, the
     member that meets most others, and the links of SimHash balls are verified; a group around one text is found by as many
     comparisons as it has members. What these links connect is contracted. Then, in buckets of more than one component,
-    all pairs of different components are compared by size and sketch inside a join, and those left are verified. Pairs
+    all pairs of different components are compared by size and by bits of both sketches inside a join, and those left are verified. Pairs
     within a component are never verified, others all are, so no link between components is lost.
     """
     keys = classes.select("at", F.explode(F.concat("bands", F.array("fp"))).alias("key")).distinct()
@@ -163,9 +206,14 @@ def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> Da
     rest = spokes.drop("hub").withColumn("a", F.col("card.at")).join(joined, "a", "left").select("key", component.alias("component"), "card")
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = materialise(rest.join(mixed, "key"), "mixed")
-    one, two = (rest.select("key", F.col("component").alias(f"component_{k}"), F.col("card").alias(f"card_{k}")) for k in (1, 2))
-    unlike = (one["key"] == two["key"]) & (F.col("card_1.at") < F.col("card_2.at")) & (F.col("component_1") != F.col("component_2"))
-    cross = one.join(two, unlike & candidate("card_1", "card_2", least)).select(F.col("card_1.at").alias("a"), F.col("card_2.at").alias("b"), "card_2.size")
+    asked = texts.join(rest.select("card.at").distinct(), "at", "left_semi")
+    printed = materialise(asked.select("at", prints(width)("text").alias("bits")), "prints")
+    longs = [*(F.col("bits")[k] for k in range(fingerprints.BINS // 64)), *folded()]
+    print_ = F.struct("at", "card.size", *[long.alias(f"p{k}") for k, long in enumerate(longs)]).alias("print")
+    rest = materialise(rest.withColumn("at", F.col("card.at")).join(printed, "at").select("key", "component", print_), "mixed")
+    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "print")]) for k in (1, 2))
+    unlike = (one["key"] == two["key"]) & (F.col("print_1.at") < F.col("print_2.at")) & (F.col("component_1") != F.col("component_2"))
+    cross = one.join(two, unlike & alike("print_1", "print_2", len(longs), least)).select(F.col("print_1.at").alias("a"), F.col("print_2.at").alias("b"), "print_2.size")
     return near.union(materialise(similar(materialise(cross.distinct(), "cross"), texts, width, least), "near"))
 
 
