@@ -9,7 +9,7 @@ from postlens.catalog.registry import query
 from postlens.functions.fixed import NO_RESULT_ADVICE
 from postlens.functions.vectors import norm
 from postlens.operators import embed, grading, ivf, search
-from postlens.plans.answers import answer_inputs
+from postlens.plans.answers import answer_inputs, answer_rounds
 
 
 def centroids(t):
@@ -354,3 +354,30 @@ def _(t):
     asked = questions(t).withColumn("rewrite_count", F.col("query_id") % 4)
     done = answer_inputs(asked, corpus(t), jobs(t), _columns, "rewrite_count", score=_score())
     return done.withColumn("average_score", F.round("average_score", 6))
+
+
+_half = "array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:greatest(1, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 2)::INT)], ' ')"
+# every question before, after one and after two rewrites; the first of these that is good enough, or has no tries left, is answered
+_levels = (
+    "l0 AS (SELECT item_id * 10 AS item_id, text FROM benchmark), "
+    f"l1 AS (SELECT item_id + 1 AS item_id, {_half} AS text FROM l0), l2 AS (SELECT item_id + 1 AS item_id, {_half} AS text FROM l1), "
+    "levels AS (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)"
+)
+_level_ctes = _hybrid_ctes().replace("FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id", "FROM levels b JOIN embeddings e ON e.vec_id = b.item_id // 10")
+_level_routed = _routed.replace("item_id % 4 AS rewrite_count FROM benchmark", "(item_id // 10) % 4 + item_id % 10 AS rewrite_count FROM levels")
+
+
+@query(
+    "answer_rounds",
+    f"WITH {_levels}, {_level_ctes}, {_graded}, {_level_routed}, {_context}, "
+    "f AS (SELECT query_id // 10 AS query_id, min(query_id) AS at FROM z WHERE decision = 'generate' GROUP BY 1) "
+    "SELECT f.query_id, levels.text, rewrite_count::INTEGER AS rewrites, retrieved, passed, round(average_score, 6) AS average_score, coalesce(context_jobs, 0) AS context_jobs, context, "
+    f"CASE WHEN context IS NULL THEN '{NO_RESULT_ADVICE.replace(chr(39), chr(39) * 2)}' END AS answer "
+    "FROM f JOIN z ON z.query_id = f.at JOIN levels ON levels.item_id = f.at LEFT JOIN x ON x.query_id = f.at",
+)
+def _(t):
+    """Each question, rewritten while it finds too little; some come with rewrites behind them."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 4).alias("rewrite_count")).join(vectors, "query_id", "left")
+    done = answer_rounds(asked, corpus(t), jobs(t), _columns, score=_score())
+    return done.drop("decision", "reasons").withColumn("average_score", F.round("average_score", 6))
