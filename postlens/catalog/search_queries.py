@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlens.catalog.registry import query
 from postlens.functions.fixed import NO_RESULT_ADVICE
 from postlens.functions.vectors import norm
-from postlens.operators import embed, grading, ivf, search
+from postlens.operators import embed, grading, ivf, pq, search
 from postlens.plans.answers import answer_inputs, answer_rounds
 
 
@@ -73,6 +73,34 @@ def _(t):
     return _shown(ivf.ivf_search(index, centroids(t), 10, nprobe=(len(index.centroids) + 1) // 2))
 
 
+# every vector whose id 100 divides, against all: how many of its ten nearest are found
+_ROW_TRUTH = (
+    "s AS (SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 10) AS distance "
+    "FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s QUALIFY rank <= 10)"
+)
+
+
+@query("pq_recall", f"WITH {_ROW_TRUTH} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough FROM r")
+def _(t):
+    """Compressed search with 10 of 100 lists against exact search: whether nine in ten of all neighbours are found."""
+    asked = t.embeddings.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = pq.pq_search(pq.pq_build(t.embeddings), asked, 10, nprobe=10)
+    truth = search.knn_search(t.embeddings, asked, 10).select("query_id", "vec_id")
+    met = truth.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query(
+    "pq_search_all_lists",
+    f"WITH {_ROW_TRUTH} SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r",
+)
+def _(t):
+    """All lists and a deep re-ranking: what the codes order is then exact."""
+    asked = t.embeddings.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return _shown(pq.pq_search(pq.pq_build(t.embeddings, spill=1), asked, 10, nprobe=100, rerank=40))
+
+
 @query("ivf_assign_new", "SELECT vec_id, true AS is_nearest FROM embeddings")
 def _(t):
     index = ivf.ivf_build(t.embeddings)

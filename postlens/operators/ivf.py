@@ -40,7 +40,7 @@ class IvfIndex:
 
     @property
     def centroids(self) -> np.ndarray:
-        return np.array(self.model.clusterCenters())
+        return np.array(self.model.clusterCenters()) if self.model else np.zeros((0, 0))
 
 
 def default_lists(n: int) -> int:
@@ -64,10 +64,15 @@ def ivf_build(
     max_iter: int = 20,
     path: str | None = None,
 ) -> IvfIndex:
-    """Train the lists and store the rows by list. ``path`` keeps the index; otherwise it goes to scratch."""
+    """Train the lists and store the rows by list. ``path`` keeps the index; otherwise it goes to scratch.
+
+    A corpus without vectors gives an index without lists, which finds nothing.
+    """
     if metric == "dot_product":
         raise ValueError("lists are trained for cosine or euclidean distance")
     rows = corpus.select(id_col, vec).filter(F.col(vec).isNotNull())
+    if rows.isEmpty():
+        return IvfIndex(None, rows.withColumn("list_id", F.lit(None).cast("int")), id_col, metric)
     featured = rows.withColumn("_features", array_to_vector(F.col(vec).cast("array<double>")))
     measure = "cosine" if metric == "cosine" else "euclidean"
     trainer = KMeans(k=num_lists, seed=seed, maxIter=max_iter, distanceMeasure=measure, featuresCol="_features", predictionCol="list_id")
@@ -117,6 +122,8 @@ def ivf_search(
     """
     id_col, metric = index.id_col, index.metric
     schema = _hit_schema(index.rows, queries, id_col, qid)
+    if not len(index.centroids):
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
     nearest = Window.partitionBy(qid).orderBy("distance", id_col)
     stored = index.rows.select(id_col, "embedding", F.col("list_id").cast("int").alias("list_id"))
     block = query_block(queries, qid, qvec, max_query_bytes)
@@ -154,6 +161,8 @@ def ivf_search(
 
 def ivf_health(index: IvfIndex) -> DataFrame:
     """Rows per list against the even share, and whether the number of lists is far from the square root."""
+    if not len(index.centroids):
+        return index.rows.sparkSession.createDataFrame([], "list_id int, n_rows long, load double, num_lists int, optimal_lists int, rebuild boolean")
     counts = index.rows.groupBy("list_id").agg(F.count("*").alias("n_rows"))
     total = index.rows.count()
     lists = len(index.centroids)

@@ -36,7 +36,7 @@ def matrix_of(column) -> np.ndarray:
 
 
 def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of every row (first axis) to every query; cosine 1 - cos, dot product negated.
+    """Distance of every row (first axis) to every query; cosine 1 - cos (1 where a vector is zero), dot product negated.
 
     Rounded to ten digits: a matrix product may differ in the last bits between equal rows, and copies of a
     vector have to tie.
@@ -47,9 +47,8 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
         squares = (rows**2).sum(axis=1)[:, None] + (queries**2).sum(axis=1)[None, :] - 2 * products
         return np.sqrt(np.maximum(np.round(squares, 10), 0.0))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        lengths = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
-        return np.round(1.0 - products / lengths, 10)
+    lengths = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
+    return np.round(1.0 - products / np.where(lengths > 0, lengths, 1.0), 10)
 
 
 def id_array(column) -> np.ndarray:
