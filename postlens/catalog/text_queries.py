@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
+from postlens.operators.language import train_language_model, with_model_language
 from postlens.functions import fixed, guard, vectors
 from postlens.functions import text as tx
 from postlens.functions.salary import pay_period, with_salary
@@ -156,6 +157,31 @@ def _(t):
     return tx.with_language(docs, "text", "detected").drop("text")
 
 
+_TRIGRAMS = (
+    "c AS (SELECT doc_id, lang, unicode(c)::BIGINT AS u, i FROM (SELECT doc_id, lang, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, lang, string_split(text, '') AS l FROM documents))), "
+    "f AS (SELECT doc_id, lang, u * 7919 + lead(u) OVER w * 263 + lead(u, 2) OVER w AS h FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)), "
+    "g AS (SELECT doc_id, lang, h % 65536 AS bucket FROM f WHERE h IS NOT NULL)"
+)
+
+
+@query(
+    "language_by_trigrams",
+    f"WITH {_TRIGRAMS}, n AS (SELECT lang, bucket, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang), "
+    "u AS (SELECT lang, total, round(1000 * ln(1::DOUBLE / (total + 65536)))::BIGINT AS unseen FROM t), "
+    "m AS (SELECT lang, bucket, round(1000 * ln((n + 1)::DOUBLE / (total + 65536)))::BIGINT - unseen AS more FROM n JOIN u USING (lang)), "
+    "b AS (SELECT doc_id, bucket, count(*) AS times FROM g GROUP BY ALL), "
+    "k AS (SELECT doc_id, sum(times) AS grams FROM b GROUP BY doc_id), "
+    "s AS (SELECT doc_id, m.lang, sum(times * more) AS more FROM b JOIN m USING (bucket) GROUP BY ALL), "
+    "a AS (SELECT k.doc_id, u.lang, grams * unseen + coalesce(more, 0) AS score FROM k CROSS JOIN u LEFT JOIN s ON s.doc_id = k.doc_id AND s.lang = u.lang), "
+    "r AS (SELECT doc_id, lang AS detected FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) "
+    "SELECT d.doc_id, d.lang, coalesce(detected, 'unknown') AS detected FROM documents d LEFT JOIN r USING (doc_id)",
+)
+def _(t):
+    """All documents by a model trained on their labels."""
+    docs = t.spread("documents", "doc_id", "lang", "text")
+    return with_model_language(docs, train_language_model(docs), out="detected").drop("text")
+
+
 # Pay texts in all the shapes the parser tells apart, from order prices; valid in both engines.
 PAY_SQL = (
     "CASE o_orderkey % 14 "
