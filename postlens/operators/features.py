@@ -74,7 +74,7 @@ def training_matrix(
 
     ``leaks`` lists features the target is computed from; they are left out unless ``keep_leaks``. ``categories`` become
     sparse indicators of their values in sorted order, null as 'unknown', however many there are. A row without
-    embedding gets zeros in its place.
+    embedding gets zeros in its place; if no row has one, the matrix goes without.
     """
     used = [f for f in features if f != target and (keep_leaks or f not in (leaks or []))]
     rows = df.filter(F.col(target).isNotNull())
@@ -85,8 +85,9 @@ def training_matrix(
         encoder = OneHotEncoder(inputCol="_index", outputCol=f"_is_{col}", dropLast=False).fit(rows)
         rows = encoder.transform(rows).drop("_value", "_index")
         inputs.append(f"_is_{col}")
-    if embedding:
-        width = rows.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first()[0]
+    known = rows.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first() if embedding else None
+    if known:
+        width = known[0]
         filled = F.coalesce(F.col(embedding).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
         rows = rows.withColumn("_embedding", array_to_vector(filled))
         rows = VectorSizeHint(inputCol="_embedding", size=width, handleInvalid="optimistic").transform(rows)
@@ -148,14 +149,17 @@ class Scaling:
 
 
 def fit_scaling(df: DataFrame, cols: list[str]) -> Scaling:
-    """Exact medians for gaps, then mean and population deviation of the filled columns."""
+    """Exact medians for gaps, then mean and population deviation of the filled columns.
+
+    A column without any value has median, mean and deviation zero, so that it becomes zeros.
+    """
     parts = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.inline(F.array(*parts)))
     medians = {r["field"]: r["q0"] for r in exact_quantiles(long, "v", [0.5], ["field"]).collect()}
-    scaling = Scaling({c: medians[c] for c in cols}, {}, {})
+    scaling = Scaling({c: medians.get(c, 0.0) for c in cols}, {}, {})
     row = scaling.impute(df).agg(
         *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]
     ).first()
-    scaling.means = {c: row[f"m_{c}"] for c in cols}
-    scaling.deviations = {c: row[f"s_{c}"] for c in cols}
+    scaling.means = {c: row[f"m_{c}"] or 0.0 for c in cols}
+    scaling.deviations = {c: row[f"s_{c}"] or 0.0 for c in cols}
     return scaling

@@ -49,8 +49,10 @@ def fit_pca(df: DataFrame, vec: str, components: int | None = 50, variance: floa
 
 
 def reduce_vectors(model: PipelineModel, df: DataFrame, vec: str, out: str = "reduced") -> DataFrame:
-    reduced = model.transform(with_features(df, vec)).drop("features", "_centred")
-    return reduced.withColumn(out, vector_to_array("reduced"))
+    """Add the reduced vector; null where the vector is."""
+    reduced = model.transform(with_features(df.filter(F.col(vec).isNotNull()), vec)).drop("features", "_centred")
+    reduced = reduced.withColumn(out, vector_to_array("reduced"))
+    return reduced.unionByName(df.filter(F.col(vec).isNull()), allowMissingColumns=True)
 
 
 def component_table(df: DataFrame, vec: str, steps: list[int] | None = None, shares: tuple[float, ...] = (0.7, 0.9)) -> DataFrame:
@@ -68,7 +70,9 @@ class Clustering:
     metrics: dict[str, float]
 
     def predict(self, df: DataFrame, vec: str, out: str = "cluster_id") -> DataFrame:
-        return self.model.transform(with_features(df, vec)).drop("features").withColumnRenamed("prediction", out)
+        """Add the cluster; null where the vector is."""
+        placed = self.model.transform(with_features(df.filter(F.col(vec).isNotNull()), vec)).drop("features").withColumnRenamed("prediction", out)
+        return placed.unionByName(df.filter(F.col(vec).isNull()), allowMissingColumns=True)
 
     def centers(self, spark) -> DataFrame:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
@@ -82,8 +86,8 @@ def _fit_all(rows: DataFrame, learners: list[KMeans], at_once: int = 8) -> list[
 
 
 def kmeans_fit(df: DataFrame, vec: str, k: int = 10, seed: int = 42, tries: int = 10, max_iter: int = 20) -> Clustering:
-    """The best of several seeded runs by inertia, with silhouette and sizes."""
-    rows = materialise(with_features(df, vec).select("features"), "kmeans")
+    """The best of several seeded runs by inertia, with silhouette and sizes; rows without vector are left out."""
+    rows = materialise(with_features(df.filter(F.col(vec).isNotNull()), vec).select("features"), "kmeans")
     fits = _fit_all(rows, [KMeans(k=k, seed=seed + i, maxIter=max_iter) for i in range(tries)])
     best = min(fits, key=lambda m: m.summary.trainingCost)
     metrics = {
@@ -97,8 +101,8 @@ def kmeans_fit(df: DataFrame, vec: str, k: int = 10, seed: int = 42, tries: int
 
 
 def elbow(df: DataFrame, vec: str, low: int = 5, high: int = 20, seed: int = 42, tries: int = 10, max_iter: int = 20) -> DataFrame:
-    """Inertia for every number of clusters in the range."""
-    rows = materialise(with_features(df, vec).select("features"), "elbow")
+    """Inertia for every number of clusters in the range, over the rows that have a vector."""
+    rows = materialise(with_features(df.filter(F.col(vec).isNotNull()), vec).select("features"), "elbow")
     asked = [(k, KMeans(k=k, seed=seed + i, maxIter=max_iter)) for k in range(low, high + 1) for i in range(tries)]
     fits = _fit_all(rows, [learner for _, learner in asked])
     reached: dict[int, float] = {}

@@ -13,9 +13,6 @@ from postlens.session import materialise
 
 QUARTILES = [0.25, 0.5, 0.75]
 
-#: Parts of a bracket whose values are ranked by separate tasks.
-SLICES = 256
-
 
 def _rounded(col: Column, digits: int = 2) -> Column:
     """Rounded, with zero read as missing."""
@@ -27,70 +24,41 @@ def exact_quantiles(
     value: str,
     probs: list[float],
     group: list[str],
-    accuracy: int = 10000,
+    accuracy: int | None = None,
     also: dict[str, Column] | None = None,
     discrete: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group: one row per group with ``n`` and ``q0``, ``q1``, ... and the aggregates in ``also``.
 
-    They are interpolated between two ranks, or with ``discrete`` the value at rank ceil(p * n). Two passes: a mergeable
-    sketch brackets every quantile, then one aggregate counts the rows below each bracket, finds the nearest values
-    outside, and counts the distinct values inside, which is a share of the rows that the sketch's accuracy bounds.
-    Those are ranked in ``SLICES`` parts of each bracket by their counts, so that no group is held or sorted whole.
+    They are interpolated between two ranks, or with ``discrete`` the value at rank ceil(p * n). Rows are added up to
+    counts of distinct values, which are written in ranges of (group, value). The sums of the ranges tell in which of them
+    each wanted rank lies, and only those ranges are ranked, each by itself, so that no group is held or sorted whole. ``accuracy`` has no effect; callers may still give it.
     """
     also = also or {}
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    slots = range(len(probs))
-    slack = 4.0 / accuracy
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
-    sketch = base.withColumn(value, F.col("_v")).groupBy(*group).agg(
-        F.count("*").alias("n"), F.percentile_approx("_v", edges, accuracy).alias("_e"), *[c.alias(name) for name, c in also.items()]
+    counts = base.groupBy(*group, "_v").agg(F.count("*").alias("c")).repartitionByRange(*group, "_v")
+    counts = materialise(counts.withColumn("part", F.spark_partition_id()), "value-counts")
+    keys = [*group, "part"]
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = Window.partitionBy(*group)
+    parts = counts.groupBy(*keys).agg(F.sum("c").alias("size")).select(
+        *keys, "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(of_group).alias("n")
     )
     ranked_at = [F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) - 1 if discrete else F.lit(p) * (F.col("n") - 1) for p in probs]
-    slot = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"), ranked_at[i].cast("double").alias("at")) for i in slots]))
-    brackets = materialise(sketch.select(*group, "n", *also, slot.alias("_s")), "quantile-sketch")
-
-    wide = brackets.groupBy(*group).agg(*[F.max(F.when(F.col("_s.i") == i, F.col("_s"))).alias(f"_s{i}") for i in slots])
-    seen = base.join(wide, group)
-
-    def part(i: int) -> Column:
-        """Where a value stands: a value inside counts by itself, those outside by side only."""
-        v, s = F.col("_v"), F.col(f"_s{i}")
-        side = F.when(v < s["lo"], -1).when(v > s["hi"], 1).otherwise(0)
-        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("inside"), v.alias("v"))
-
-    parts = seen.select(*group, F.explode(F.array(*[part(i) for i in slots])).alias("_p"))
-    counted = parts.groupBy(*group, F.col("_p.i").alias("i"), F.col("_p.side").alias("side"), F.col("_p.inside").alias("inside")).agg(
-        F.count("*").alias("c"), F.min("_p.v").alias("least"), F.max("_p.v").alias("most")
-    )
-    counted = materialise(counted, "quantile-counts")
-    keys = [*group, "i"]
-    outside = counted.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") < 0, F.col("c")).otherwise(0)).alias("below"),
-        F.max(F.when(F.col("side") < 0, F.col("most"))).alias("before"),
-        F.min(F.when(F.col("side") > 0, F.col("least"))).alias("after"),
-        F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("within"),
-        F.min(F.when(F.col("side") == 0, F.col("inside"))).alias("lo"),
-        F.max(F.when(F.col("side") == 0, F.col("inside"))).alias("hi"),
-    )
-    share = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("inside") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)).otherwise(0)
-    inside = counted.filter("side = 0").select(*keys, "inside", "c").join(outside, keys).withColumn("slice", share)
-    slices = inside.groupBy(*keys, "slice").agg(F.sum("c").alias("size"))
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(*keys, "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(*keys, "slice").orderBy("inside")
-    placed = inside.join(starts, [*keys, "slice"]).withColumn("upto", F.col("below") + F.col("start") + F.sum("c").over(within))
-    asked = brackets.select(*group, "n", *also, F.col("_s.i").alias("i"), F.col("_s.at").alias("at"))
-    ranked = placed.join(asked, keys)
-
-    def value_at(rank: Column) -> Column:
-        here = (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
-        outer = F.when(rank < F.col("below"), F.col("before")).when(rank >= F.col("below") + F.col("within"), F.col("after"))
-        return F.coalesce(F.max(F.when(here, F.col("inside"))), F.max(outer))
-
-    picked = ranked.groupBy(*group, "n", *also, "i", "at").agg(value_at(F.floor("at")).alias("low"), value_at(F.ceil("at")).alias("high"))
+    ends = [F.struct(F.lit(i).alias("i"), at.cast("double").alias("at"), end(at).cast("long").alias("rank")) for i, at in enumerate(ranked_at) for end in (F.floor, F.ceil)]
+    here = (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("size"))
+    asked = parts.select(*keys, "size", "start", "n", F.inline(F.array(*ends))).filter(here).distinct()
+    running = Window.partitionBy(*keys).orderBy("_v")
+    held = counts.join(asked.select(*keys).distinct(), keys, "left_semi").withColumn("upto", F.sum("c").over(running))
+    inside = F.col("rank") - F.col("start")
+    met = held.join(asked, keys).filter((F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto")))
+    picked = met.groupBy(*group, "n", "i", "at").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
     found = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
-    return picked.groupBy(*group, "n", *also).agg(*[F.max(F.when(F.col("i") == i, found)).alias(f"q{i}") for i in slots])
+    quantiles = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("i") == i, found)).alias(f"q{i}") for i in range(len(probs))])
+    if not also:
+        return quantiles
+    valued = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    return valued.groupBy(*group).agg(*[c.alias(name) for name, c in also.items()]).join(quantiles, group)
 
 
 def group_salary_stats(
