@@ -149,8 +149,8 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     All texts that are held against one are streamed past it, in stretches of about ``STRETCH`` shingles, each a task's
     own; a text travels once for each pair in which it is ``b``, and once for each stretch in which it is ``a``.
     """
-    loads = pairs.groupBy("a").agg((F.sum("size") / STRETCH).cast("long").alias("more"))
-    dealt = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("more") + 1).alias("stretch"), "b")
+    loads = pairs.groupBy("a").agg((F.sum("size") / STRETCH).cast("long").alias("more")).where("more > 0")
+    dealt = pairs.join(loads, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1).alias("stretch"), "b")
     members = dealt.join(texts.withColumnRenamed("at", "b"), "b").select("a", "stretch", "b", "text")
     heads = dealt.select("a", "stretch").distinct().join(texts.withColumnRenamed("at", "a"), "a")
     stream = members.unionByName(heads.select("a", "stretch", F.lit(None).cast("long").alias("b"), "text"))
@@ -172,8 +172,8 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return stream.repartition("a", "stretch").sortWithinPartitions(*order).select("a", "b", "text").mapInArrow(of, "a long, b long")
 
 
-def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> DataFrame:
-    """Verified links (a, b) between classes (at, size, fp, bands, sketch) of texts in ``marked`` (at, text).
+def linked(classes: DataFrame, marked: DataFrame, width: int, least: float) -> DataFrame:
+    """(at, root) for each of the classes (at, size, fp, bands, sketch) of texts in ``marked`` (at, text): the member that its component goes by.
 
     A bucket holds the classes of an equal band hash or fingerprint. First all of a bucket are held against its hub, the
     member that meets most others, and the links of SimHash balls are verified; a group around one text is found by as many
@@ -201,9 +201,9 @@ def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> Da
     asked = dealt.select("card.at").union(balls.select(F.explode(F.array("a", "b")))).distinct()
     texts = materialise(marked.join(asked, "at", "left_semi"), "asked")
     near = materialise(similar(materialise(stars.union(balls).distinct(), "stars"), texts, width, least), "near")
-    joined = roots(near)
+    joined = roots(near).withColumnRenamed("a", "at")
     component = F.coalesce("root", F.col("card.at"))
-    rest = spokes.drop("hub").withColumn("a", F.col("card.at")).join(joined, "a", "left").select("key", component.alias("component"), "card")
+    rest = spokes.drop("hub").withColumn("at", F.col("card.at")).join(joined, "at", "left").select("key", component.alias("component"), "card")
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = materialise(rest.join(mixed, "key"), "mixed")
     asked = texts.join(rest.select("card.at").distinct(), "at", "left_semi")
@@ -214,7 +214,12 @@ def links(classes: DataFrame, marked: DataFrame, width: int, least: float) -> Da
     one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "print")]) for k in (1, 2))
     unlike = (one["key"] == two["key"]) & (F.col("print_1.at") < F.col("print_2.at")) & (F.col("component_1") != F.col("component_2"))
     cross = one.join(two, unlike & alike("print_1", "print_2", len(longs), least)).select(F.col("print_1.at").alias("a"), F.col("print_2.at").alias("b"), "print_2.size")
-    return near.union(materialise(similar(materialise(cross.distinct(), "cross"), texts, width, least), "near"))
+    more = similar(materialise(cross.distinct(), "cross"), texts, width, least)
+    for side in "ab":
+        more = more.join(joined.select(F.col("at").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(side, F.coalesce(f"root_{side}", side))
+    above = roots(more.select("a", "b")).select(F.col("a").alias("root"), F.col("root").alias("top"))
+    known = classes.select("at").join(joined, "at", "left").withColumn("root", F.coalesce("root", "at"))
+    return known.join(above, "root", "left").select("at", F.coalesce("top", "root").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, least: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -233,7 +238,6 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = SIMILARITY,
     )
     classes = materialise(by_set.drop("whole"), "classes")
     texts = marked.select(F.col("_llm_at").alias("at"), F.col(text_col).cast("string").alias("text"))
-    linked = roots(links(classes.drop("best"), texts, width, least)).withColumnRenamed("a", "at")
-    named = classes.select("at", "best").join(linked, "at", "left").withColumn("root", F.coalesce("root", "at"))
+    named = classes.select("at", "best").join(linked(classes.drop("best"), texts, width, least), "at")
     chosen = named.groupBy("root").agg(F.min("best")["_llm_at"].alias("_llm_at")).select("_llm_at")
     return marked.join(chosen, "_llm_at", "left_semi").select(*kept)
