@@ -60,22 +60,52 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.limit, self.known = limit, {}
         self.blocks = Pieces(self.whole, 0).blocks
+        self.starts, self.newline = {}, self.whole("\n")
         self.marks = {mark: self.whole(mark) for mark in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def lettered(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def tokenized(self, letters: str) -> bytes:
+        return array("i", [token.id for token in self.model.tokenize(letters)]).tobytes()
+
     def piece(self, piece: str) -> bytes | None:
         """The ids of a piece and the space before it, or none if white space at its ends may belong to its neighbours."""
         if piece.isalpha():
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            return array("i", [token.id for token in self.model.tokenize(self.letters[32] + letters)]).tobytes()
+            return self.tokenized(self.letters[32] + self.lettered(piece))
         if piece[-1:] in self.marks and piece[:-1].isalpha():
             return (self.known.get(piece[:-1]) or self.piece(piece[:-1])) + self.marks[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
+        lines = piece.split("\n")
+        if len(lines) > 1 and not any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
+            return self.known_piece(lines[0]) + b"".join(self.newline + self.started(line) for line in lines[1:])
         return self.whole(" " + piece)
 
+    def known_piece(self, piece: str) -> bytes:
+        code = self.known.get(piece)
+        if code is None:
+            code = self.known[piece] = self.piece(piece)
+        return code
+
+    def started(self, line: str) -> bytes:
+        """The ids of what follows a line feed that stands alone: such a line feed is a match of the pattern by itself."""
+        code = self.starts.get(line)
+        if code is None:
+            if len(self.starts) > self.limit // 4:
+                self.starts.clear()
+            if line.isalpha():
+                code = self.tokenized(self.lettered(line))
+            elif line[-1:] in self.marks and line[:-1].isalpha():
+                code = self.started(line[:-1]) + self.marks[line[-1]]
+            else:
+                code = self.whole(line)
+            self.starts[line] = code
+        return code
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, ``end_id`` included, and all ids."""
         lists = pc.split_pattern(texts, " ")
@@ -95,9 +125,10 @@ class Encoder:
                 codes[i] = self.known[pieces[i]] = code
         firsts, counts = offsets[:-1], np.diff(offsets)
         irregular = np.add.reduceat(odd[index], firsts) > 0
-        holds = np.zeros(len(texts), bool)
+        holds, held = np.zeros(len(texts), bool), texts.buffers()[2]
         for token in self.added:
-            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+            if held is not None and token.encode() in held.to_pybytes():
+                holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         for row in range(len(texts)):
             first = pieces[index[firsts[row]]]
             if holds[row]:
@@ -106,18 +137,20 @@ class Encoder:
                 continue
             alone = bool(irregular[row]) or not first or first[0].isspace() or first[-1].isspace()
             irregular[row] = alone
-            codes.append(b"".join(self.blocks(texts[row].as_py())) if alone else self.whole(first))
-        codes.append(b"")
-        index[np.repeat(irregular, counts)] = len(codes) - 1
+            codes.append(b"".join(self.blocks(texts[row].as_py())) if alone else self.started(first))
+        codes += [b"", np.int32(end_id).tobytes()]
+        index[np.repeat(irregular, counts)] = len(codes) - 2
         index[firsts] = len(pieces) + np.arange(len(texts))
+        index = np.insert(index, offsets[1:], len(codes) - 1)
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        starts = np.cumsum(sizes) - sizes
         taken = sizes[index]
-        ends = np.cumsum(taken)
-        pool = np.frombuffer(b"".join(codes), np.int32)
-        values = pool[np.repeat(starts[index] - ends + taken, taken) + np.arange(ends[-1])]
-        of_text = np.add.reduceat(taken, firsts)
-        return (of_text + 1).astype(np.int32), np.insert(values, np.cumsum(of_text), np.int32(end_id))
+        total = int(taken.sum())
+        kind = np.int32 if total + int(sizes.sum()) < 1 << 31 else np.int64
+        moved = (np.cumsum(sizes) - sizes)[index] - np.cumsum(taken) + taken
+        place = np.repeat(moved.astype(kind), taken)
+        place += np.arange(total, dtype=kind)
+        of_text = np.add.reduceat(taken, firsts + np.arange(len(texts)))
+        return of_text.astype(np.int32), np.frombuffer(b"".join(codes), np.int32)[place]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, special: bool = False) -> DataFrame:
