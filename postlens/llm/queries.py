@@ -235,7 +235,7 @@ def quotation_links(spark: SparkSession, folder: str) -> DataFrame:
                              row_number() OVER () AS rid FROM pages),
     parts AS (SELECT rid, page_id, url, fetched, host, string_split(host, '.') AS p FROM captures WHERE host <> ''),
     keys AS (SELECT DISTINCT rid, fetched, unnest(list_distinct(list_append([array_to_string(p[len(p) - n + 1:], '.')
-                    FOR n IN generate_series(2, least(len(p), 6))], host))) AS key FROM parts),
+                    FOR n IN generate_series(2, len(p))], host))) AS key FROM parts),
     names AS (SELECT DISTINCT key AS entry, ('0x' || substr(md5(key), 1, 4))::INT AS h FROM keys),
     events AS (SELECT entry, CASE WHEN h % 2 = 0 THEN 'ads' ELSE 'spam' END AS list, k % 2 = 0 AS listed,
                       (DATE '2023-01-01' + CAST((h % 211) + k * (60 + h % 97) AS INT))::DATE AS day
