@@ -473,7 +473,7 @@ def _(t):
 @query(
     "embedding_text",
     f"WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE source || ' ' END AS title, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 10 = 1 THEN '  ' ELSE '  ' || text END AS body FROM documents), "
-    "p AS (SELECT *, left(trim(left(body, 2000), chr(32) || chr(10)), 1000) AS cut FROM s WHERE trim(coalesce(title, '')) <> '' OR trim(body) <> '') "
+    "p AS (SELECT *, trim(body, chr(32) || chr(10)) AS cut FROM s WHERE trim(coalesce(title, '')) <> '' OR trim(body) <> '') "
     "SELECT doc_id, trim(coalesce(title, 'Unknown')) || CASE WHEN cut <> '' THEN '. ' || cut ELSE '' END AS text FROM p",
 )
 def _(t):
@@ -481,7 +481,7 @@ def _(t):
     title = F.when(kind == 0, F.lit(None)).when(kind == 1, " ").otherwise(F.concat("source", F.lit(" ")))
     body = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 10 == 1, "  ").otherwise(F.concat(F.lit("  "), "text"))
     docs = t.documents.select("doc_id", title.alias("title"), body.alias("body"))
-    return filters.embedding_text(docs, "title", "body").select("doc_id", "text")
+    return filters.embedding_text(docs, "title", "body", read=None, keep=None).select("doc_id", "text")
 
 
 @query(
