@@ -179,7 +179,8 @@ def linked(classes: DataFrame, marked: DataFrame, width: int, least: float) -> D
     member that meets most others, and the links of SimHash balls are verified; a group around one text is found by as many
     comparisons as it has members. What these links connect is contracted. Then, in buckets of more than one component,
     all pairs of different components are compared by size and by bits of both sketches inside a join, and those left are verified. Pairs
-    within a component are never verified, others all are, so no link between components is lost.
+    within a component are never verified, others all are, so no link between components is lost. A pair counts in the
+    first bucket that its members share; where one of them is its hub, the pair was settled before.
     """
     keys = classes.select("at", F.explode(F.concat("bands", F.array("fp"))).alias("key")).distinct()
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -210,10 +211,14 @@ def linked(classes: DataFrame, marked: DataFrame, width: int, least: float) -> D
     printed = materialise(asked.select("at", prints(width)("text").alias("bits")), "prints")
     longs = [*(F.col("bits")[k] for k in range(fingerprints.BINS // 64)), *folded()]
     print_ = F.struct("at", "card.size", *[long.alias(f"p{k}") for k, long in enumerate(longs)]).alias("print")
-    rest = materialise(rest.withColumn("at", F.col("card.at")).join(printed, "at").select("key", "component", print_), "mixed")
-    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "print")]) for k in (1, 2))
+    met = F.concat("bands", F.array("fp"))
+    own = classes.select("at", F.struct(*[met[k].alias(f"k{k}") for k in range(BANDS + 1)]).alias("keys"))
+    rest = rest.withColumn("at", F.col("card.at")).join(printed, "at").join(own, "at").select("key", "component", print_, "keys")
+    rest = materialise(rest, "mixed")
+    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "print", "keys")]) for k in (1, 2))
+    first_met = F.coalesce(*[F.when(F.col(f"keys_1.k{k}") == F.col(f"keys_2.k{k}"), F.col(f"keys_1.k{k}")) for k in range(BANDS + 1)])
     unlike = (one["key"] == two["key"]) & (F.col("print_1.at") < F.col("print_2.at")) & (F.col("component_1") != F.col("component_2"))
-    cross = one.join(two, unlike & alike("print_1", "print_2", len(longs), least)).select(F.col("print_1.at").alias("a"), F.col("print_2.at").alias("b"), "print_2.size")
+    cross = one.join(two, unlike & alike("print_1", "print_2", len(longs), least) & (one["key"] == first_met)).select(F.col("print_1.at").alias("a"), F.col("print_2.at").alias("b"), "print_2.size")
     more = similar(materialise(cross.distinct(), "cross"), texts, width, least)
     for side in "ab":
         more = more.join(joined.select(F.col("at").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(side, F.coalesce(f"root_{side}", side))
