@@ -93,8 +93,14 @@ SECRETS_SQL = f"""
     cut AS (SELECT regexp_replace(regexp_replace(regexp_replace(text, $p${secrets.ASSIGN}$p$, ' ', 'g'), $p${secrets.ACCESS}$p$, ' ', 'g'),
                                   $p${plain(secrets.HEX)}$p$, ' ', 'g') AS t FROM documents, last WHERE doc_id <= id),
     words AS (SELECT unnest(regexp_extract_all(t, $p${plain(secrets.WORD)}$p$)) AS w FROM cut),
-    labelled AS (SELECT w AS value, 0 AS r FROM words UNION ALL SELECT upper(w), 0 FROM words UNION ALL SELECT w || '_' || w || '-' || w, 0 FROM words
-                 UNION ALL SELECT to_base64(unhex(sha256(w))), 1 FROM words UNION ALL SELECT sha256(w), 1 FROM words),
+    parts AS (SELECT w, d, rtrim(translate(to_base64(unhex(d)), '+/=', '-_')) AS key, translate(d, 'abcdef', '012345') AS n,
+                     concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12)) AS uuid
+              FROM (SELECT w, sha256(w) AS d FROM words)),
+    labelled AS (SELECT unnest([w, upper(w), w || '_' || w || '-' || w, {secrets.REPEATS}[('0x' || substr(d, 1, 8))::BIGINT % {len(secrets.REPEATS)} + 1].repeat(20),
+                                concat_ws('-', substr(n, 1, 4), substr(n, 5, 2), substr(n, 7, 2)) || '_' || concat_ws('-', substr(n, 9, 2), substr(n, 11, 2), substr(n, 13, 2)) || '_' || w,
+                                w || '/' || w, uuid, upper(uuid)]) AS value, 0 AS r FROM parts
+                 UNION ALL
+                 SELECT unnest([to_base64(unhex(d)), d, key, substr(key, 1, 20) || '-' || substr(key, 21, 23), substr(key, 24, 20) || '_' || substr(key, 1, 20)]), 1 FROM parts),
     pairs AS (SELECT r, substr(value, i::INT, 1) AS a, substr(value, i::INT + 1, 1) AS b
               FROM (SELECT r, value, unnest(generate_series(1, len(value) - 1)) AS i FROM labelled)),
     counts AS (SELECT r, a, b, count(*) AS n FROM pairs GROUP BY ALL),
@@ -110,11 +116,14 @@ SECRETS_SQL = f"""
     {PLACES.format(name="hexes", pattern=plain(secrets.HEX), group=0)},
     {PLACES.format(name="runs", pattern=plain(secrets.CANDIDATE), group=0)},
     base AS (SELECT rid, 0 AS k, s, e FROM assign WHERE len(v) >= 8 UNION ALL SELECT rid, 1, s, e FROM access UNION ALL SELECT rid, 2, s, e FROM hexes),
+    met AS (SELECT r.rid, r.s, r.e, r.v, b.s AS till, b.e AS past, b.k FROM runs r JOIN base b ON b.rid = r.rid AND b.s < r.e AND r.s < b.e),
+    outside AS (SELECT rid, v, s, coalesce(max(past) OVER (PARTITION BY rid, s ORDER BY till, k, past ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS a, till AS z FROM met
+                UNION ALL SELECT rid, any_value(v), s, max(past), any_value(e) FROM met GROUP BY rid, s
+                UNION ALL SELECT rid, v, s, s, e FROM runs r WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.rid = r.rid AND met.s = r.s)),
+    pieces AS (SELECT rid, a AS s, z AS e, substr(v, (a - s + 1)::INT, (z - a)::INT) AS v FROM outside WHERE z - a >= {secrets.SHORTEST}),
     steps AS (SELECT rid, s, e, substr(v, i::INT, 1) AS a, substr(v, i::INT + 1, 1) AS b
-              FROM (SELECT *, unnest(generate_series(1, len(v) - 1)) AS i FROM runs)),
-    scored AS (SELECT rid, s, e FROM steps JOIN ratios USING (a, b) GROUP BY ALL HAVING sum(llr) >= {secrets.THRESHOLD}),
-    spans AS (SELECT * FROM base UNION ALL
-              SELECT rid, 3, s, e FROM scored x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+              FROM (SELECT *, unnest(generate_series(1, len(v) - 1)) AS i FROM pieces)),
+    spans AS (SELECT * FROM base UNION ALL SELECT rid, 3, s, e FROM steps JOIN ratios USING (a, b) GROUP BY ALL HAVING sum(llr) >= {secrets.THRESHOLD}),
     named AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS one FROM spans),
     by_doc AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
                       string_agg(one, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(one, ',' ORDER BY s, k) AS spans
@@ -128,8 +137,8 @@ SECRETS_SQL = f"""
 @query("op3_markov_secrets", SECRETS_SQL)
 def markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    model = secrets.train(secrets.labelled_sample(docs))
-    found = secrets.find_secrets(docs, model).drop("text")
+    model = secrets.train(secrets.labelled_sample(docs, separators=True))
+    found = secrets.find_secrets(docs, model, parts=True).drop("text")
     spans = F.col("secret_spans")
     of_kind = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
     return found.select(

@@ -69,7 +69,7 @@ def labelled_sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if separators:
         key = F.rtrim(F.translate(F.base64(F.unhex(digest)), "+/=", "-_"))
         examples += [(key, True), (F.concat_ws("-", F.substring(key, 1, 20), F.substring(key, 21, 23)), True), (F.concat_ws("_", F.substring(key, 24, 20), F.substring(key, 1, 20)), True)]
-        examples += [(F.repeat(F.get(F.array(*map(F.lit, REPEATS)), F.pmod(F.xxhash64("w"), F.lit(len(REPEATS))).cast("int")), 20), False)]
+        examples += [(F.repeat(F.get(F.array(*map(F.lit, REPEATS)), (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(REPEATS)).cast("int")), 20), False)]
         digits = F.translate(digest, "abcdef", "012345")
         stamp = F.concat_ws("_", *[F.concat_ws("-", *[F.substring(digits, at, n) for at, n in part]) for part in (((1, 4), (5, 2), (7, 2)), ((9, 2), (11, 2), (13, 2)))])
         examples += [(F.concat_ws("_", stamp, w), False), (F.concat_ws("/", w, w), False)]
