@@ -9,7 +9,9 @@ from postlens.catalog.registry import query
 from postlens.functions.fixed import NO_RESULT_ADVICE
 from postlens.functions.vectors import norm
 from postlens.operators import embed, grading, ivf, pq, search
+from postlens.operators.neighbours import neighbour_graph
 from postlens.plans.answers import answer_inputs, answer_rounds
+from postlens.session import materialise
 
 
 def centroids(t):
@@ -139,6 +141,23 @@ def _(t):
     return search.similar_items(t.embeddings, t.embeddings.select("vec_id"), top_k=5, min_similarity=0.25)
 
 
+@query(
+    "neighbour_graph",
+    "WITH s AS (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 10), b.vec_id) AS rank "
+    "FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) "
+    "SELECT (SELECT count(DISTINCT vec_id) FROM embeddings) AS keys, count(*) AS neighbours, true AS enough FROM s WHERE rank <= 10",
+)
+def _(t):
+    """The graph over all keys: whether it has nine in ten of the exact neighbours of the keys that 100 divides."""
+    graph = materialise(neighbour_graph(t.embeddings, 10, block_rows=256), "neighbours")
+    asked = t.embeddings.select("vec_id", "embedding").where("vec_id % 100 = 0")
+    truth = search.similar_items(t.embeddings, asked, 10, -1.0).select("reference_vec_id", "vec_id")
+    met = truth.join(graph.select("reference_vec_id", "vec_id", F.lit(1).alias("hit")), ["reference_vec_id", "vec_id"], "left")
+    both = met.select("vec_id", "hit").unionByName(graph.select(F.col("reference_vec_id").alias("key")), allowMissingColumns=True)
+    enough = (F.count("hit") >= 0.9 * F.count("vec_id")).alias("enough")
+    return both.agg(F.count_distinct("key").alias("keys"), F.count("vec_id").alias("neighbours"), enough)
+
+
 def questions(t):
     """Benchmark texts as queries, with the stored vector of the same id."""
     vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")

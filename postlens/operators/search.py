@@ -99,14 +99,27 @@ class Best:
         return [query_ids[q] for q in self.query.tolist()], self.id.tolist(), self.distance.tolist()
 
 
-def score_into(best: Best, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, metric: str, wanted=None) -> None:
-    """Score a batch, a slice at a time so that the score matrix stays small."""
+def places_of(ids: list) -> dict:
+    """Where each query id stands; a key of several columns as a tuple."""
+    places: dict = {}
+    for place, value in enumerate(ids):
+        places.setdefault(tuple(value.values()) if isinstance(value, dict) else value, []).append(place)
+    return places
+
+
+def score_into(best: Best, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, metric: str, wanted=None, own: dict | None = None) -> None:
+    """Score a batch, a slice at a time so that the score matrix stays small; with ``own`` places, no row for its own id."""
     wanted = np.arange(len(queries)) if wanted is None else np.asarray(list(wanted), dtype=np.int64)
     if len(wanted) == 0 or len(ids) == 0:
         return
     step = max(1, SCORES_AT_ONCE // len(wanted))
     for start in range(0, len(ids), step):
-        best.add(wanted, ids[start : start + step], distances(rows[start : start + step], queries[wanted], metric))
+        dist = distances(rows[start : start + step], queries[wanted], metric)
+        if own is not None:
+            same = [(row, place) for row, value in enumerate(ids[start : start + step].tolist()) for place in own.get(value, ())]
+            if same:
+                dist[tuple(np.array(same).T)] = np.nan
+        best.add(wanted, ids[start : start + step], dist)
 
 
 @dataclass
@@ -147,14 +160,14 @@ def _batch_of(schema: T.StructType, columns: tuple[list, list, list]) -> pa.Reco
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
-def scan_best(schema: T.StructType, block: QueryBlock, k: int, metric: str) -> Callable:
-    """Per task: stream the rows past the query block, emit the task's k best per query."""
+def scan_best(schema: T.StructType, block: QueryBlock, k: int, metric: str, others: bool = False) -> Callable:
+    """Per task: stream the rows past the query block, emit the task's k best per query; ``others``: of other ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k, len(block.ids))
+        best, own = Best(k, len(block.ids)), places_of(block.ids) if others else None
         for batch in batches:
             ids = id_array(batch.column(0))
-            score_into(best, ids, matrix_of(batch.column(1)), block.vectors, metric)
+            score_into(best, ids, matrix_of(batch.column(1)), block.vectors, metric, own=own)
         yield _batch_of(schema, best.rows(block.ids))
 
     return run
@@ -171,6 +184,7 @@ def grid_hits(
     qvec: str,
     metric: str,
     list_col: str = "_list",
+    others: bool = False,
 ) -> DataFrame:
     """Rows against queries of the same list, block by block.
 
@@ -193,7 +207,8 @@ def grid_hits(
         best = Best(k, len(ids))
         if len(ids) and right.num_rows:
             row_ids = id_array(right.column(id_col))
-            score_into(best, row_ids, matrix_of(right.column(vec)), matrix_of(left.column(qvec)), metric)
+            own = places_of(ids) if others else None
+            score_into(best, row_ids, matrix_of(right.column(vec)), matrix_of(left.column(qvec)), metric, own=own)
         return pa.Table.from_batches([_batch_of(schema, best.rows(ids))])
 
     cells = [list_col, "_qb", "_rb"]
@@ -211,8 +226,12 @@ def knn_search(
     metric: str = "cosine",
     max_query_bytes: int = MAX_QUERY_BYTES,
     grid_block_rows: int = GRID_BLOCK_ROWS,
+    others: bool = False,
 ) -> DataFrame:
-    """The k nearest rows of every query: (qid, id, distance, rank), equal distances in id order."""
+    """The k nearest rows of every query: (qid, id, distance, rank), equal distances in id order.
+
+    With ``others``, rows of the query's own id are left out, and an id counts once, by its least distance.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     rows = corpus.select(id_col, vec).filter(F.col(vec).isNotNull())
@@ -225,9 +244,11 @@ def knn_search(
             "_query_blocks": F.lit(-(-asked.count() // grid_block_rows)).cast("bigint"),
             "_list": F.lit(0),
         }
-        hits = grid_hits(rows.withColumns(blocks), asked.withColumns(blocks), schema, k, id_col, vec, qid, qvec, metric)
+        hits = grid_hits(rows.withColumns(blocks), asked.withColumns(blocks), schema, k, id_col, vec, qid, qvec, metric, others=others)
     else:
-        hits = rows.mapInArrow(scan_best(schema, block, k, metric), schema)
+        hits = rows.mapInArrow(scan_best(schema, block, k, metric, others), schema)
+    if others:
+        hits = hits.groupBy(qid, id_col).agg(F.min("distance").alias("distance"))
     nearest = Window.partitionBy(qid).orderBy("distance", id_col)
     return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
@@ -311,16 +332,18 @@ def similar_items(
 ) -> DataFrame:
     """Neighbours of each wanted key by its own vector, itself left out: reference ids, ids, rank and scores.
 
-    An id may consist of several columns; the reference columns are named ``reference_<id>``. ``top_k`` + 1 neighbours
-    are fetched, which leaves ``top_k`` others. ``jobs`` adds the columns of each neighbour, of its newest version if
+    An id may consist of several columns; the reference columns are named ``reference_<id>``. Rows of the wanted key itself
+    are not scored, so that a key of several vectors keeps its neighbours. A neighbour of several vectors counts once, by its least
+    distance, but may take up some of the ``top_k`` places of each search.
+    ``jobs`` adds the columns of each neighbour, of its newest version if
     ``versions`` are given, and a row without neighbour (``found`` false) for each wanted key that has no vector.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     keys = wanted.select(*ids).distinct()
     vectors = with_key(corpus, ids, "_key").select("_key", *ids, "embedding")
-    queries = vectors.join(keys, ids, "left_semi").select(F.col("_key").alias("_reference"), "embedding")
-    hits = knn_search(vectors.select("_key", "embedding"), queries, top_k + 1, id_col="_key", qid="_reference", max_query_bytes=max_query_bytes)
-    kept = hits.filter((F.col("distance") <= 1.0 - min_similarity) & (F.col("_key") != F.col("_reference")))
+    queries = vectors.join(keys, ids, "left_semi").select(F.col("_key").alias("_reference"), F.col("embedding").alias("_vector"))
+    hits = knn_search(vectors.select("_key", "embedding"), queries, top_k, id_col="_key", qid="_reference", qvec="_vector", max_query_bytes=max_query_bytes, others=True)
+    kept = hits.filter(F.col("distance") <= 1.0 - min_similarity)
     order = Window.partitionBy("_reference").orderBy("distance", "_key")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     shown = ranked.select(
