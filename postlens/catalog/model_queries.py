@@ -121,25 +121,25 @@ def _(t):
 
 def _labelled_docs(t):
     labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_id"))
-    return t.documents.join(labels, "doc_id").withColumn("pay", F.col("n_chars").cast("double"))
+    return t.documents.join(labels, "doc_id", "left").withColumn("pay", F.col("n_chars").cast("double"))
 
 
 _labels_sql = (
-    "WITH d AS (SELECT e.label AS cluster_id, d.* FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), "
-    "f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS rn FROM d), "
+    "WITH d AS (SELECT e.label AS cluster_id, d.* FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS rn FROM d WHERE cluster_id IS NOT NULL), "
     "w AS (SELECT cluster_id, rn, unnest(string_split_regex(lower(text), '\\s+')) AS word, generate_subscripts(string_split_regex(lower(text), '\\s+'), 1) AS pos FROM f), "
     "c AS (SELECT cluster_id, word, count(*) AS n, min(rn * 1000000 + pos) AS seen FROM w WHERE length(word) > 2 AND word NOT IN "
     "('the', 'a', 'an', 'and', 'or', 'in', 'at', 'for', 'to', 'of', '-') GROUP BY ALL), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, seen) AS r FROM c QUALIFY r <= 3), "
     "s AS (SELECT cluster_id, string_agg(word, ' / ' ORDER BY r) AS joined FROM k GROUP BY 1), "
     "y AS (SELECT i::INTEGER AS cluster_id, coalesce(array_to_string(list_transform(range(1, length(joined) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(joined[i - 1], "
-    "'[\\p{Lu}\\p{Ll}\\p{Lt}]') THEN upper(joined[i]) ELSE joined[i] END), ''), 'Cluster ' || i) AS cluster_name FROM range(12) g(i) LEFT JOIN s ON s.cluster_id = i) "
+    "'[\\p{Lu}\\p{Ll}\\p{Lt}]') THEN upper(joined[i]) ELSE joined[i] END), ''), 'Cluster ' || i) AS cluster_name FROM range(12) g(i) LEFT JOIN s ON s.cluster_id = i UNION ALL SELECT NULL, 'No cluster') "
 )
 
 
 @query("cluster_labels", _labels_sql + "SELECT * FROM y")
 def _(t):
-    return models.cluster_labels(_labelled_docs(t), "cluster_id", "text", "doc_id", 12)
+    return models.cluster_labels(_labelled_docs(t), "cluster_id", "text", "doc_id", 12, unassigned="No cluster")
 
 
 @query(
@@ -148,11 +148,11 @@ def _(t):
     "top AS (SELECT cluster_id, source, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, source) AS r FROM z QUALIFY r = 1), "
     "a AS (SELECT cluster_id, count(*) AS n, round(avg(n_chars), 0) AS avg_salary, round(quantile_cont(n_chars::DOUBLE, 0.5), 0) AS median_salary FROM d GROUP BY 1) "
     "SELECT y.cluster_id, cluster_name, coalesce(n, 0) AS count, round(coalesce(n, 0) * 100.0::DOUBLE / (SELECT count(*) FROM d), 1) AS pct, avg_salary, median_salary, "
-    "coalesce(source, 'N/A') AS top_location FROM y LEFT JOIN a USING (cluster_id) LEFT JOIN top USING (cluster_id)",
+    "coalesce(source, 'N/A') AS top_location FROM y LEFT JOIN a ON a.cluster_id IS NOT DISTINCT FROM y.cluster_id LEFT JOIN top ON top.cluster_id IS NOT DISTINCT FROM y.cluster_id",
 )
 def _(t):
     docs = _labelled_docs(t)
-    return models.cluster_stats(docs, "cluster_id", "pay", "source", models.cluster_labels(docs, "cluster_id", "text", "doc_id", 12))
+    return models.cluster_stats(docs, "cluster_id", "pay", "source", models.cluster_labels(docs, "cluster_id", "text", "doc_id", 12, unassigned="No cluster"))
 
 
 @query(

@@ -112,12 +112,15 @@ def elbow(df: DataFrame, vec: str, low: int = 5, high: int = 20, seed: int = 42,
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
-def cluster_labels(df: DataFrame, cluster: str, title: str, order: str, n_clusters: int, sample: int | None = None, words: int = 3) -> DataFrame:
+def cluster_labels(
+    df: DataFrame, cluster: str, title: str, order: str, n_clusters: int, sample: int | None = None, words: int = 3, unassigned: str | None = None
+) -> DataFrame:
     """Name per cluster: its most frequent title words, over all titles or the first ``sample`` in order.
 
-    Equal counts go to the word seen first. Clusters without words are called 'Cluster i'.
+    Equal counts go to the word seen first. Clusters without words are called 'Cluster i'. Rows whose cluster is null
+    name none; with ``unassigned`` they get a last row of that name, whose cluster is null.
     """
-    titled = df.filter(F.coalesce(F.col(title), F.lit("")) != "").select(cluster, title, F.col(order).alias("_rn"))
+    titled = df.filter((F.coalesce(F.col(title), F.lit("")) != "") & F.col(cluster).isNotNull()).select(cluster, title, F.col(order).alias("_rn"))
     if sample is not None:
         titled = titled.withColumn("_k", F.row_number().over(Window.partitionBy(cluster).orderBy("_rn"))).filter(F.col("_k") <= sample)
     spoken = titled.select(cluster, "_rn", F.posexplode(F.split(F.lower(title), "(?U)\\s+")).alias("_pos", "_word"))
@@ -130,17 +133,27 @@ def cluster_labels(df: DataFrame, cluster: str, title: str, order: str, n_cluste
     )
     every = df.sparkSession.range(n_clusters).select(F.col("id").cast("int").alias(cluster))
     label = F.coalesce(title_case(F.col("_label")), F.concat(F.lit("Cluster "), F.col(cluster).cast("string")))
-    return every.join(named, cluster, "left").select(cluster, label.alias("cluster_name"))
+    labels = every.join(named, cluster, "left").select(cluster, label.alias("cluster_name"))
+    if unassigned is None:
+        return labels
+    return labels.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("int").alias(cluster), F.lit(unassigned).alias("cluster_name")))
 
 
 def cluster_stats(df: DataFrame, cluster: str, pay: str, location: str, labels: DataFrame) -> DataFrame:
-    """Size, share, mean and median pay and most common location of every cluster, empty ones included."""
+    """Size, share, mean and median pay and most common location of every cluster of ``labels``, empty ones included.
+
+    Rows without a cluster count in all shares, and have a row of their own where ``labels`` names them.
+    """
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.withColumnRenamed(cluster, "_c"), F.col(cluster).eqNullSafe(F.col("_c")), "left").drop("_c")
+
     total = df.count()
     sizes = df.groupBy(cluster).agg(F.count("*").alias("count"), F.round(F.avg(pay), 0).alias("avg_salary"))
     medians = exact_quantiles(df, pay, [0.5], [cluster]).select(cluster, F.round("q0", 0).alias("median_salary"))
     places = df.filter(F.col(location).isNotNull()).groupBy(cluster, location).agg(F.count("*").alias("_n"))
     top = places.groupBy(cluster).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(location).alias("place")))["place"].alias("top_location"))
-    joined = labels.join(sizes, cluster, "left").join(medians, cluster, "left").join(top, cluster, "left")
+    joined = beside(beside(beside(labels, sizes), medians), top)
     return joined.select(
         cluster,
         "cluster_name",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,13 @@ def _rounded(col: Column, digits: int = 2) -> Column:
     return F.round(F.nullif(col, F.lit(0.0)), digits)
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, where null equals null."""
+    told = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(told, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -32,7 +41,7 @@ def exact_quantiles(
 
     They are interpolated between two ranks, or with ``discrete`` the value at rank ceil(p * n). Rows are added up to
     counts of distinct values, which are written in ranges of (group, value). The sums of the ranges tell in which of them
-    each wanted rank lies, and only those ranges are ranked, each by itself, so that no group is held or sorted whole. ``accuracy`` has no effect; callers may still give it.
+    each wanted rank lies, and only those ranges are ranked, each by itself, so that no group is held or sorted whole. A null group is a group. ``accuracy`` has no effect; callers may still give it.
     """
     also = also or {}
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
@@ -49,16 +58,17 @@ def exact_quantiles(
     here = (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("size"))
     asked = parts.select(*keys, "size", "start", "n", F.inline(F.array(*ends))).filter(here).distinct()
     running = Window.partitionBy(*keys).orderBy("_v")
-    held = counts.join(asked.select(*keys).distinct(), keys, "left_semi").withColumn("upto", F.sum("c").over(running))
+    held = _beside(counts, asked.select(*keys).distinct(), keys, "left_semi").withColumn("upto", F.sum("c").over(running))
     inside = F.col("rank") - F.col("start")
-    met = held.join(asked, keys).filter((F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto")))
+    met = _beside(held, asked, keys, "inner").filter((F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto")))
     picked = met.groupBy(*group, "n", "i", "at").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
     found = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
     quantiles = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("i") == i, found)).alias(f"q{i}") for i in range(len(probs))])
     if not also:
         return quantiles
     valued = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    return valued.groupBy(*group).agg(*[c.alias(name) for name, c in also.items()]).join(quantiles, group)
+    totals = valued.groupBy(*group).agg(*[c.alias(name) for name, c in also.items()])
+    return _beside(totals, quantiles, group, "inner") if group else totals.join(quantiles)
 
 
 def group_salary_stats(

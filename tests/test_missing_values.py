@@ -48,3 +48,18 @@ def test_quantiles_of_one_hot_value_and_of_many_groups(spark):
         values = sorted(float(i * k) for k in range(i % 7 + 1))
         assert found[f"g{i}"]["q1"] == (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
     assert stats.exact_quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_quantiles_of_a_null_group(spark, rows):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 4.0), ("a", 3.0), ("a", None), ("b", None)], "g string, v double")
+    assert rows(stats.exact_quantiles(df, "v", [0.5], ["g"])) == [("a", 1, 3.0), (None, 3, 2.0)]
+    totals = stats.exact_quantiles(df, "v", [0.5], ["g"], also={"s": F.sum("v")})
+    assert rows(totals.select("g", "s", "q0")) == [("a", 3.0, 3.0), (None, 7.0, 2.0)]
+
+
+def test_rows_without_a_cluster(spark):
+    df = spark.createDataFrame([(0, "cook", 1.0, "x", 1), (None, "driver", 3.0, "y", 2), (None, None, 5.0, None, 3)], "c int, t string, pay double, place string, id int")
+    labels = models.cluster_labels(df, "c", "t", "id", 2, unassigned="none")
+    got = {r.c: (r.cluster_name, r["count"], r.pct, r.avg_salary, r.median_salary, r.top_location) for r in models.cluster_stats(df, "c", "pay", "place", labels).collect()}
+    assert got == {0: ("Cook", 1, 33.3, 1.0, 1.0, "x"), 1: ("Cluster 1", 0, 0.0, None, None, "N/A"), None: ("none", 2, 66.7, 4.0, 4.0, "y")}
+    assert {r.c for r in models.cluster_labels(df, "c", "t", "id", 2).collect()} == {0, 1}
