@@ -8,11 +8,12 @@ from postlens.catalog import fixtures as fx
 from postlens.catalog.ingest_queries import _cleaned_sql, _status
 from postlens.catalog.registry import query
 from postlens.functions import fixed
+from postlens.functions.vectors import norm
 from postlens.operators import embed
 from postlens.plans import ingest
 from postlens.session import scratch_dir
 from postlens.sources.jsonl import raw_jobs
-from postlens.streaming import jobs
+from postlens.streaming import jobs, keyed
 
 
 def _written_runs(t) -> str:
@@ -114,6 +115,33 @@ def _(t):
     return stored.groupBy("model_name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("jobs"))
 
 
+@query(
+    "stream_embed_unseen",
+    "SELECT doc_id, 'hashing-384' AS model_name, 384 AS dims, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length "
+    "FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+)
+def _(t):
+    """Documents come as a stream, and so do the keys that have a vector already."""
+    target, doc = scratch_dir(t.spark, "unseen"), t.documents.schema
+    docs = t.spark.readStream.schema(doc).parquet(f"{t.folder}/documents.parquet*")
+    stored = t.spark.readStream.schema(t.embeddings.schema).parquet(f"{t.folder}/embeddings.parquet*").select(F.col("vec_id").alias("doc_id"))
+    keyed.stream_embed_unseen(
+        docs, ["doc_id"], ["n_chars"], "text", embed.hashing_embedder(), "hashing-384", target, scratch_dir(t.spark, "unseen-state"), stored
+    ).awaitTermination()
+    rows = t.spark.read.schema("doc_id bigint, model_name string, embedding array<float>, created_at timestamp").parquet(target)
+    return rows.select("doc_id", "model_name", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 4).alias("length"))
+
+
+@query("stream_silence_timer", "SELECT user_id, max(ts) AS silent_from, count(*) AS n FROM events GROUP BY user_id")
+def _(t):
+    """All events arrive, then nothing does: every user is reported two seconds later."""
+    path = scratch_dir(t.spark, "timers")
+    alerts = keyed.silence_timers(_event_stream(t), ["user_id"], "ts", 2000)
+    keyed.stop_when_silent(jobs.start_table(alerts, path, scratch_dir(t.spark, "timers-state"), "1 second"), 3600)
+    stored = t.spark.read.schema(alerts.schema).parquet(path)
+    return stored.select("user_id", F.col("silent_from").cast("timestamp_ntz").alias("silent_from"), "n")
+
+
 @query("stream_dedup", "SELECT event_type, user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL")
 def _(t):
     twice = _event_stream(t).unionByName(_event_stream(t))
