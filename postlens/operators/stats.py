@@ -45,25 +45,25 @@ def exact_quantiles(
     """
     also = also or {}
     base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    counts = base.groupBy(*group, "_v").agg(F.count("*").alias("c")).repartitionByRange(*group, "_v")
-    counts = materialise(counts.withColumn("part", F.spark_partition_id()), "value-counts")
-    keys = [*group, "part"]
-    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = base.groupBy(*group, "_v").agg(F.count("*").alias("_count")).repartitionByRange(*group, "_v")
+    counts = materialise(counts.withColumn("_part", F.spark_partition_id()), "value-counts")
+    keys = [*group, "_part"]
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     of_group = Window.partitionBy(*group)
-    parts = counts.groupBy(*keys).agg(F.sum("c").alias("size")).select(
-        *keys, "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(of_group).alias("n")
+    parts = counts.groupBy(*keys).agg(F.sum("_count").alias("_size")).select(
+        *keys, "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"), F.sum("_size").over(of_group).alias("n")
     )
     ranked_at = [F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) - 1 if discrete else F.lit(p) * (F.col("n") - 1) for p in probs]
-    ends = [F.struct(F.lit(i).alias("i"), at.cast("double").alias("at"), end(at).cast("long").alias("rank")) for i, at in enumerate(ranked_at) for end in (F.floor, F.ceil)]
-    here = (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("size"))
-    asked = parts.select(*keys, "size", "start", "n", F.inline(F.array(*ends))).filter(here).distinct()
+    ends = [F.struct(F.lit(i).alias("_i"), at.cast("double").alias("_at"), end(at).cast("long").alias("_rank")) for i, at in enumerate(ranked_at) for end in (F.floor, F.ceil)]
+    here = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_size"))
+    asked = parts.select(*keys, "_size", "_start", "n", F.inline(F.array(*ends))).filter(here).distinct()
     running = Window.partitionBy(*keys).orderBy("_v")
-    held = _beside(counts, asked.select(*keys).distinct(), keys, "left_semi").withColumn("upto", F.sum("c").over(running))
-    inside = F.col("rank") - F.col("start")
-    met = _beside(held, asked, keys, "inner").filter((F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto")))
-    picked = met.groupBy(*group, "n", "i", "at").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
-    found = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
-    quantiles = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("i") == i, found)).alias(f"q{i}") for i in range(len(probs))])
+    held = _beside(counts, asked.select(*keys).distinct(), keys, "left_semi").withColumn("_upto", F.sum("_count").over(running))
+    inside = F.col("_rank") - F.col("_start")
+    met = _beside(held, asked, keys, "inner").filter((F.col("_upto") - F.col("_count") <= inside) & (inside < F.col("_upto")))
+    picked = met.groupBy(*group, "n", "_i", "_at").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    found = F.col("low") + (F.col("high") - F.col("low")) * (F.col("_at") - F.floor("_at"))
+    quantiles = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, found)).alias(f"q{i}") for i in range(len(probs))])
     if not also:
         return quantiles
     valued = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))

@@ -30,9 +30,11 @@ def _packed(keys: list[str]):
 
 
 def _unpacked(df: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    schema = source.select(*keys).schema
+    """Keys as columns again. The generator makes rows of the kind that a Pandas UDF takes; the state operator's are not."""
     rest = [c for c in df.columns if c != KEY]
-    return df.withColumn(KEY, F.from_json(KEY, schema)).select(*[F.col(KEY)[k].alias(k) for k in keys], *rest)
+    packed = F.struct(F.from_json(KEY, source.select(*keys).schema).alias(KEY), *rest)
+    row = F.col("_row")
+    return df.select(F.explode(F.array(packed)).alias("_row")).select(*[row[KEY][k].alias(k) for k in keys], *[row[c].alias(c) for c in rest])
 
 
 def _newest_of_batch(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
