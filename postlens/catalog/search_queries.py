@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlens.catalog.registry import query
 from postlens.functions.fixed import NO_RESULT_ADVICE
 from postlens.functions.vectors import norm
-from postlens.operators import embed, grading, ivf, pq, search
+from postlens.operators import embed, fitted, grading, ivf, pq, search
 from postlens.operators.neighbours import neighbour_graph
 from postlens.plans.answers import answer_inputs, answer_rounds
 from postlens.session import materialise
@@ -428,3 +428,12 @@ def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 4).alias("rewrite_count")).join(vectors, "query_id", "left")
     done = answer_rounds(asked, corpus(t), jobs(t), _columns, score=_score())
     return done.drop("decision", "reasons").withColumn("average_score", F.round("average_score", 6))
+
+
+@query("fitted_search")
+def _(t):
+    """Benchmark texts against all documents, both embedded by a model fitted to the documents."""
+    embedder = fitted.fit_embedding(t.documents, "text").embedder(t.spark)
+    stored = materialise(embedder(t.documents, "text", "embedding").select(F.col("doc_id").alias("vec_id"), "embedding"), "fitted")
+    asked = embed.embed_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), embedder).select("query_id", "embedding")
+    return _shown(search.knn_search(stored, asked, 10))
