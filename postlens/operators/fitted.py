@@ -2,7 +2,8 @@
 
 Words are hashed to ``features`` buckets, so the model has a fixed size (features x dim floats) whatever the corpus, and
 that is all that the driver or a broadcast holds. The corpus is read whole, once per pass of the subspace iteration; each
-task adds up its rows and sends one row per bucket.
+task adds up its rows and sends one row per bucket. A pass has no more tasks than there are cores, whatever the number of
+files or splits, so that what it shuffles is bounded by cores x model.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray, back: bool) -> np
         for part in np.array_split(used, max(1, len(used) // 1000)):
             yield pd.DataFrame({"at": part.astype(np.int32), "sums": list(total[part])})
 
-    partial = rows.mapInPandas(add, "at int, sums array<double>")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    partial = rows.coalesce(cores).mapInPandas(add, "at int, sums array<double>")
     summed = partial.groupBy("at").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
     total = np.zeros((len(idf) if back else basis.shape[1], basis.shape[1]))
     for r in summed.collect():

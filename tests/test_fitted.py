@@ -79,3 +79,19 @@ def test_nothing_to_fit(spark):
     model = fitted.fit_embedding(empty, "text", 3, 64)
     assert [r["v"] for r in model.embedder(spark)(empty, "text", "v").collect()] == [[0.0] * 3] * 2
     assert fitted.fit_embedding(empty.limit(0), "text", 3, 64).vectors.shape == (64, 3)
+
+
+def test_a_pass_has_no_more_tasks_than_cores(spark, docs, monkeypatch):
+    """Every task of a pass sends a whole model's rows, so many small files must not make many tasks."""
+    taken, plain = [], type(docs).mapInPandas
+
+    def watched(df, *args, **named):
+        taken.append(df.rdd.getNumPartitions())
+        return plain(df, *args, **named)
+
+    rows = docs.repartition(60).select(fitted.word_buckets("text", FEATURES).alias("ids"))
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(FEATURES, 4)))[0]
+    want = fitted._pass(docs.coalesce(1).select(fitted.word_buckets("text", FEATURES).alias("ids")), np.ones(FEATURES), basis, True)
+    monkeypatch.setattr(type(docs), "mapInPandas", watched)
+    assert np.allclose(fitted._pass(rows, np.ones(FEATURES), basis, True), want)
+    assert taken and max(taken) <= spark.sparkContext.defaultParallelism
