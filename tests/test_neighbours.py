@@ -69,3 +69,23 @@ def test_similar_items_of_a_key_with_several_vectors(spark, most):
     assert {(r["reference_vec_id"], r["rank"], r["vec_id"]) for r in found if r["reference_vec_id"] == 1} == {(1, 1, 2), (1, 2, 3)}
     near = similar_items(corpus, corpus.select("vec_id"), top_k=1, max_query_bytes=most).collect()
     assert {(r["reference_vec_id"], r["vec_id"]) for r in near} == {(1, 2), (2, 1)}
+
+
+def test_best_rows_are_kept_in_tiles_of_queries(monkeypatch):
+    """No slice is scored against more queries than a tile has, and the best are those of one whole sort, ties by id."""
+    from postlens.operators import search
+
+    rng = np.random.default_rng(5)
+    rows, queries = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(-2, 3, (70, 3)).astype(float)
+    ids, seen, plain = rng.permutation(300) + 10, [], search.distances
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 16)
+    monkeypatch.setattr(search, "distances", lambda r, q, m: seen.append(len(q)) or plain(r, q, m))
+    for kind in (np.int64, object):
+        best = search.Best(4, len(queries))
+        for part in np.array_split(np.arange(300), 7):
+            search.score_into(best, ids[part].astype(kind), rows[part], queries, "cosine", own={12: [3], 15: [60]})
+        whole = plain(rows, queries, "cosine")
+        whole[np.flatnonzero(ids == 12), 3] = whole[np.flatnonzero(ids == 15), 60] = np.inf
+        want = [(q, i, whole[np.flatnonzero(ids == i)[0], q]) for q in range(70) for i in sorted(ids.tolist(), key=lambda i: (whole[np.flatnonzero(ids == i)[0], q], i))[:4]]
+        assert list(zip(*best.rows(list(range(70))))) == want
+    assert max(seen) <= 16
