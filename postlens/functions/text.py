@@ -40,7 +40,16 @@ _OTHER_ENTITY = "&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)[#A-Za-z]"
 # Characters that canonical composition leaves alone and whose category Java and Python agree on:
 # Latin, basic Cyrillic, common punctuation and currency signs, CJK ideographs and Hangul syllables.
 _STABLE_TEXT = "\\x00-\\u02ff\\u0400-\\u0482\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3001-\\u3029\\u4e00-\\u9fd5\\uac00-\\ud7a3"
-_UNSTABLE = f"[^{_STABLE_TEXT}]"
+# Most characters are settled by the first range; the others alone are held against all of them.
+_UNSTABLE = f"[\\x80-\\x{{10ffff}}&&[^{_STABLE_TEXT}]]"
+
+
+def _is_odd(col: Column) -> Column:
+    """Whether a text has entities beyond the common ones or characters that need Unicode composition.
+
+    One pattern with both alternatives would try each of them at every character.
+    """
+    return (F.contains(col, F.lit("&")) & col.rlike(_OTHER_ENTITY)) | col.rlike(_UNSTABLE)
 
 
 def _drop_controls(text: str) -> str:
@@ -128,8 +137,7 @@ def with_clean_descriptions(df: DataFrame, columns: dict[str, str]) -> DataFrame
     """
     plain = {col: f"_plain_{i}" for i, col in enumerate(columns)}
     df = pin(df, **{name: F.coalesce(drop_tags(F.col(col)), F.lit("")) for col, name in plain.items()})
-    odd = f"{_OTHER_ENTITY}|{_UNSTABLE}"
-    df = df.withColumns({f"{name}_rare": _unescape_compose_any(F.when(F.col(name).rlike(odd), F.col(name))) for name in plain.values()})
+    df = df.withColumns({f"{name}_rare": _unescape_compose_any(F.when(_is_odd(F.col(name)), F.col(name))) for name in plain.values()})
     whole = {columns[col]: F.coalesce(F.col(f"{name}_rare"), _jvm_compose(_jvm_unescape(F.col(name)))) for col, name in plain.items()}
     df = df.withColumns({out: normalize_whitespace(value) for out, value in whole.items()})
     return df.drop(*plain.values(), *[f"{name}_rare" for name in plain.values()])

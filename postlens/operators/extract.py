@@ -31,6 +31,9 @@ A_OBJECTS = [
 B_OBJECTS = ["$.metadata", "$.address", "$.postedCompany", "$.postedCompany._links"]
 B_LISTS = ["$.address.districts", "$.categories", "$.employmentTypes"]
 
+#: Fields that one generated method reads; the JVM leaves methods of over 8000 bytes to its interpreter.
+FIELDS_AT_ONCE = 4
+
 
 def or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
@@ -245,7 +248,9 @@ def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
     staged = pin(pin(pin(raw, _v=F.try_parse_json(payload)), _data=data), reject=reject).drop("_v")
     from_a, from_b = _fields_a(d), _fields_b(d)
     usable = F.col("reject").isNull()
-    staged = pin(staged, **{f"_{name}": F.when(usable, F.when(is_a, from_a[name]).otherwise(from_b[name])) for name in FIELDS})
+    for i in range(0, len(FIELDS), FIELDS_AT_ONCE):
+        some = FIELDS[i : i + FIELDS_AT_ONCE]
+        staged = pin(staged, **{f"_{name}": F.when(usable, F.when(is_a, from_a[name]).otherwise(from_b[name])) for name in some})
     missing = (or_empty(F.col("_job_id")) == "") | (or_empty(F.col("_job_title")) == "")
     carried = [F.col(c) for c in raw.columns if c not in FIELDS]
     return staged.select(
