@@ -413,7 +413,7 @@ def _(t):
     "round(count(*) FILTER (reject IS NULL) * 100.0::DOUBLE / count(*), 1) AS success_pct FROM q GROUP BY 1",
 )
 def _(t):
-    return stats.success_rate(extract.extract_fields(fx.raw_postings(t)), "source", F.col("reject").isNull())
+    return stats.success_rate(extract.extract_fields(fx.raw_postings(t), fields=[]), "source", F.col("reject").isNull())
 
 
 @query(

@@ -31,6 +31,9 @@ A_OBJECTS = [
 B_OBJECTS = ["$.metadata", "$.address", "$.postedCompany", "$.postedCompany._links"]
 B_LISTS = ["$.address.districts", "$.categories", "$.employmentTypes"]
 
+#: Fields without which a posting is of no use.
+REQUIRED = ["job_id", "job_title"]
+
 #: Fields that one generated method reads; the JVM leaves methods of over 8000 bytes to its interpreter.
 FIELDS_AT_ONCE = 4
 
@@ -229,8 +232,8 @@ def _bad_structure(d: Column, is_a: Column) -> Column:
     return F.when(is_a, _any([not_object(d, p) for p in A_OBJECTS])).otherwise(in_b)
 
 
-def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add the 15 fields of a posting and ``reject``, the reason a row cannot be used (null if it can).
+def extract_fields(raw: DataFrame, payload: str = "payload", fields: list[str] | None = None) -> DataFrame:
+    """Add the 15 fields of a posting, or those named, and ``reject``, the reason a row cannot be used (null if it can).
 
     Both sources are read in one pass. Source A unwraps ``raw`` when it is an object, source B whenever
     the key is there. Shapes on which the fields cannot be read reject the row.
@@ -248,15 +251,16 @@ def extract_fields(raw: DataFrame, payload: str = "payload") -> DataFrame:
     staged = pin(pin(pin(raw, _v=F.try_parse_json(payload)), _data=data), reject=reject).drop("_v")
     from_a, from_b = _fields_a(d), _fields_b(d)
     usable = F.col("reject").isNull()
-    for i in range(0, len(FIELDS), FIELDS_AT_ONCE):
-        some = FIELDS[i : i + FIELDS_AT_ONCE]
+    wanted = FIELDS if fields is None else [f for f in FIELDS if f in {*fields, *REQUIRED}]
+    for i in range(0, len(wanted), FIELDS_AT_ONCE):
+        some = wanted[i : i + FIELDS_AT_ONCE]
         staged = pin(staged, **{f"_{name}": F.when(usable, F.when(is_a, from_a[name]).otherwise(from_b[name])) for name in some})
     missing = (or_empty(F.col("_job_id")) == "") | (or_empty(F.col("_job_title")) == "")
     carried = [F.col(c) for c in raw.columns if c not in FIELDS]
     return staged.select(
         *carried,
         F.coalesce(F.col("reject"), F.when(missing, "missing_required")).alias("reject"),
-        *[F.col(f"_{name}").alias(name) for name in FIELDS],
+        *[F.col(f"_{name}").alias(name) for name in FIELDS if fields is None or name in fields],
     )
 
 
@@ -306,7 +310,7 @@ def clean_jobs(raw: DataFrame, ingested: Column | None = None) -> DataFrame:
 
 def rejected_jobs(raw: DataFrame) -> DataFrame:
     """The rows ``clean_jobs`` leaves out, with the reason."""
-    return extract_fields(raw.withColumn("_raw_job_id", F.col("job_id"))).filter("reject IS NOT NULL").select(
+    return extract_fields(raw.withColumn("_raw_job_id", F.col("job_id")), fields=[]).filter("reject IS NOT NULL").select(
         "source", F.col("_raw_job_id").alias("job_id"), "reject"
     )
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
-from postlens.operators import extract
+from postlens.operators import extract, models
 
 
 def longest_method(df):
@@ -42,3 +42,12 @@ def test_odd_characters_are_found_fast(spark):
         return min(took)
 
     assert seconds(tx._is_odd(F.col("t"))) < seconds(F.col("t").rlike(plain)) / 2
+
+
+def test_rejected_rows_read_two_fields(spark):
+    raw = raw_rows(spark)
+    plan = extract.rejected_jobs(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.job.title" in plan and "$.job.content" not in plan
+    assert sorted(r["job_id"] for r in extract.rejected_jobs(raw).collect()) == ["3", "4"]
+    every = extract.extract_fields(raw).select("reject", "job_title").collect()
+    assert extract.extract_fields(raw, fields=["job_title"]).select("reject", "job_title").collect() == every
