@@ -15,8 +15,9 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from postlens.functions.fixed import LABEL_STOP_WORDS
 from postlens.functions.text import title_case
@@ -112,6 +113,18 @@ def elbow(df: DataFrame, vec: str, low: int = 5, high: int = 20, seed: int = 42,
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
+def _place(df: DataFrame, row: str, pos: str) -> Column:
+    """The order of (row, position), null rows first.
+
+    For whole numbers it is one number: an aggregate hashes rows by their group if all it keeps has a fixed size, while for
+    a struct it sorts every row that it reads.
+    """
+    if not isinstance(df.schema[row].dataType, IntegralType):
+        return F.struct(row, pos)
+    number = F.coalesce(F.col(row).cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+    return number * F.lit(2**31).cast("decimal(10,0)") + F.col(pos)
+
+
 def cluster_labels(
     df: DataFrame, cluster: str, title: str, order: str, n_clusters: int, sample: int | None = None, words: int = 3, unassigned: str | None = None
 ) -> DataFrame:
@@ -125,7 +138,7 @@ def cluster_labels(
         titled = titled.withColumn("_k", F.row_number().over(Window.partitionBy(cluster).orderBy("_rn"))).filter(F.col("_k") <= sample)
     spoken = titled.select(cluster, "_rn", F.posexplode(F.split(F.lower(title), "(?U)\\s+")).alias("_pos", "_word"))
     spoken = spoken.filter((F.length("_word") > 2) & ~F.col("_word").isin(LABEL_STOP_WORDS))
-    counts = spoken.groupBy(cluster, "_word").agg(F.count("*").alias("_n"), F.min(F.struct("_rn", "_pos")).alias("_seen"))
+    counts = spoken.groupBy(cluster, "_word").agg(F.count("*").alias("_n"), F.min(_place(spoken, "_rn", "_pos")).alias("_seen"))
     best = Window.partitionBy(cluster).orderBy(F.desc("_n"), "_seen")
     top = counts.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= words)
     named = top.groupBy(cluster).agg(

@@ -51,3 +51,15 @@ def test_rejected_rows_read_two_fields(spark):
     assert sorted(r["job_id"] for r in extract.rejected_jobs(raw).collect()) == ["3", "4"]
     every = extract.extract_fields(raw).select("reject", "job_title").collect()
     assert extract.extract_fields(raw, fields=["job_title"]).select("reject", "job_title").collect() == every
+
+
+def test_words_of_clusters_are_counted_by_hash(spark):
+    """Equal counts go to the word seen first, also below zero and without a row number."""
+    rows = [(0, 5, "beta alpha"), (0, -3, "gamma delta gamma"), (0, 7, "alpha beta delta"), (1, None, "omega sigma"), (1, -(2**63), "sigma omega"), (1, 2**63 - 1, "kappa")]
+    titled = spark.createDataFrame(rows, "c int, n long, title string")
+    labels = models.cluster_labels(titled, "c", "title", "n", 2)
+    assert "SortAggregate" not in labels.select("cluster_name")._jdf.queryExecution().sparkPlan().toString()
+    named = sorted((r["c"], r["cluster_name"]) for r in labels.collect())
+    assert named == [(0, "Gamma / Delta / Beta"), (1, "Omega / Sigma / Kappa")]
+    by_text = titled.withColumn("n", F.col("n").cast("string"))
+    assert models.cluster_labels(by_text, "c", "title", "n", 2).count() == 2
