@@ -26,7 +26,11 @@ def _start(df: DataFrame, path: str, checkpoint: str, trigger: str | None, parti
 
 
 def dump_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """Raw jobs of every new raw/{source}/{run}/dump.jsonl* file, tagged from its path."""
+    """Raw jobs of every new raw/{source}/{run}/dump.jsonl* file, tagged from its path.
+
+    A gzipped file is read by one task whatever its size, and a batch may have one file only. Its lines are dealt to all
+    cores before they are parsed.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -35,7 +39,8 @@ def dump_stream(spark: SparkSession, root: str, files_per_batch: int | None = No
         F.regexp_extract("_metadata.file_path", DUMP_PATH, 1).alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
-    tagged = tag_run(lines, "path", "modified").filter("run_status = 'ok'")
+    dealt = lines.repartition(spark.sparkContext.defaultParallelism)
+    tagged = tag_run(dealt, "path", "modified").filter("run_status = 'ok'")
     return parse_raw_lines(tagged, F.col("run_source"), F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 

@@ -1,11 +1,13 @@
 """What keeps the cost of a row down on large tables: read off plans and compared with the plain form."""
 
+import gzip
 import time
 
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
 from postlens.operators import extract, models
+from postlens.streaming import jobs
 
 
 def longest_method(df):
@@ -63,3 +65,14 @@ def test_words_of_clusters_are_counted_by_hash(spark):
     assert named == [(0, "Gamma / Delta / Beta"), (1, "Omega / Sigma / Kappa")]
     by_text = titled.withColumn("n", F.col("n").cast("string"))
     assert models.cluster_labels(by_text, "c", "title", "n", 2).count() == 2
+
+
+def test_one_dump_is_parsed_by_several_tasks(spark, tmp_path):
+    folder = tmp_path / "raw" / "mcf" / "2024-02-03_040506"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "dump.jsonl.gz", "wt") as dump:
+        dump.writelines(f'{{"job_id": "{i}", "payload": {{"title": "Chef {i}"}}}}\n' for i in range(500))
+    jobs.stream_ingest(spark, str(tmp_path), str(tmp_path / "table"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
+    assert len(list((tmp_path / "table" / "date=2024-02-03").glob("part-*"))) > 1
+    stored = spark.read.parquet(str(tmp_path / "table"))
+    assert sorted(int(r["job_id"]) for r in stored.collect()) == list(range(500))
