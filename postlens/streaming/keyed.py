@@ -76,7 +76,9 @@ def unseen_texts(
         seen, best = state.exists, None
         for frame in frames:
             if not seen:
-                best = pd.concat([best, frame]).sort_values(by, ascending=ascending, na_position="last").iloc[:1]
+                if best is not None or len(frame) > 1:  # one row needs no sorting, which would take most of the time of a key
+                    frame = pd.concat([best, frame]).sort_values(by, ascending=ascending, na_position="last").iloc[:1]
+                best = frame
         state.update((True,))
         if forget_after is not None:
             state.setTimeoutDuration(forget_after)
