@@ -89,3 +89,47 @@ def test_best_rows_are_kept_in_tiles_of_queries(monkeypatch):
         want = [(q, i, whole[np.flatnonzero(ids == i)[0], q]) for q in range(70) for i in sorted(ids.tolist(), key=lambda i: (whole[np.flatnonzero(ids == i)[0], q], i))[:4]]
         assert list(zip(*best.rows(list(range(70))))) == want
     assert max(seen) <= 16
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot_product", "euclidean"])
+def test_graph_of_vectors_without_clusters_is_exact(spark, monkeypatch, metric):
+    """Where no two rows share many neighbours, local joins stop short of them; also in small tiles and parts."""
+    from postlens.operators import neighbours, search
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 1000)
+    monkeypatch.setattr(neighbours, "TILE_PART", (64, 300))
+    vectors = np.random.default_rng(7).standard_normal((3000, 64))
+    keys = np.r_[np.arange(2900), np.arange(100)]  # a hundred keys have two vectors, often in two tiles
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(keys, vectors)], SCHEMA)
+    dist = search.distances(vectors.astype(np.float32).astype(float), vectors.astype(np.float32).astype(float), metric)
+    dist = np.minimum.reduceat(dist[np.argsort(keys, kind="stable")], np.searchsorted(np.sort(keys), np.arange(2900)), axis=0)
+    dist = np.minimum.reduceat(dist[:, np.argsort(keys, kind="stable")], np.searchsorted(np.sort(keys), np.arange(2900)), axis=1)
+    np.fill_diagonal(dist, np.inf)
+    want = np.argsort(dist, axis=1)[:, :10]
+    found = neighbours.neighbour_graph(rows, 10, metric=metric, block_rows=64).toPandas().sort_values(["reference_vec_id", "rank"])
+    assert (found["vec_id"].to_numpy().reshape(2900, 10) == want).all()
+    assert found["distance"].to_numpy().reshape(2900, 10) == pytest.approx(np.take_along_axis(dist, want, axis=1), abs=1e-8)
+
+
+def test_local_joins_find_nine_in_ten(spark):
+    """The graph beyond ``exact_rows``, on vectors without clusters, against the exact one."""
+    vectors = np.random.default_rng(8).standard_normal((4000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    exact = {(r["reference_vec_id"], r["vec_id"]) for r in neighbour_graph(rows, 10).collect()}
+    near = neighbour_graph(rows, 10, block_rows=64, exact_rows=0).collect()
+    assert len(near) == 40000 and len(exact & {(r["reference_vec_id"], r["vec_id"]) for r in near}) >= 0.9 * 40000
+    pairs = [(i % 25, [float(x) for x in v[:8]]) for i, v in enumerate(vectors[:40])] + [(50, None), (51, [0.0] * 8)]
+    both = [neighbour_graph(spark.createDataFrame(pairs, SCHEMA), 5, exact_rows=most).select("reference_vec_id", "rank", F.round("distance", 6)) for most in (0, 1000)]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
+    assert neighbour_graph(spark.createDataFrame([], SCHEMA), exact_rows=-1).count() == 0
+
+
+def test_a_team_gets_each_vector_once(spark):
+    """Rows 0 and 1 share a team and a neighbour, which is sent to it once and introduced in both neighbourhoods."""
+    from postlens.operators import neighbours
+
+    rows = spark.createDataFrame([(i, i, [1.0, i / 10]) for i in range(4)], "at long, own long, vector array<float>")
+    graph = spark.createDataFrame([(0, 2, 0.9, True), (1, 2, 0.9, True), (0, 3, 0.9, True), (1, 3, 0.9, True)], neighbours.EDGES + ", fresh boolean")
+    made = neighbours.introductions(graph, rows, 2, "cosine", 1, 1)
+    told = [(r["at"], r["other"]) for r in made.collect()]
+    assert len(told) == len(set(told)) and {(2, 3), (3, 2)} <= set(told)
