@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postlens.catalog.registry import query
 from postlens.operators import features, models
 from postlens.plans.training import train_all
-from postlens.session import scratch_dir
+from postlens.session import materialise, scratch_dir
 
 AS_OF = dt.datetime(2001, 8, 2, 12)
 NUMBERS = ["salary_min", "salary_max", "salary_mid", "salary_range", "salary_min_log", "salary_max_log", "title_length", "days_since_posted"]
@@ -229,7 +229,7 @@ def _pay_rows(t):
 
 
 def _pay_model(t, kind, **changes):
-    rows = _pay_rows(t)
+    rows = materialise(_pay_rows(t), "pay")
     held_out = F.xxhash64("l_orderkey") % 5 == 0
     train, val = rows.filter(~held_out), rows.filter(held_out)
     model = models.train_pay_model(train, PAY_INPUTS, kind, None if kind == "linear" else val, **changes)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -28,6 +28,8 @@ from postlens.session import materialise
 GBT_DEFAULTS = {"trees": 500, "rate": 0.05, "leaves_depth": 5, "min_rows": 20, "row_share": 0.8, "column_share": "0.8", "seed": 42}
 SECOND_GBT_DEPTH = 6
 RIDGE_ALPHA = 1.0
+# Numbers of the rows that one task of a fit holds, and rows from which another core takes part.
+TASK_NUMBERS, CORE_ROWS = 1 << 22, 10_000
 COMPONENT_STEPS = [2, 10, 20, 50, 100, 384]
 
 
@@ -240,6 +242,21 @@ class PayModel:
         return spark.createDataFrame(ranked, shape)
 
 
+def in_small_parts(rows: DataFrame, label: str) -> DataFrame:
+    """Rows with ``features``, written once and dealt out so that a part holds a bounded number of them, of any input.
+
+    A learner keeps its rows in memory by these parts, which take many times the room of the files that they are read from.
+    The parts are kept on disk, or each of its passes would deal them anew; the caller gives them up by ``unpersist``.
+    """
+    stored = materialise(rows, label)
+    first, count = stored.first(), stored.count()
+    if first is None:
+        return stored.persist(StorageLevel.DISK_ONLY)
+    parts = -(-count * (first["features"].size + 16) // TASK_NUMBERS)
+    parts = max(parts, min(rows.sparkSession.sparkContext.defaultParallelism, -(-count // CORE_ROWS)))
+    return stored.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place").persist(StorageLevel.DISK_ONLY)
+
+
 def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt", validation: DataFrame | None = None, **changes) -> PayModel:
     """Boosted trees (``gbt``, or ``gbt_deep``) or ridge regression (``linear``) on (features, label).
 
@@ -267,7 +284,10 @@ def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt
     if validation is not None:
         learner = learner.setValidationIndicatorCol("is_validation")
         train = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
-    return PayModel(kind, learner.fit(train), feature_names, params)
+    train = in_small_parts(train.select("features", "label", *(["is_validation"] if validation is not None else [])), "fit")
+    model = learner.fit(train)
+    train.unpersist()
+    return PayModel(kind, model, feature_names, params)
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

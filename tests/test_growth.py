@@ -3,6 +3,7 @@
 import gzip
 import time
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
@@ -76,3 +77,25 @@ def test_one_dump_is_parsed_by_several_tasks(spark, tmp_path):
     assert len(list((tmp_path / "table" / "date=2024-02-03").glob("part-*"))) > 1
     stored = spark.read.parquet(str(tmp_path / "table"))
     assert sorted(int(r["job_id"]) for r in stored.collect()) == list(range(500))
+
+
+def test_a_part_of_a_fit_is_bounded(spark, monkeypatch):
+    """Rows that one task holds in memory do not grow with the table, and none is lost, also if the input is one part."""
+    monkeypatch.setattr(models, "TASK_NUMBERS", 18 * 100)
+    rows = spark.range(0, 3000, numPartitions=1).select(F.col("id").alias("label"), array_to_vector(F.array(F.lit(1.0), F.col("id").cast("double"))).alias("features"))
+    dealt = models.in_small_parts(rows, "fit")
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 200 and sum(sizes) == 3000
+    assert dealt.select("label").distinct().count() == 3000 and dealt.schema["features"] == rows.schema["features"]
+    assert models.in_small_parts(rows.limit(0), "fit").count() == 0
+
+
+def test_trees_are_fitted_on_bounded_parts(spark, monkeypatch):
+    """The learner gets the dealt rows, of training and validation, and no more of the table than it uses."""
+    seen = []
+    monkeypatch.setattr(models.GBTRegressor, "_fit", lambda self, rows: seen.append(rows))
+    monkeypatch.setattr(models, "TASK_NUMBERS", 17 * 50)
+    rows = spark.range(0, 1000, numPartitions=2).select(F.col("id").cast("double").alias("label"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), F.lit("x").alias("other"))
+    models.train_pay_model(rows.where("label % 5 > 0"), ["n"], validation=rows.where("label % 5 = 0"))
+    assert seen[0].rdd.getNumPartitions() >= 20 and seen[0].where("is_validation").count() == 200 and seen[0].count() == 1000
+    assert set(seen[0].columns) == {"features", "label", "is_validation"}
