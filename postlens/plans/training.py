@@ -14,11 +14,12 @@ def train_all(
 ) -> DataFrame:
     """Pay model, role classifier and clustering; artifacts under ``path``, one metrics row per figure.
 
-    ``pay`` and ``roles`` hold (features, label), ``vectors`` an embedding column. A fifth of ``pay`` decides when the
-    boosting stops.
+    ``pay`` and ``roles`` hold (features, label), ``vectors`` an embedding column. A fifth of ``pay``, drawn as its rows are
+    written, decides when the boosting stops. Rows are made once, as the learners and the metrics read them several times.
     """
-    pay = materialise(pay, "pay")
-    train, held_out = pay.randomSplit([0.8, 0.2], seed=42)
+    pay = materialise(pay.withColumn("_held_out", F.rand(seed=42) < 0.2), "pay")
+    train, held_out = pay.where(~F.col("_held_out")), pay.where("_held_out")
+    roles = materialise(roles.select("features", "label"), "roles")
     pay_model = train_pay_model(train, pay_features, validation=held_out, trees=trees)
     pay_row = regression_metrics(pay_model.predict(pay), "label", "prediction", "train_").first().asDict()
     save_artifacts(spark, pay_model.model, f"{path}/pay", {"kind": pay_model.kind, "features": ",".join(pay_features)}, pay_row)

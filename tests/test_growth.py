@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
 from postlens.operators import extract, models
+from postlens.plans import training
 from postlens.streaming import jobs
 
 
@@ -99,3 +100,21 @@ def test_trees_are_fitted_on_bounded_parts(spark, monkeypatch):
     models.train_pay_model(rows.where("label % 5 > 0"), ["n"], validation=rows.where("label % 5 = 0"))
     assert seen[0].rdd.getNumPartitions() >= 20 and seen[0].where("is_validation").count() == 200 and seen[0].count() == 1000
     assert set(seen[0].columns) == {"features", "label", "is_validation"}
+
+
+def test_training_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    """Neither table is computed again for a split, a pass of a learner or the metrics."""
+    made = {"pay": spark.sparkContext.accumulator(0), "roles": spark.sparkContext.accumulator(0)}
+
+    def counted(name, n):
+        rows = spark.range(0, n, numPartitions=2).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+        seen = F.udf(lambda x, of=made[name]: of.add(1) or x, "double")
+        return rows.select(array_to_vector(F.array(seen("x"), F.lit(1.0))).alias("features"), "label")
+
+    fitted, plain = [], training.train_pay_model
+    monkeypatch.setattr(training, "train_pay_model", lambda rows, names, validation, trees: fitted.extend([rows.count(), validation.count()]) or plain(rows, names, validation=validation, trees=trees))
+    vectors = spark.createDataFrame([([float(i), float(i % 3)],) for i in range(30)], "embedding array<double>")
+    done = training.train_all(spark, counted("pay", 400), ["x", "one"], counted("roles", 60), vectors, "embedding", str(tmp_path / "models"), trees=2, clusters=2, tries=1)
+    assert {r["model"] for r in done.collect()} == {"pay", "roles", "clusters"}
+    assert made["pay"].value == 400 and made["roles"].value == 60
+    assert sum(fitted) == 400 and 40 < fitted[1] < 120
