@@ -232,7 +232,7 @@ def _pay_model(t, kind, **changes):
     rows = materialise(_pay_rows(t), "pay")
     held_out = F.xxhash64("l_orderkey") % 5 == 0
     train, val = rows.filter(~held_out), rows.filter(held_out)
-    model = models.train_pay_model(train, PAY_INPUTS, kind, None if kind == "linear" else val, **changes)
+    model = models.train_pay_model(train, PAY_INPUTS, kind, None if kind == "linear" else val, stored=True, **changes)
     return model, train, val
 
 

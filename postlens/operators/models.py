@@ -242,25 +242,28 @@ class PayModel:
         return spark.createDataFrame(ranked, shape)
 
 
-def in_small_parts(rows: DataFrame, label: str) -> DataFrame:
-    """Rows with ``features``, written once and dealt out so that a part holds a bounded number of them, of any input.
+def in_small_parts(rows: DataFrame, stored: bool = False) -> DataFrame:
+    """Rows with ``features``, dealt out so that a part holds a bounded number of them, of any input.
+
+    They are written first, which fixes their order and so the part that each goes to; ``stored`` rows are read from files.
 
     A learner keeps its rows in memory by these parts, which take many times the room of the files that they are read from.
     The parts are kept on disk, or each of its passes would deal them anew; the caller gives them up by ``unpersist``.
     """
-    stored = materialise(rows, label)
-    first, count = stored.first(), stored.count()
+    rows = rows if stored else materialise(rows, "fit")
+    first, count = rows.first(), rows.count()
     if first is None:
-        return stored.persist(StorageLevel.DISK_ONLY)
+        return rows.persist(StorageLevel.DISK_ONLY)
     parts = -(-count * (first["features"].size + 16) // TASK_NUMBERS)
     parts = max(parts, min(rows.sparkSession.sparkContext.defaultParallelism, -(-count // CORE_ROWS)))
-    return stored.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place").persist(StorageLevel.DISK_ONLY)
+    return rows.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place").persist(StorageLevel.DISK_ONLY)
 
 
-def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt", validation: DataFrame | None = None, **changes) -> PayModel:
+def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt", validation: DataFrame | None = None, stored: bool = False, **changes) -> PayModel:
     """Boosted trees (``gbt``, or ``gbt_deep``) or ridge regression (``linear``) on (features, label).
 
-    With a validation table the trees stop early when its error no longer falls.
+    With a validation table the trees stop early when its error no longer falls. Rows that come straight from files are
+    ``stored``; others are written before the trees are fitted.
     """
     params = {**GBT_DEFAULTS, **changes}
     if kind == "linear":
@@ -284,7 +287,7 @@ def train_pay_model(train: DataFrame, feature_names: list[str], kind: str = "gbt
     if validation is not None:
         learner = learner.setValidationIndicatorCol("is_validation")
         train = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
-    train = in_small_parts(train.select("features", "label", *(["is_validation"] if validation is not None else [])), "fit")
+    train = in_small_parts(train.select("features", "label", *(["is_validation"] if validation is not None else [])), stored)
     model = learner.fit(train)
     train.unpersist()
     return PayModel(kind, model, feature_names, params)

@@ -20,7 +20,7 @@ def train_all(
     pay = materialise(pay.withColumn("_held_out", F.rand(seed=42) < 0.2), "pay")
     train, held_out = pay.where(~F.col("_held_out")), pay.where("_held_out")
     roles = materialise(roles.select("features", "label"), "roles")
-    pay_model = train_pay_model(train, pay_features, validation=held_out, trees=trees)
+    pay_model = train_pay_model(train, pay_features, validation=held_out, stored=True, trees=trees)
     pay_row = regression_metrics(pay_model.predict(pay), "label", "prediction", "train_").first().asDict()
     save_artifacts(spark, pay_model.model, f"{path}/pay", {"kind": pay_model.kind, "features": ",".join(pay_features)}, pay_row)
     classifier = train_classifier(roles, "label")

@@ -84,11 +84,11 @@ def test_a_part_of_a_fit_is_bounded(spark, monkeypatch):
     """Rows that one task holds in memory do not grow with the table, and none is lost, also if the input is one part."""
     monkeypatch.setattr(models, "TASK_NUMBERS", 18 * 100)
     rows = spark.range(0, 3000, numPartitions=1).select(F.col("id").alias("label"), array_to_vector(F.array(F.lit(1.0), F.col("id").cast("double"))).alias("features"))
-    dealt = models.in_small_parts(rows, "fit")
+    dealt = models.in_small_parts(rows)
     sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 200 and sum(sizes) == 3000
     assert dealt.select("label").distinct().count() == 3000 and dealt.schema["features"] == rows.schema["features"]
-    assert models.in_small_parts(rows.limit(0), "fit").count() == 0
+    assert models.in_small_parts(rows.limit(0)).count() == 0
 
 
 def test_trees_are_fitted_on_bounded_parts(spark, monkeypatch):
@@ -112,7 +112,7 @@ def test_training_makes_its_rows_once(spark, tmp_path, monkeypatch):
         return rows.select(array_to_vector(F.array(seen("x"), F.lit(1.0))).alias("features"), "label")
 
     fitted, plain = [], training.train_pay_model
-    monkeypatch.setattr(training, "train_pay_model", lambda rows, names, validation, trees: fitted.extend([rows.count(), validation.count()]) or plain(rows, names, validation=validation, trees=trees))
+    monkeypatch.setattr(training, "train_pay_model", lambda rows, names, validation, **more: fitted.extend([rows.count(), validation.count()]) or plain(rows, names, validation=validation, **more))
     vectors = spark.createDataFrame([([float(i), float(i % 3)],) for i in range(30)], "embedding array<double>")
     done = training.train_all(spark, counted("pay", 400), ["x", "one"], counted("roles", 60), vectors, "embedding", str(tmp_path / "models"), trees=2, clusters=2, tries=1)
     assert {r["model"] for r in done.collect()} == {"pay", "roles", "clusters"}
