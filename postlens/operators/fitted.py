@@ -74,6 +74,8 @@ def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray, back: bool) -> np
                 else:
                     total += image.T @ image
         used = np.flatnonzero(total.any(axis=1))
+        if not len(used):
+            return  # a task without rows; an empty list of sums would be taken for a column of numbers
         for part in np.array_split(used, max(1, len(used) // 1000)):
             yield pd.DataFrame({"at": part.astype(np.int32), "sums": list(total[part])})
 

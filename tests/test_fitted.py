@@ -81,6 +81,18 @@ def test_nothing_to_fit(spark):
     assert fitted.fit_embedding(empty.limit(0), "text", 3, 64).vectors.shape == (64, 3)
 
 
+def test_a_task_without_texts(spark):
+    """A written table may have a part without rows, whose task has no sums to send."""
+    both = spark.range(0, 2, numPartitions=2).select("id", F.array(F.lit(3), F.lit(5), F.lit(5)).cast("array<int>").alias("ids"))
+    one = both.where("id = 1").select("ids")
+    assert [r[0] for r in one.select(F.spark_partition_id()).collect()] == [1]
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(FEATURES, 4)))[0]
+    row = np.zeros(FEATURES)
+    row[[3, 5]] = np.array([1, 2]) / math.sqrt(5)
+    assert np.allclose(fitted._pass(one, np.ones(FEATURES), basis, True), np.outer(row, row @ basis))
+    assert np.allclose(fitted._pass(one, np.ones(FEATURES), basis, False), np.outer(row @ basis, row @ basis))
+
+
 def test_a_pass_has_no_more_tasks_than_cores(spark, docs, monkeypatch):
     """Every task of a pass sends a whole model's rows, so many small files must not make many tasks."""
     taken, plain = [], type(docs).mapInPandas
