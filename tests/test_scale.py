@@ -48,6 +48,39 @@ def test_knn_is_exact(vectors, queries, metric, max_bytes):
     assert got == brute(vectors[1], queries[1], 12, metric)
 
 
+def test_a_vector_is_sent_to_few_blocks():
+    """All keys against all: copies of a vector grow with the bytes of all vectors, not with blocks of some thousand rows."""
+    assert search.grid_blocks(615_000, 615_000, 64, 6, None) == (10, 10)
+    assert search.grid_blocks(140_000, 140_000, 64, 6, None) == (6, 6) and search.grid_blocks(9_000, 300, 64, 6, None) == (3, 1)
+    assert search.grid_blocks(615_000, 70_000, 384, 6, None) == (57, 7) and search.grid_blocks(400, 9, 16, 8, 90) == (5, 1)
+
+
+def test_few_pairs_are_compared_in_full(monkeypatch):
+    """What single precision leaves out is not among the best: copies, near copies, ties, zeros, NaN and own ids as in one whole sort."""
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((5000, 16)) * rng.choice([1e-20, 1.0, 1e20], 5000)[:, None]
+    rows[100:140], rows[140:150], rows[150:153] = rows[99], rows[99] * (1 + 1e-7 * rng.standard_normal((10, 16))), 0.0
+    rows[153, 0] = np.nan
+    queries, ids, own = rows[np.r_[90:160, 4000:4100]].copy(), rng.permutation(5000), {}
+    for place, row in enumerate(np.r_[90:160, 4000:4100]):
+        own[int(ids[row])] = [place]
+    whole, cells, plain = search.distances(rows, queries, "cosine"), [], search.distances
+    for place, row in enumerate(np.r_[90:160, 4000:4100]):
+        whole[row, place] = np.nan
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 20_000)
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(search, "distances", lambda r, q, m: cells.append(len(r) * len(q)) or plain(r, q, m))
+    best = search.Best(6, len(queries))
+    for part in np.array_split(np.arange(5000), 3):
+        search.score_into(best, ids[part], rows[part], queries, "cosine", own=own)
+    told = np.where(np.isnan(whole), np.inf, whole)
+    order = [np.lexsort((ids, told[:, q]))[:6] for q in range(len(queries))]
+    want = [(q, ids[row], whole[row, q]) for q, rows_of in enumerate(order) for row in rows_of if np.isfinite(told[row, q])]
+    got = list(zip(*best.rows(list(range(len(queries))))))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-10)
+    assert sum(cells) < 0.2 * whole.size
+
+
 def test_knn_with_more_neighbours_than_rows(vectors, queries):
     assert search.knn_search(vectors[0], queries[0], 1000, id_col="id").count() == 9 * 400
 
