@@ -166,6 +166,8 @@ def near_words(words: DataFrame) -> DataFrame:
     letters = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 64).cast("int"))))
     known = words.select("word", "n", F.char_length("word").alias("size"), letters.alias("letters"), F.explode(lists("word")).alias("at"))
     keys = F.array(F.xxhash64(F.lit("start"), "at.gram", "at.start"), F.xxhash64(F.lit("end"), "at.gram", "at.end"))
+    # words of one character may share no gram, and all are at one edit of each other
+    keys = F.when(F.col("size") == 1, F.array_append(keys, F.xxhash64(F.lit("one")))).otherwise(keys)
     listed = materialise(known.select(F.explode(keys).alias("key"), "word", "n", "size", "letters"), "lists")
     a, b = (listed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("word", "n", "size", "letters")]) for side in "ab")
     close = (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2)
